@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from kartoteka.llm import _common as C
 
+#: Not a value that ids can have: those are multiples of four bytes.
+UNSAFE = b"-"
 NONE = np.iinfo(np.int64).max
 #: Cells of one array of the side-by-side trees.
 CELLS = 1 << 21
@@ -39,38 +42,41 @@ class SplitMemo:
     other spaces are left to `whole`.
     """
 
-    def __init__(self, many, whole):
-        self.many, self.whole = many, whole
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+    def __init__(self, many, whole, memo: int = 500_000):
+        self.many, self.whole, self.memo = many, whole, memo
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _values(self, words: set[str]) -> dict[str, bytes | None]:
-        """None for a segment that does not stand alone. The memo forgets what it has not met for a generation."""
-        young, old, out, new = self.young, self.old, {}, []
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Values of words that the young memo lacks; UNSAFE for a segment that does not stand alone."""
+        old, out, new = self.old, {}, []
         for w in words:
-            if (v := young.get(w, self)) is not self:
+            if (v := old.get(w)) is not None:
                 out[w] = v
-            elif (v := old.get(w, self)) is not self:
-                out[w] = young[w] = v
             elif w[:1] in ("", " ") and (len(w) < 2 or w[1].isspace()) or w[-1].isspace() or w[0].isspace() and w[0] != " ":
-                out[w] = young[w] = None
+                out[w] = UNSAFE
             else:
                 new.append(w)
-        for w, v in zip(new, self.many(new), strict=True):
-            out[w] = v
-            if len(w) <= C.MEMO_BYTES:
-                young[w] = v
-        if len(young) > C.MEMO:
-            self.young, self.old = {}, young
+        out.update(zip(new, self.many(new), strict=True))
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [" "] for t in texts]
-        values = self._values({w for s in split for w in s})
-        out = []
+        words = list(chain.from_iterable(split))
+        values = list(map(self.young.get, words))
+        absent = [i for i, v in enumerate(values) if v is None]
+        found = self._learn({words[i] for i in absent})
+        for i in absent:
+            values[i] = found[words[i]]
+        out, at = [], 0
         for t, s in zip(texts, split, strict=True):
-            parts = [values[w] for w in s]
-            out.append((self.whole(t) if t else b"") if None in parts else b"".join(parts))
+            parts = values[at : at + len(s)]
+            at += len(s)
+            out.append((self.whole(t) if t else b"") if UNSAFE in parts else b"".join(parts))
+        # what was not met for a generation is forgotten; long words are not kept at all
+        self.young.update((w, v) for w, v in found.items() if len(w) <= C.MEMO_BYTES)
+        if len(self.young) > self.memo:
+            self.young, self.old = {}, self.young
         return out
 
 

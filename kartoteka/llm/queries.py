@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kartoteka.llm import _common as C
-from kartoteka.llm import media
+from kartoteka.llm import bpe, media, packing
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(C.documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.with_features(C.documents(spark, sf_dir))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(C.documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op9_media_columns": op9_media_columns,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {}
