@@ -100,6 +100,19 @@ def word_hashes(texts, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+def slices(texts: list, chars: int = 2_000_000):
+    """Consecutive parts of a batch whose texts have about so many characters, as a batch's rows may all be long."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -205,7 +205,8 @@ def encode(df: DataFrame, text: str = "text", to: str = "ids", path: str | None
     setting = _settings(path, pattern)
 
     def ids(texts: pd.Series) -> pd.Series:
-        done = encoder(*setting).texts([t or "" for t in texts])
+        e = encoder(*setting)
+        done = [x for part in C.slices([t or "" for t in texts]) for x in e.texts(part)]
         return pd.Series([None if t is None else np.frombuffer(x, "<u4").astype(np.int32) for t, x in zip(texts, done, strict=True)], dtype=object)
 
     return df.withColumn(to, F.pandas_udf(ids, "array<int>")(F.col(text)))
@@ -229,7 +230,7 @@ def digests(df: DataFrame, path: str | None = None, pattern: str | None = None)
 
     def row(texts: pd.Series) -> pd.DataFrame:
         e = encoder(*setting)
-        ids = e.texts([t or "" for t in texts])
+        ids = [x for part in C.slices([t or "" for t in texts]) for x in e.texts(part)]
         return pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(e.decode(x)).hexdigest() for x in ids]})
 
     made = F.pandas_udf(row, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -184,7 +184,8 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end:
     names = [c.split()[0] for c in CUT.split(", ")]
 
     def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, p, strict=True)) for p in cut(ids + last, capacity)] for ids in tokenizer(where)([t or "" for t in texts])], dtype=object)
+        encoded = (ids for part in C.slices([t or "" for t in texts]) for ids in tokenizer(where)(part))
+        return pd.Series([[dict(zip(names, p, strict=True)) for p in cut(ids + last, capacity)] for ids in encoded], dtype=object)
 
     kind = "array<struct<" + CUT.replace(" ", ":").replace(",:", ",") + ">>"
     return docs.select("doc_id", F.explode(F.pandas_udf(made, kind)("text")).alias("p")).select("doc_id", "p.*")

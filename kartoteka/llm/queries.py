@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kartoteka.llm import _common as C
-from kartoteka.llm import bpe, media, packing
+from kartoteka.llm import bpe, langid, media, packing
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of_documents(C.documents(spark, sf_dir))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +25,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
