@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kartoteka.llm import _common as C
-from kartoteka.llm import bpe, langid, licenses, media, packing, quality, toxicity
+from kartoteka.llm import bpe, langid, licenses, media, neardup, packing, quality, toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses_of_documents(C.documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(C.documents(spark, sf_dir), k=2)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(C.documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_license_scan": op3_license_scan,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
