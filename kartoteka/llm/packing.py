@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import functools
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -25,19 +27,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+#: Below this the two libraries' regular expressions see the same letters, digits and spaces.
+LATIN = "\u0250"
+
+
 @functools.cache
-def tokenizer(path: str) -> SplitMemo:
-    """Texts to ids, as little-endian unsigned 32-bit integers; strings of special tokens are ordinary text."""
+def tokenizer(path: str, ranks: str | None = None) -> SplitMemo:
+    """Texts to ids of the tokenizer file, as little-endian unsigned 32-bit integers; strings of special tokens are ordinary text.
+
+    ranks: a rank file of the same vocabulary. Latin words that a memo lacks are then encoded from it by tiktoken, which
+    gives the same ids in a fifth of the time; all others, and texts with odd white space, by tokenizers.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
 
-    def many(texts: list[str]) -> list[bytes]:
+    def slow(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    return SplitMemo(many, lambda text: many([text])[0])
+    if not ranks:
+        return SplitMemo(slow, lambda text: slow([text])[0])
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
+
+    def fast(words: list[str]) -> list[bytes]:
+        latin = [w.isascii() or max(w) < LATIN for w in words]
+        others = iter(slow([w for w, ok in zip(words, latin, strict=True) if not ok]))
+        return [array("I", encode(w)).tobytes() if ok else next(others) for w, ok in zip(words, latin, strict=True)]
+
+    return SplitMemo(fast, lambda text: slow([text])[0])
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -117,7 +147,7 @@ class Bins:
                 return True
         return False
 
-    def improve(self, steps: int = 2000) -> None:
+    def improve(self, steps: int = 500) -> None:
         """Empties the emptiest bins while changes are found, and ends early at the number of bins that no packing beats."""
         least = -(-sum(self.sizes) // self.capacity)
         stuck: set[int] = set()
@@ -173,18 +203,18 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
     return dealt.groupBy("_group").applyInPandas(packed, schema)
 
 
-def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end: int = 0, ranks: str | None = None) -> DataFrame:
     """doc_id and the pieces of its text's ids followed by the id `end`: number, start, length and crc32.
 
     A null text is empty and so has the end id alone; repeated rows give repeated pieces.
     """
     C.small_batches(docs.sparkSession)
-    where = path or default_tokenizer()
+    where = (path, ranks) if path else (default_tokenizer(), default_ranks())
     last = end.to_bytes(4, "little")
     names = [c.split()[0] for c in CUT.split(", ")]
 
     def made(texts: pd.Series) -> pd.Series:
-        encoded = (ids for part in C.slices([t or "" for t in texts]) for ids in tokenizer(where)(part))
+        encoded = (ids for part in C.slices([t or "" for t in texts]) for ids in tokenizer(*where)(part))
         return pd.Series([[dict(zip(names, p, strict=True)) for p in cut(ids + last, capacity)] for ids in encoded], dtype=object)
 
     kind = "array<struct<" + CUT.replace(" ", ":").replace(",:", ",") + ">>"
