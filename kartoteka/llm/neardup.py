@@ -99,7 +99,8 @@ def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = first
     for chosen in (*CHOSEN[1:], 0):
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n >= 2")
-        sized = level.join(sizes, "node")
+        # written, so that each level is one small plan
+        sized = C.written(level.join(sizes, "node"), "level")
         small.append(sized.where(F.col("n") <= SMALL).select("node", "doc_id"))
         large = sized.where(F.col("n") > SMALL)
         if chosen:
