@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import xxhash
@@ -33,6 +34,10 @@ def id_crc(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")), F.lit(0))
 
 
+def crc_of_id(doc_id: int, null: bool) -> int:
+    return 0 if null else zlib.crc32(str(doc_id).encode())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the setting is absent."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -89,7 +94,11 @@ def word_hashes(texts, lower: bool) -> tuple[np.ndarray, np.ndarray]:
 
     Words are maximal runs without ASCII white space, which is what bytes.split() yields; lower turns A-Z into a-z only.
     """
-    split = [(t.encode().lower() if lower else t.encode()).split() if t else [] for t in texts]
+    return byte_word_hashes([t.encode() if t else b"" for t in texts], lower)
+
+
+def byte_word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    split = [(t.lower() if lower else t).split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     get = _words.__getitem__
     out = np.empty(int(counts.sum()), np.uint64)
@@ -131,6 +140,14 @@ def rolling(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return h
 
 
+def rolling_at(words: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """The same at some positions, each of which has k words after it."""
+    h = np.full(len(at), 0x9E3779B97F4A7C15 + salt, np.uint64)
+    for j in range(k):
+        h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + words[at + j])
+    return h
+
+
 def packed(a: np.ndarray, delta: bool = False) -> bytes:
     """Integers as compressed byte planes; delta for ascending values, whose differences have empty high planes."""
     if delta and len(a):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kartoteka.llm import _common as C
-from kartoteka.llm import bpe, langid, licenses, media, neardup, packing, quality, toxicity
+from kartoteka.llm import bpe, langid, licenses, lm, media, neardup, packing, quality, substrings, toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(C.documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(C.documents(spark, sf_dir))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(C.documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of_documents(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -46,6 +54,8 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
