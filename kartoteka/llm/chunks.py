@@ -8,6 +8,7 @@ shuffle: no task holds more than a chunk or a bucket, whose number grows with th
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,63 +21,74 @@ from kartoteka.llm import _common as C
 
 #: UTF-8 bytes of a chunk's texts; a longer document is a chunk of its own.
 CHUNK_BYTES = 4_000_000
-#: Words of the input for each bucket.
-BUCKET_WORDS = 1_000_000
-CHUNK_SCHEMA = "chunk long, n_words long, ids binary, no_id binary, sizes binary, texts binary"
+#: UTF-8 bytes of the input for each bucket.
+BUCKET_BYTES = 6_000_000
+CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, no_id binary, sizes binary, texts binary, distinct binary, codes binary"
 
 
 class Chunk:
-    """Documents: ids (where no_id, the id is null) and UTF-8 texts (null: empty)."""
+    """Documents: ids (where no_id, the id is null), and UTF-8 texts (null: empty) or the hashes of their words."""
 
     def __init__(self, row):
         self.ids = np.frombuffer(row.ids, np.int64)
         self.no_id = np.frombuffer(row.no_id, bool)
-        ends = np.cumsum(np.frombuffer(row.sizes, np.int64))
-        whole = zstandard.decompress(row.texts)
-        self.texts = [whole[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)] if len(ends) else []
+        self.sizes = np.frombuffer(row.sizes, np.int64)
+        self.row = row
 
-    def words(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words in order, and each document's number of words."""
-        return C.byte_word_hashes(self.texts, lower)
+    @functools.cached_property
+    def texts(self) -> list[bytes]:
+        whole, ends = zstandard.decompress(self.row.texts), np.cumsum(self.sizes).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    @functools.cached_property
+    def words(self) -> np.ndarray:
+        """Hashes of all words in order."""
+        return C.unpacked(self.row.distinct, np.uint64, True)[C.unpacked(self.row.codes, np.uint32)]
 
     def doc_ids(self) -> pd.Series:
         return pd.Series(pd.array(self.ids, dtype="Int64")).mask(self.no_id)
 
 
-def _chunked(batches) -> Iterator[pd.DataFrame]:
-    ids, texts, size = [], [], 0
+def _row(ids: list, texts: list[bytes], size: int, lower: bool | None) -> pd.DataFrame:
+    # any name will do, as the table is written once
+    name = int.from_bytes(np.random.default_rng().bytes(8), "little", signed=True)
+    known = np.array([i if i is not None else 0 for i in ids], np.int64)
+    whole, distinct, codes, sizes = None, None, None, np.array([len(t) for t in texts], np.int64)
+    if lower is None:
+        whole = zstandard.compress(b"".join(texts), 1)
+    else:
+        words, sizes = C.byte_word_hashes(texts, lower)
+        found, place = np.unique(words, return_inverse=True)
+        distinct, codes = C.packed(found, True), C.packed(place.astype(np.uint32))
+    return pd.DataFrame([(name, size, known.tobytes(), np.array([i is None for i in ids], bool).tobytes(), sizes.tobytes(), whole, distinct, codes)], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
-    def row() -> pd.DataFrame:
-        known = [i if i is not None else 0 for i in ids]
-        # the first id, the number and the texts' bytes name a chunk; the table is written once, so a name never changes
-        name = int.from_bytes(np.random.default_rng().bytes(8), "little", signed=True)
-        n = sum(len(t.split()) for t in texts)
-        return pd.DataFrame([(name, n, np.array(known, np.int64).tobytes(), np.array([i is None for i in ids], bool).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), zstandard.compress(b"".join(texts), 1))], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
+def _chunked(batches, lower: bool | None = None) -> Iterator[pd.DataFrame]:
+    ids, texts, size = [], [], 0
     for b in batches:
-        for i, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-            ids.append(None if i is pd.NA else int(i))
+        for i, null, t in zip(b["doc_id"].tolist(), b["no_id"].tolist(), b["text"], strict=True):
+            ids.append(None if null else i)
             texts.append((t or "").encode())
             size += len(texts[-1]) + 64
             if size >= CHUNK_BYTES:
-                yield row()
+                yield _row(ids, texts, size, lower)
                 ids, texts, size = [], [], 0
     if ids:
-        yield row()
+        yield _row(ids, texts, size, lower)
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The documents (doc_id, text) in chunks, written; and their number of words."""
+def chunked(docs: DataFrame, lower: bool | None = None) -> tuple[DataFrame, int]:
+    """The documents (doc_id, text) in chunks, written; and a number of buckets for them.
+
+    lower: the chunks have the hashes of words instead of texts, with A-Z lower-cased or not.
+    """
     C.small_batches(docs.sparkSession, 200)
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_chunked, CHUNK_SCHEMA)
+    made = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text").mapInPandas(lambda batches: _chunked(batches, lower), CHUNK_SCHEMA)
     chunks = C.written(made, "chunks")
     # a chunk's row is large: few of them at once
-    C.small_batches(docs.sparkSession, 8)
-    return chunks, int(chunks.agg(F.sum("n_words")).first()[0] or 0)
-
-
-def buckets_for(words: int) -> int:
-    return max(8, -(-words // BUCKET_WORDS))
+    C.small_batches(docs.sparkSession, 4)
+    size = int(chunks.agg(F.sum("n_bytes")).first()[0] or 0)
+    return chunks, max(8, -(-size // BUCKET_BYTES))
 
 
 def sent(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:

@@ -35,7 +35,7 @@ class _Tokens:
     """A chunk's tokens: every document's words and then the end; n-grams of each order by position."""
 
     def __init__(self, chunk: K.Chunk):
-        words, n = chunk.words(lower=True)
+        words, n = chunk.words, chunk.sizes
         self.sizes = n + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.doc = np.repeat(np.arange(len(n)), self.sizes)
@@ -46,8 +46,6 @@ class _Tokens:
         fold = np.array([C.crc_of_id(i, bool(x)) % FOLDS for i, x in zip(chunk.ids.tolist(), chunk.no_id, strict=True)], np.int64)
         self.held_out = fold == 0
         self.deleted = fold == DELETED
-        self.first = np.zeros(len(self.words), bool)
-        self.first[self.starts] = True
 
     def grams(self, order: int) -> np.ndarray:
         """Hash of the last `order` tokens at each position; positions before a text's first are its start."""
@@ -59,12 +57,12 @@ class _Tokens:
         return h
 
 
-def _ask(chunk: K.Chunk, name: int, buckets: int) -> pd.DataFrame:
+def _ask(chunk: K.Chunk, name: int, buckets: int, orders: tuple[int, ...]) -> pd.DataFrame:
     """The chunk's distinct n-grams with their counts in its fitting and deleted documents; bucket: the order's own range."""
     tokens = _Tokens(chunk)
     fit, deleted = (~(tokens.held_out | tokens.deleted))[tokens.doc], tokens.deleted[tokens.doc]
     out = []
-    for order in range(1, ORDER + 1):
+    for order in orders:
         keys, place = np.unique(tokens.grams(order), return_inverse=True)
         a, b = (np.bincount(place[x], minlength=len(keys)).astype(np.uint32) for x in (fit, deleted))
         out += [((order - 1) * buckets + k, name, C.packed(keys[s], True), C.packed(a[s]), C.packed(b[s])) for k, s in K.sent(keys, buckets)]
@@ -86,7 +84,7 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"].astype("int32"), "fit": back[0], "deleted": back[1], "distinct": n})
 
 
-COUNTED = "chunk long, ids binary, no_id binary, sizes binary, held_out binary, deleted binary, counts binary"
+COUNTED = "chunk long, width int, ids binary, no_id binary, sizes binary, held_out binary, deleted binary, counts binary"
 
 
 def _counted(chunk: K.Chunk, answers: pd.DataFrame, name: int, buckets: int) -> pd.DataFrame:
@@ -101,8 +99,10 @@ def _counted(chunk: K.Chunk, answers: pd.DataFrame, name: int, buckets: int) ->
             for k, s in K.sent(keys, buckets):
                 n[s] = C.unpacked(getattr(found[(order - 1) * buckets + k], part), np.int64)
             rows.append(n[place])
-    counts = np.concatenate([np.empty(0, np.int64), *rows])
-    return pd.DataFrame([(name, chunk.ids.tobytes(), chunk.no_id.tobytes(), tokens.sizes.astype(np.int64).tobytes(), tokens.held_out.tobytes(), tokens.deleted.tobytes(), C.packed(counts))], columns=[c.split()[0] for c in COUNTED.split(", ")])
+    counts = np.concatenate(rows)
+    if counts.max(initial=0) < 1 << 32:
+        counts = counts.astype(np.uint32)
+    return pd.DataFrame([(name, counts.itemsize, chunk.ids.tobytes(), chunk.no_id.tobytes(), tokens.sizes.astype(np.int64).tobytes(), tokens.held_out.tobytes(), tokens.deleted.tobytes(), C.packed(counts))], columns=[c.split()[0] for c in COUNTED.split(", ")])
 
 
 class _Counts:
@@ -112,7 +112,7 @@ class _Counts:
         self.ids, self.no_id = np.frombuffer(row.ids, np.int64), np.frombuffer(row.no_id, bool)
         self.sizes = np.frombuffer(row.sizes, np.int64)
         self.held_out, self.deleted = np.frombuffer(row.held_out, bool), np.frombuffer(row.deleted, bool)
-        self.c = C.unpacked(row.counts, np.int64).reshape(ORDER, 2, -1)
+        self.c = C.unpacked(row.counts, np.uint32 if row.width == 4 else np.int64).astype(np.int64).reshape(ORDER, 2, -1)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
@@ -206,15 +206,19 @@ def scores(docs: DataFrame) -> DataFrame:
     empty text is one end. base_score: log10 of additively smoothed unigrams; score: log10 of the mixture. Without any
     training document both are uniform. Repeated rows are documents of their own; an empty table gives an empty one.
     """
-    chunks, words = K.chunked(docs)
-    buckets = K.buckets_for(words)
+    chunks, buckets = K.chunked(docs, lower=True)
 
-    def ask(batches):
-        for b in batches:
-            for row in b.itertuples():
-                yield _ask(K.Chunk(row), row.chunk, buckets)
+    def asked(orders: tuple[int, ...]) -> DataFrame:
+        def ask(batches):
+            for b in batches:
+                for row in b.itertuples():
+                    yield _ask(K.Chunk(row), row.chunk, buckets, orders)
+
+        return chunks.mapInPandas(ask, ASK)
 
-    counts = K.answered(chunks.mapInPandas(ask, ASK), _count, COUNTS, "counts")
+    # one after the other, as the shuffle of one half is gone before the other's
+    lower, highest = (K.answered(asked(orders), _count, COUNTS, "counts") for orders in (tuple(range(1, ORDER)), (ORDER,)))
+    counts = lower.unionByName(highest)
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([_counted(K.Chunk(row), right, row.chunk, buckets) for row in left.itertuples()])

@@ -32,7 +32,7 @@ class _Grid:
 
     def __init__(self, chunk: K.Chunk, window: int):
         self.window, self.block = window, (window + 1) // 2
-        self.words, self.counts = chunk.words(lower=False)
+        self.words, self.counts = C.byte_word_hashes(chunk.texts, lower=False)
         self.starts = np.cumsum(self.counts) - self.counts
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
         self.ids, self.no_id = chunk.ids, chunk.no_id
@@ -169,8 +169,7 @@ def _left(text: bytes, removed: np.ndarray) -> str:
 
 
 def _located(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, int]:
-    chunks, words = K.chunked(docs)
-    buckets = K.buckets_for(words)
+    chunks, buckets = K.chunked(docs)
 
     def ask(batches):
         for b in batches:

@@ -69,7 +69,7 @@ def corpus():
 
 def test_equals_plain_python(spark, monkeypatch):
     monkeypatch.setattr(lm.K, "CHUNK_BYTES", 3000)
-    monkeypatch.setattr(lm.K, "BUCKET_WORDS", 300)
+    monkeypatch.setattr(lm.K, "BUCKET_BYTES", 2000)
     rows = corpus()
     c, texts, n = counts(rows, lambda f: f != 0)
     v = sum(len(k) == 1 for k in c)

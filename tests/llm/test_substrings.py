@@ -49,7 +49,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(substrings.K, "CHUNK_BYTES", 2000)
-    monkeypatch.setattr(substrings.K, "BUCKET_WORDS", 300)
+    monkeypatch.setattr(substrings.K, "BUCKET_BYTES", 2000)
     rows = corpus(seed)
     got = substrings.repeated_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
