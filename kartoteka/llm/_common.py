@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 import xxhash
@@ -34,10 +33,6 @@ def id_crc(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")), F.lit(0))
 
 
-def crc_of_id(doc_id: int, null: bool) -> int:
-    return 0 if null else zlib.crc32(str(doc_id).encode())
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the setting is absent."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.llm import _common as C
@@ -23,7 +23,7 @@ from kartoteka.llm import _common as C
 CHUNK_BYTES = 4_000_000
 #: UTF-8 bytes of the input for each bucket.
 BUCKET_BYTES = 6_000_000
-CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, no_id binary, sizes binary, texts binary, distinct binary, codes binary"
+CHUNK_SCHEMA = "chunk long, part int, n_docs long, n_words long, n_bytes long, ids binary, no_id binary, sizes binary, texts binary, distinct binary, codes binary"
 
 
 class Chunk:
@@ -49,42 +49,49 @@ class Chunk:
         return pd.Series(pd.array(self.ids, dtype="Int64")).mask(self.no_id)
 
 
-def _row(ids: list, texts: list[bytes], size: int, lower: bool | None) -> pd.DataFrame:
+def _row(part: int, ids: list, texts: list[bytes], lower: bool | None) -> pd.DataFrame:
     # any name will do, as the table is written once
     name = int.from_bytes(np.random.default_rng().bytes(8), "little", signed=True)
     known = np.array([i if i is not None else 0 for i in ids], np.int64)
-    whole, distinct, codes, sizes = None, None, None, np.array([len(t) for t in texts], np.int64)
+    whole, distinct, codes, n_words, sizes = None, None, None, None, np.array([len(t) for t in texts], np.int64)
+    n_bytes = int(sizes.sum())
     if lower is None:
         whole = zstandard.compress(b"".join(texts), 1)
     else:
         words, sizes = C.byte_word_hashes(texts, lower)
+        n_words = len(words)
         found, place = np.unique(words, return_inverse=True)
         distinct, codes = C.packed(found, True), C.packed(place.astype(np.uint32))
-    return pd.DataFrame([(name, size, known.tobytes(), np.array([i is None for i in ids], bool).tobytes(), sizes.tobytes(), whole, distinct, codes)], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
+    none = np.array([i is None for i in ids], bool)
+    return pd.DataFrame([(name, part, len(ids), n_words, n_bytes, known.tobytes(), none.tobytes(), sizes.tobytes(), whole, distinct, codes)], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
 
 def _chunked(batches, lower: bool | None = None) -> Iterator[pd.DataFrame]:
-    ids, texts, size = [], [], 0
+    open_chunks: dict[int, tuple[list, list]] = {}
+    sizes: dict[int, int] = {}
     for b in batches:
-        for i, null, t in zip(b["doc_id"].tolist(), b["no_id"].tolist(), b["text"], strict=True):
+        for i, null, part, t in zip(b["doc_id"].tolist(), b["no_id"].tolist(), b["part"].tolist(), b["text"], strict=True):
+            ids, texts = open_chunks.setdefault(part, ([], []))
             ids.append(None if null else i)
             texts.append((t or "").encode())
-            size += len(texts[-1]) + 64
-            if size >= CHUNK_BYTES:
-                yield _row(ids, texts, size, lower)
-                ids, texts, size = [], [], 0
-    if ids:
-        yield _row(ids, texts, size, lower)
+            sizes[part] = sizes.get(part, 0) + len(texts[-1]) + 64
+            if sizes[part] >= CHUNK_BYTES:
+                yield _row(part, ids, texts, lower)
+                del open_chunks[part], sizes[part]
+    for part, (ids, texts) in open_chunks.items():
+        yield _row(part, ids, texts, lower)
 
 
-def chunked(docs: DataFrame, lower: bool | None = None) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, lower: bool | None = None, part: Column | None = None) -> tuple[DataFrame, int]:
     """The documents (doc_id, text) in chunks, written; and a number of buckets for them.
 
-    lower: the chunks have the hashes of words instead of texts, with A-Z lower-cased or not.
+    lower: the chunks have the hashes of words instead of texts, with A-Z lower-cased or not. part: a small number; documents
+    of different parts are not in one chunk.
     """
     C.small_batches(docs.sparkSession, 200)
-    made = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text").mapInPandas(lambda batches: _chunked(batches, lower), CHUNK_SCHEMA)
-    chunks = C.written(made, "chunks")
+    part = F.lit(0) if part is None else part
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), part.cast("int").alias("part"), "text")
+    chunks = C.written(rows.mapInPandas(lambda batches: _chunked(batches, lower), CHUNK_SCHEMA), "chunks")
     # a chunk's row is large: few of them at once
     C.small_batches(docs.sparkSession, 4)
     size = int(chunks.agg(F.sum("n_bytes")).first()[0] or 0)

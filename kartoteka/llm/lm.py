@@ -25,8 +25,10 @@ POWERS = 20
 ROUNDS = 8
 #: A training document is deleted from the fitting part if crc32(doc_id) mod FOLDS is DELETED; 0 is never trained on.
 FOLDS, DELETED = 10, 1
-ASK = "bucket int, chunk long, keys binary, fit binary, deleted binary"
-COUNTS = "chunk long, bucket int, fit binary, deleted binary, distinct long"
+#: Parts of the documents, which are in different chunks.
+FIT_PART, DELETED_PART, HELD_OUT_PART = 0, 1, 2
+ASK = "bucket int, chunk long, part int, keys binary, n binary"
+COUNTS = "chunk long, part int, bucket int, fit binary, whole binary, distinct long"
 #: Hashes of the start of a text and of its end, which no word has but by chance.
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -43,9 +45,6 @@ class _Tokens:
         is_word = np.ones(len(self.words), bool)
         is_word[self.starts + n] = False
         self.words[is_word] = words
-        fold = np.array([C.crc_of_id(i, bool(x)) % FOLDS for i, x in zip(chunk.ids.tolist(), chunk.no_id, strict=True)], np.int64)
-        self.held_out = fold == 0
-        self.deleted = fold == DELETED
 
     def grams(self, order: int) -> np.ndarray:
         """Hash of the last `order` tokens at each position; positions before a text's first are its start."""
@@ -57,64 +56,46 @@ class _Tokens:
         return h
 
 
-def _ask(chunk: K.Chunk, name: int, buckets: int, orders: tuple[int, ...]) -> pd.DataFrame:
-    """The chunk's distinct n-grams with their counts in its fitting and deleted documents; bucket: the order's own range."""
-    tokens = _Tokens(chunk)
-    fit, deleted = (~(tokens.held_out | tokens.deleted))[tokens.doc], tokens.deleted[tokens.doc]
+def _ask(chunk: K.Chunk, buckets: int, orders: tuple[int, ...]) -> pd.DataFrame:
+    """The chunk's distinct n-grams, how often each stands there; bucket: in the order's own range."""
+    tokens, row = _Tokens(chunk), chunk.row
     out = []
     for order in orders:
-        keys, place = np.unique(tokens.grams(order), return_inverse=True)
-        a, b = (np.bincount(place[x], minlength=len(keys)).astype(np.uint32) for x in (fit, deleted))
-        out += [((order - 1) * buckets + k, name, C.packed(keys[s], True), C.packed(a[s]), C.packed(b[s])) for k, s in K.sent(keys, buckets)]
-    return pd.DataFrame(out, columns=["bucket", "chunk", "keys", "fit", "deleted"])
+        keys, n = np.unique(tokens.grams(order), return_counts=True)
+        n = n.astype(np.uint32)
+        out += [((order - 1) * buckets + k, row.chunk, row.part, C.packed(keys[s], True), C.packed(n[s])) for k, s in K.sent(keys, buckets)]
+    return pd.DataFrame(out, columns=["bucket", "chunk", "part", "keys", "n"])
 
 
 def _count(rows: pd.DataFrame) -> pd.DataFrame:
-    """The corpus's counts of each chunk's n-grams, and once the number of distinct ones that training has."""
+    """The corpus's counts of each chunk's n-grams, and once the number of distinct ones that training has.
+
+    whole: in all training documents; fit: in those that are not deleted, which the deleted chunks alone need.
+    """
     keys = [C.unpacked(k, np.uint64, True) for k in rows["keys"]]
     distinct, place = K.merged(keys)
-    sums = []
-    for name in ("fit", "deleted"):
-        n = np.concatenate([C.unpacked(x, np.uint32) for x in rows[name]])
-        sums.append(np.bincount(place, n, len(distinct)).astype(np.int64))
+    part = np.repeat(rows["part"].to_numpy(), [len(k) for k in keys])
+    n = np.concatenate([C.unpacked(x, np.uint32) for x in rows["n"]])
+    fit, whole = (np.bincount(place, np.where(np.isin(part, parts), n, 0), len(distinct)).astype(np.int64) for parts in ([FIT_PART], [FIT_PART, DELETED_PART]))
     ends = np.cumsum([len(k) for k in keys])
-    back = [[C.packed(s[place[e - len(k) : e]]) for e, k in zip(ends, keys, strict=True)] for s in sums]
-    n = np.zeros(len(rows), np.int64)
-    n[0] = ((sums[0] + sums[1]) > 0).sum()
-    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"].astype("int32"), "fit": back[0], "deleted": back[1], "distinct": n})
-
-
-COUNTED = "chunk long, width int, ids binary, no_id binary, sizes binary, held_out binary, deleted binary, counts binary"
+    own = [place[e - len(k) : e] for e, k in zip(ends, keys, strict=True)]
+    known = np.zeros(len(rows), np.int64)
+    known[0] = (whole > 0).sum()
+    fits = [C.packed(fit[at]) if p == DELETED_PART else None for at, p in zip(own, rows["part"], strict=True)]
+    return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"].astype("int32"), "bucket": rows["bucket"].astype("int32"), "fit": fits, "whole": [C.packed(whole[at]) for at in own], "distinct": known})
 
 
-def _counted(chunk: K.Chunk, answers: pd.DataFrame, name: int, buckets: int) -> pd.DataFrame:
-    """The chunk's documents with the counts of every token's n-grams: two rows (fit, deleted) for each order."""
-    tokens = _Tokens(chunk)
-    found = {r.bucket: r for r in answers.itertuples()}
-    rows = []
+def _counts(tokens: _Tokens, answers: pd.DataFrame, which: str, buckets: int) -> np.ndarray:
+    """Counts of the n-grams at each token, by order."""
+    found = dict(zip(answers["bucket"], answers[which], strict=True))
+    out = np.zeros((ORDER, len(tokens.words)), np.int64)
     for order in range(1, ORDER + 1):
         keys, place = np.unique(tokens.grams(order), return_inverse=True)
-        for part in ("fit", "deleted"):
-            n = np.empty(len(keys), np.int64)
-            for k, s in K.sent(keys, buckets):
-                n[s] = C.unpacked(getattr(found[(order - 1) * buckets + k], part), np.int64)
-            rows.append(n[place])
-    counts = np.concatenate(rows)
-    if counts.max(initial=0) < 1 << 32:
-        counts = counts.astype(np.uint32)
-    return pd.DataFrame([(name, counts.itemsize, chunk.ids.tobytes(), chunk.no_id.tobytes(), tokens.sizes.astype(np.int64).tobytes(), tokens.held_out.tobytes(), tokens.deleted.tobytes(), C.packed(counts))], columns=[c.split()[0] for c in COUNTED.split(", ")])
-
-
-class _Counts:
-    """A counted chunk: c[order - 1, part, token] and the sizes of its documents."""
-
-    def __init__(self, row):
-        self.ids, self.no_id = np.frombuffer(row.ids, np.int64), np.frombuffer(row.no_id, bool)
-        self.sizes = np.frombuffer(row.sizes, np.int64)
-        self.held_out, self.deleted = np.frombuffer(row.held_out, bool), np.frombuffer(row.deleted, bool)
-        self.c = C.unpacked(row.counts, np.uint32 if row.width == 4 else np.int64).astype(np.int64).reshape(ORDER, 2, -1)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        n = np.empty(len(keys), np.int64)
+        for k, s in K.sent(keys, buckets):
+            n[s] = C.unpacked(found[(order - 1) * buckets + k], np.int64)
+        out[order - 1] = n[place]
+    return out
 
 
 def estimates(c: np.ndarray, starts: np.ndarray, totals: tuple[int, int], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +132,7 @@ def first_weights(trained: bool) -> np.ndarray:
     return w
 
 
-def learned_weights(counted: DataFrame, totals: tuple[int, int], vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
+def learned_weights(chunks: DataFrame, counts: DataFrame, buckets: int, totals: tuple[int, int], vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights by expectation-maximisation on the deleted documents' tokens, with the counts of the fitting ones.
 
     Each round is a pass over the deleted tokens' estimates, which are written once; a round returns one sum for each bucket
@@ -161,15 +142,13 @@ def learned_weights(counted: DataFrame, totals: tuple[int, int], vocabulary: int
     if not totals[0]:
         return w
 
-    def deleted(batches):
-        for b in batches:
-            for row in b.itertuples():
-                x = _Counts(row)
-                e, bucket = estimates(x.c[:, 0], x.starts, totals, vocabulary)
-                own = x.deleted[x.doc]
-                yield pd.DataFrame([(bucket[own].astype(np.uint8).tobytes(), e[1:, own].astype(np.float32).tobytes())], columns=["bucket", "e"])
+    def deleted(chunk: K.Chunk, found: pd.DataFrame) -> pd.DataFrame:
+        tokens = _Tokens(chunk)
+        e, bucket = estimates(_counts(tokens, found, "fit", buckets), tokens.starts, totals, vocabulary)
+        return pd.DataFrame([(bucket.astype(np.uint8).tobytes(), e[1:].astype(np.float32).tobytes())], columns=["bucket", "e"])
 
-    table = C.written(counted.mapInPandas(deleted, "bucket binary, e binary"), "deleted")
+    own = F.col("part") == DELETED_PART
+    table = C.written(K.together(chunks.where(own), counts.where(own), deleted, "bucket binary, e binary"), "deleted")
     shape = w.shape
     for _ in range(rounds):
 
@@ -206,56 +185,37 @@ def scores(docs: DataFrame) -> DataFrame:
     empty text is one end. base_score: log10 of additively smoothed unigrams; score: log10 of the mixture. Without any
     training document both are uniform. Repeated rows are documents of their own; an empty table gives an empty one.
     """
-    chunks, buckets = K.chunked(docs, lower=True)
+    fold = C.id_crc("doc_id") % FOLDS
+    part = F.when(fold == 0, HELD_OUT_PART).when(fold == DELETED, DELETED_PART).otherwise(FIT_PART)
+    chunks, buckets = K.chunked(docs, lower=True, part=part)
 
     def asked(orders: tuple[int, ...]) -> DataFrame:
         def ask(batches):
             for b in batches:
                 for row in b.itertuples():
-                    yield _ask(K.Chunk(row), row.chunk, buckets, orders)
+                    yield _ask(K.Chunk(row), buckets, orders)
 
         return chunks.mapInPandas(ask, ASK)
 
     # one after the other, as the shuffle of one half is gone before the other's
     lower, highest = (K.answered(asked(orders), _count, COUNTS, "counts") for orders in (tuple(range(1, ORDER)), (ORDER,)))
     counts = lower.unionByName(highest)
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([_counted(K.Chunk(row), right, row.chunk, buckets) for row in left.itertuples()])
-
-    counted = C.written(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(both, COUNTED), "counted")
-
-    def sums(batches):
-        for b in batches:
-            for row in b.itertuples():
-                x = _Counts(row)
-                fit = ~(x.held_out | x.deleted)
-                yield pd.DataFrame([(int(x.sizes[fit].sum()), int(fit.sum()), int(x.sizes[x.deleted].sum()), int(x.deleted.sum()))], columns=["t1", "d1", "t2", "d2"])
-
-    t = counted.mapInPandas(sums, "t1 long, d1 long, t2 long, d2 long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t1", "d1", "t2", "d2")]).first()
+    texts = {r["part"]: (r["t"] + r["d"], r["d"]) for r in chunks.groupBy("part").agg(F.sum("n_words").alias("t"), F.sum("n_docs").alias("d")).collect()}
+    fit, cut = texts.get(FIT_PART, (0, 0)), texts.get(DELETED_PART, (0, 0))
     vocabulary = int(counts.where(F.col("bucket") < buckets).agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
-    weights = learned_weights(counted, (t["t1"], t["d1"]), vocabulary)
-    whole = (t["t1"] + t["t2"], t["d1"] + t["d2"])
-
-    def scored(batches):
-        for b in batches:
-            for row in b.itertuples():
-                x = _Counts(row)
-                c = x.c.sum(1)
-                e, bucket = estimates(c, x.starts, whole, vocabulary)
-                p = (weights[bucket].T * e).sum(0)
-                base = np.log10((c[0] + 0.1) / (whole[0] + 0.1 * (vocabulary + 1)))
-                n = len(x.sizes)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.Series(pd.array(x.ids, dtype="Int64")).mask(x.no_id),
-                        "held_out": x.held_out,
-                        "n_tokens": x.sizes,
-                        "n_known": np.bincount(x.doc, c[0] > 0, n).astype(np.int64),
-                        "train_tokens": np.full(n, whole[0], np.int64),
-                        "base_score": np.bincount(x.doc, base, n),
-                        "score": np.bincount(x.doc, np.log10(p), n),
-                    }
-                )
-
-    return counted.mapInPandas(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    weights = learned_weights(chunks, counts, buckets, fit, vocabulary)
+    whole = (fit[0] + cut[0], fit[1] + cut[1])
+
+    def scored(chunk: K.Chunk, found: pd.DataFrame) -> pd.DataFrame:
+        tokens = _Tokens(chunk)
+        c = _counts(tokens, found, "whole", buckets)
+        e, bucket = estimates(c, tokens.starts, whole, vocabulary)
+        p = np.zeros(c.shape[1])
+        for order in range(ORDER + 1):
+            p += weights[:, order][bucket] * e[order]
+        base = np.log10((c[0] + 0.1) / (whole[0] + 0.1 * (vocabulary + 1)))
+        sums = [np.add.reduceat(x, tokens.starts) for x in ((c[0] > 0).astype(np.int64), base, np.log10(p))]
+        n = len(tokens.sizes)
+        return pd.DataFrame({"doc_id": chunk.doc_ids(), "held_out": chunk.row.part == HELD_OUT_PART, "n_tokens": tokens.sizes, "n_known": sums[0], "train_tokens": np.full(n, whole[0]), "base_score": sums[1], "score": sums[2]})
+
+    return K.together(chunks, counts.drop("fit"), scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
