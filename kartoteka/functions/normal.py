@@ -17,7 +17,6 @@ GAP_LABELS = ("ИНН", "КПП", "ОГРН", "БИК", "расчётн", "ко
 CLASSIFIERS = ("ОКПО", "ОКТМО", "ОКВЭД", "ОКАТО", "ОКОПФ", "ОКФС", "КБК")
 
 
-@F.pandas_udf("string")
 def _composed(text: pd.Series) -> pd.Series:
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -27,7 +26,7 @@ def _composed(text: pd.Series) -> pd.Series:
 
 def composed(text: Column) -> Column:
     """Unicode compatibility composition (NFKC)."""
-    return _composed(text)
+    return F.pandas_udf(_composed, "string")(text)
 
 
 def spaced(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def table_rows(rows: Column) -> Column:
     """Rows of cells (null cells skipped) as `a | b`, those without any text left out."""
     kept = F.filter(rows, lambda r: F.exists(r, lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
-    return F.transform(kept, lambda r: F.array_join(F.transform(F.filter(r, lambda c: c.isNotNull()), F.trim), " | "))
+    return F.transform(kept, lambda r: F.array_join(F.transform(F.filter(r, lambda c: c.isNotNull()), lambda c: F.trim(c)), " | "))
 
 
 def page_blocks(pages: Column) -> Column:
