@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,10 +20,7 @@ CLASSIFIERS = ("ОКПО", "ОКТМО", "ОКВЭД", "ОКАТО", "ОКОПФ
 
 
 def _composed(text: pd.Series) -> pd.Series:
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    return pc.utf8_normalize(pa.array(text, pa.string()), form="NFKC").to_pandas()
+    return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
 def composed(text: Column) -> Column:

@@ -71,10 +71,10 @@ def _extracted(kind: str, ext: str, content: bytes, settings: Settings, pdf: Bac
             text = docx_text(content)
             return text, "python_docx", None, False, [] if text else ["DOCX text is empty"], None
         if kind == "pdf":
-            if pdf is None:
+            if pdf is None and ocr is None:
                 return None, None, None, False, [], "Cannot open PDF: no backend is given"
             try:
-                pages = pdf(content)
+                pages = pdf(content) if pdf else []
             except Exception:
                 pages = []
             if sum(len(p.strip()) for p in pages[:3]) >= settings.min_pdf_chars:

@@ -86,20 +86,22 @@ def workbook(sheets: dict[str, list[list[str | None]]]) -> bytes:
 
 def workbooks(results: DataFrame, key: str = "document_id") -> DataFrame:
     """(key, content): a workbook of sheet_rows and check_rows for each document; rows of a document are few."""
-    d = F.col("details")
-    values = F.array(*[d[f] for f in FIELDS])
-    states = F.array(*[(_check_status(d[f], F.col("checks")[f]) if f in CHECKED else F.when(d[f].isNull() | (d[f] == ""), F.lit("не найдено")).otherwise(F.lit("ок (не проверялось)"))) for f in FIELDS])
-    found = F.array(*[F.array(F.when(F.col("checks")[f]["valid"], F.lit("Да")).otherwise(F.lit("Нет")), F.col("checks")[f]["value"], F.col("checks")[f]["reason"]) for f in CHECKED])
 
-    def made(values: pd.Series, states: pd.Series, found: pd.Series, errors: pd.Series) -> pd.Series:
+    def state(field: str, value: str | None, check: dict | None) -> str:
+        if not value:
+            return "не найдено"
+        return "ок (не проверялось)" if field not in CHECKED else "ок" if check["valid"] else f"ошибка: {check['reason']}"
+
+    # whole columns go in, so that no expression above them is computed twice
+    def made(details: pd.DataFrame, checks: pd.DataFrame, errors: pd.Series) -> pd.Series:
         out = []
-        for v, s, c, e in zip(values, states, found, errors, strict=True):
-            first = [["Поле", "Значение", "Статус"], *[list(r) for r in zip(SHEET_LABELS, v, s, strict=True)]]
-            second = [["Поле", "Корректно", "Значение", "Причина"], *[[label, *x] for label, x in zip(CHECKED.values(), c, strict=True)], *[[x] for x in e]]
+        for d, c, e in zip(details.to_dict("records"), checks.to_dict("records"), errors, strict=True):
+            first = [["Поле", "Значение", "Статус"], *[[label, d[f], state(f, d[f], c.get(f))] for f, label in zip(FIELDS, SHEET_LABELS, strict=True)]]
+            second = [["Поле", "Корректно", "Значение", "Причина"], *[[label, "Да" if c[f]["valid"] else "Нет", c[f]["value"], c[f]["reason"]] for f, label in CHECKED.items()], *[[x] for x in e]]
             out.append(workbook({"Реквизиты": first, "Валидация": second}))
         return pd.Series(out, dtype=object)
 
-    return results.select(key, F.pandas_udf(made, "binary")(values, states, found, F.col("errors")).alias("content"))
+    return results.select(key, F.pandas_udf(made, "binary")("details", "checks", "errors").alias("content"))
 
 
 def template_text(template: Column, details: Column) -> Column:
