@@ -90,7 +90,7 @@ def test_record_with_a_model(spark):
     r = {x.k: x for x in with_details(df, Settings(provider="test"), client=client).collect()}
     assert r[1].details.inn is None and r[1].details.company_name == "ООО Б" and r[1].details.ceo_fio == ""
     assert "ИНН: значение '1234567890' отклонено — invalid checksum (10-digit INN)" in r[1].review_reasons and r[1].errors[0] == "invalid checksum (10-digit INN)"
-    assert r[1].fill_rate == 0.19 and r[1].extracted_by == {"short_name": "llm"}
+    assert r[1].fill_rate == 0.19 and r[1].extracted_by == {"inn": "llm", "short_name": "llm"}
     assert "no service" in r[2].answer_error and "Cannot parse" in r[3].answer_error
 
 
