@@ -2,11 +2,13 @@
 
 A document's histograms of character classes and of common words are compared with its language's, which are summed over
 all documents, by Jensen-Shannon distance (base 2, so 0 to 1). Texts too short for a histogram to say anything are not
-judged by it.
+judged by it. The greatest distance of common words is a share of what a text without any has in that language.
 """
 
 from __future__ import annotations
 
+from math import log2, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,11 @@ COMMON = tuple(
     )
 )
 
-#: The verdict's parameters: greatest distances, and least characters and words to judge by them.
-MAX_CLASS, MAX_COMMON, MIN_CHARS, MIN_WORDS = 0.32, 0.5, 200, 50
+#: The verdict's parameters: greatest distances (that of common words as a share of the distance of a text without any), and
+#: least characters and words to judge by them.
+MAX_CLASS, MAX_COMMON, MIN_CHARS, MIN_WORDS = 0.32, 0.85, 200, 50
+#: Common words that a text of its length has on average in its language, at least, to be judged by them.
+MIN_COMMON = 10
 #: Documents that a language needs for a reference of its own; those of others are compared with all documents' sums.
 MIN_DOCS = 20
 
@@ -83,9 +88,9 @@ class References:
     """By language: shares of the character classes and of the common words, summed over all its documents."""
 
     def __init__(self, table: DataFrame, min_docs: int = MIN_DOCS):
-        sums = table.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("words"), *[F.sum(F.get("classes", k)).alias(f"c{k}") for k in range(len(CLASSES))]).collect()
+        sums = table.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("words"), F.count_if(F.col("n_words") >= MIN_WORDS).alias("long"), F.count_if((F.col("n_words") >= MIN_WORDS) & (F.size("common") > 0)).alias("some"), *[F.sum(F.get("classes", k)).alias(f"c{k}") for k in range(len(CLASSES))]).collect()
         words = table.select("lang", F.explode("common").alias("x")).groupBy("lang", "x.word").agg(F.sum("x.n").alias("n")).collect()
-        self.classes, self.common = {}, {}
+        self.classes, self.common, self.usual = {}, {}, {}
         for lang in [None, *sorted(r["lang"] for r in sums if r["lang"] is not None and r["docs"] >= min_docs)]:
             rows = [r for r in sums if lang is None or r["lang"] == lang]  # None: all documents
             self.classes[lang] = self._shares([sum(r[f"c{k}"] or 0 for r in rows) for k in range(len(CLASSES))])
@@ -95,11 +100,19 @@ class References:
                     n[r["word"]] += r["n"]
             total = max(1, sum(r["words"] or 0 for r in rows))
             self.common[lang] = {w: x / total for w, x in n.items() if x}
+            # in a language of which COMMON has no words, a text without any is usual
+            self.usual[lang] = 2 * sum(r["some"] for r in rows) > sum(r["long"] for r in rows)
 
     @staticmethod
     def _shares(counts: list[int]) -> list[float]:
         return [x / max(1, sum(counts)) for x in counts]
 
+    def without(self, lang: str | None) -> float:
+        """common_distance of a text that has none of the language's common words."""
+        rest = 1 - sum(self.common[lang].values())
+        m = (1 + rest) / 2
+        return sqrt(max(0.0, (1 - rest - log2(m) + (rest * log2(rest / m) if rest > 0 else 0.0)) / 2))
+
     def of(self, lang: Column, what) -> Column:
         """what(reference) by language; languages without a reference get that of all documents."""
         out = None
@@ -116,7 +129,11 @@ def _half(p: Column, q: Column) -> Column:
 
 
 def distances(table: DataFrame, refs: References) -> DataFrame:
-    """Adds class_distance and common_distance to rows of features with their lang."""
+    """Adds class_distance, common_distance and common_without to rows of features with their lang.
+
+    common_without: common_distance of a text without common words; null where the text or its language has too few of them to
+    judge by.
+    """
     n = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
     shares = table.withColumns({
         "_q": refs.of(F.col("lang"), lambda a: F.array(*map(F.lit, refs.classes[a]))),
@@ -137,13 +154,14 @@ def distances(table: DataFrame, refs: References) -> DataFrame:
     })
     # of a word that the document lacks, half its share in the reference is left; all other words are one category
     common = F.col("_d") + (F.col("_all") - F.col("_m")) / 2 + _half(1 - F.col("_p"), 1 - F.col("_all"))
+    without = F.when(F.col("n_words") * F.col("_all") >= MIN_COMMON, refs.of(F.col("lang"), lambda a: F.lit(refs.without(a) if refs.usual[a] else None).cast("double")))
     root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
-    return sums.withColumns({"class_distance": root(F.col("_c")), "common_distance": root(common)}).drop("_q", "_r", "_n", "_c", "_w", "_p", "_m", "_d", "_all")
+    return sums.withColumns({"class_distance": root(F.col("_c")), "common_distance": root(common), "common_without": without}).drop("_q", "_r", "_n", "_c", "_w", "_p", "_m", "_d", "_all")
 
 
 def verdict(max_class: float = MAX_CLASS, max_common: float = MAX_COMMON, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> Column:
     """False for a text long enough to judge whose histogram is too far from its language's."""
-    return ~(((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_words) & (F.col("common_distance") > max_common)))
+    return ~(((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_words) & F.coalesce(F.col("common_distance") > max_common * F.col("common_without"), F.lit(False))))
 
 
 def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
