@@ -5,15 +5,15 @@ by selected minwise tokens: a node's members share the tokens chosen on its path
 again by further tokens. Members of small nodes are compared with each other by their whole signatures. What could be
 similar is gathered, and every link is confirmed on full sets.
 
-A pair at the threshold of 0.8 shares a small node of the first level in one of three trees but for 0.2 ** 9 of cases, and
-of the deepest level but for about 3e-6.
+A pair at the threshold of 0.8 shares a node of the first level in one of three trees but for 0.2 ** 9 of cases, and one of
+the deepest level but for about 3e-6, as each node is branched by tokens of its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.llm import _common as C
@@ -21,9 +21,13 @@ from kartoteka.llm.components import components
 
 #: Trees, and tokens chosen at each level of a tree.
 TREES, CHOSEN = 3, (3, 2, 2)
-#: Minwise tokens of a signature; the trees choose among the first of them.
-TOKENS = 32
-#: Equal tokens that a pair must have to be looked at further; a pair at 0.8 has fewer in one of a million cases.
+#: Minwise tokens of a node's whole subtree below each level: its own branches and theirs.
+BELOW = (CHOSEN[1] * (1 + CHOSEN[2]), CHOSEN[2], 0)
+#: Minwise tokens of a signature: each branch of each node of each tree has one of its own.
+TOKENS = TREES * CHOSEN[0] * (1 + BELOW[0])
+#: Members of a small node are compared by so many of them.
+COMPARED = 32
+#: Equal ones of those that a pair must have to be looked at further; a pair at 0.8 has fewer in one of a million cases.
 LEAST_EQUAL = 14
 #: A node of at most so many members is compared exhaustively, a larger one is branched.
 SMALL = 48
@@ -82,31 +86,22 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _branches(parent: list[Column], tokens: list[Column]) -> Column:
-    return F.explode(F.array(*[F.xxhash64(*parent, F.lit(b), t) for b, t in enumerate(tokens)]))
-
-
 def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, doc_id) of the small nodes that are to be compared, and of the nodes that stay large at the deepest level."""
-    per_tree = sum(CHOSEN)
-    deeper = per_tree - CHOSEN[0]
-    trees = []
-    for t in range(TREES):
-        token = [F.get("sig", t * per_tree + j) for j in range(per_tree)]
-        trees.append(F.struct(F.array(*[F.xxhash64(F.lit(t), F.lit(b), token[b]) for b in range(CHOSEN[0])]).alias("nodes"), F.array(*token[CHOSEN[0] :]).alias("next")))
-    first = classes.select("doc_id", F.explode(F.array(*trees)).alias("t")).select("doc_id", F.explode("t.nodes").alias("node"), F.col("t.next").alias("next"))
-    small, used = [], 0
-    level = first
-    for chosen in (*CHOSEN[1:], 0):
+    roots = TREES * CHOSEN[0]
+    # next: the tokens of the node's subtree, first those of its own branches, then each branch's
+    nodes = [F.struct(F.xxhash64(F.lit(t), F.get("sig", t)).alias("node"), F.slice("sig", roots + t * BELOW[0] + 1, BELOW[0]).alias("next")) for t in range(roots)]
+    small = []
+    level = classes.select("doc_id", F.explode(F.array(*nodes)).alias("t")).select("doc_id", "t.*")
+    for chosen, below in zip((*CHOSEN[1:], 0), (*BELOW[1:], 0), strict=True):
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n >= 2")
         # written, so that each level is one small plan
         sized = C.written(level.join(sizes, "node"), "level")
         small.append(sized.where(F.col("n") <= SMALL).select("node", "doc_id"))
         large = sized.where(F.col("n") > SMALL)
         if chosen:
-            level = large.select("doc_id", _branches([F.col("node")], [F.get("next", used + b) for b in range(chosen)]).alias("node"), "next")
-            used += chosen
-    assert used == deeper
+            branches = [F.struct(F.xxhash64("node", F.lit(b), F.get("next", b)).alias("node"), F.slice("next", chosen + b * below + 1, below).alias("next")) for b in range(chosen)]
+            level = large.select("doc_id", F.explode(F.array(*branches)).alias("t")).select("doc_id", "t.*")
     out = small[0]
     for more in small[1:]:
         out = out.unionByName(more)
@@ -123,7 +118,7 @@ def _alike(rows: pd.DataFrame) -> pd.DataFrame:
     a, b = [], []
     for m in np.unique(sizes[sizes > 1]):
         those = starts[sizes == m]
-        step = max(1, (1 << 22) // int(m * m * TOKENS))
+        step = max(1, (1 << 22) // int(m * m * COMPARED))
         for k in range(0, len(those), step):
             at = those[k : k + step, None] + np.arange(m)
             s = sig[at]
@@ -144,7 +139,7 @@ def candidates(classes: DataFrame, rows: int) -> DataFrame:
     """Edges (a, b) between classes that may be similar; members of a node that no path divides are joined to its least."""
     small, large = leaves(classes)
     parts = max(C.width(classes.sparkSession), -(-rows // 20_000))
-    signed = small.join(classes.select("doc_id", "sig"), "doc_id")
+    signed = small.join(classes.select("doc_id", F.slice("sig", 1, COMPARED).alias("sig")), "doc_id")
     alike = signed.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).applyInPandas(lambda x: _alike(x), "a long, b long")
     star = large.join(large.groupBy("node").agg(F.min("doc_id").alias("b")), "node").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
     return alike.unionByName(star).distinct()
