@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 MEMO = 300_000
 #: Longer words are computed each time: a memo of them would not be bounded in bytes.
 MEMO_BYTES = 64
+#: What may be broadcast; beyond that a join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

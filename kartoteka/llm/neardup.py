@@ -2,29 +2,30 @@
 
 Each document is a set of word shingles. Equal sets form one class and go on as one. Independent trees branch the classes
 by selected minwise tokens: a node's members share the tokens chosen on its path, and a node with many members is branched
-again by further tokens. Members of small nodes are compared with each other by their whole signatures. What could be
-similar is gathered, and every link is confirmed on full sets.
+again by further tokens, drawn by the node's name. Members of small nodes are compared with each other by their signatures. A
+large node whose members all resemble its least one needs no more branches. What could be similar is gathered, and every
+link is confirmed on full sets.
 
 A pair at the threshold of 0.8 shares a node of the first level in one of three trees but for 0.2 ** 9 of cases, and one of
-the deepest level but for about 3e-6, as each node is branched by tokens of its own.
+the third level but for about 4e-6.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.llm import _common as C
 from kartoteka.llm.components import components
 
-#: Trees, and tokens chosen at each level of a tree.
-TREES, CHOSEN = 3, (3, 2, 2)
-#: Minwise tokens of a node's whole subtree below each level: its own branches and theirs.
-BELOW = (CHOSEN[1] * (1 + CHOSEN[2]), CHOSEN[2], 0)
-#: Minwise tokens of a signature: each branch of each node of each tree has one of its own.
-TOKENS = TREES * CHOSEN[0] * (1 + BELOW[0])
+#: Trees, and branches of each of a tree's nodes by level; nodes of the last level have none.
+TREES, CHOSEN = 3, (3, 2, 2, 2, 2, 2)
+#: From this level on a large node is not branched if its members resemble its least one.
+LIKE_LEAST = 3
+#: Minwise tokens of a signature: the first are the trees' roots, a deeper branch takes the one that its node's name draws.
+TOKENS = 48
 #: Members of a small node are compared by so many of them.
 COMPARED = 32
 #: Equal ones of those that a pair must have to be looked at further; a pair at 0.8 has fewer in one of a million cases.
@@ -35,8 +36,8 @@ SMALL = 48
 BLOCK = 2_000_000
 #: Members of a group of many blocks that all its blocks see.
 LEADERS = 64
-#: Rows that may be broadcast; beyond that the join is shuffled.
-BROADCAST_ROWS = 400_000
+#: Bytes of a broadcast row of ids and small numbers.
+ID_ROW_BYTES = 64
 
 _rng = np.random.default_rng(20)
 MULTIPLIERS = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,26 +87,64 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, doc_id) of the small nodes that are to be compared, and of the nodes that stay large at the deepest level."""
+def _branch(node: Column | str, b: int) -> Column:
+    """The place in the signature of a node's branch b: behind the roots', drawn by the node's name, another one for each b."""
     roots = TREES * CHOSEN[0]
-    # next: the tokens of the node's subtree, first those of its own branches, then each branch's
-    nodes = [F.struct(F.xxhash64(F.lit(t), F.get("sig", t)).alias("node"), F.slice("sig", roots + t * BELOW[0] + 1, BELOW[0]).alias("next")) for t in range(roots)]
-    small = []
-    level = classes.select("doc_id", F.explode(F.array(*nodes)).alias("t")).select("doc_id", "t.*")
-    for chosen, below in zip((*CHOSEN[1:], 0), (*BELOW[1:], 0), strict=True):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n >= 2")
+    n = TOKENS - roots
+    step = F.lit(1) + F.pmod(F.xxhash64(node, F.lit(1)), F.lit(n - 1))
+    return (F.lit(roots) + F.pmod(F.pmod(F.xxhash64(node), F.lit(n)) + F.lit(b) * step, F.lit(n))).cast("int")
+
+
+def _children(members: DataFrame, chosen: int) -> DataFrame:
+    """(node, doc_id) of the branches of members (node, doc_id, sig)."""
+    nodes = [F.xxhash64("node", F.lit(b), F.get("sig", _branch("node", b))) for b in range(chosen)]
+    return members.select("doc_id", F.explode(F.array(*nodes)).alias("node"))
+
+
+def _equal_tokens(a: str, b: str) -> Column:
+    """How many of the first COMPARED tokens of two signatures are equal."""
+    same = F.zip_with(F.slice(a, 1, COMPARED), F.slice(b, 1, COMPARED), lambda x, y: (x == y).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda n, x: n + x)
+
+
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, doc_id) of the small nodes that are to be compared, and (a, b) of classes with the least of a large node.
+
+    Sizes of nodes and their least members are written before they are joined, so that a hot node's members can be split
+    among tasks by adaptive execution.
+    """
+    sigs = classes.select("doc_id", "sig")
+    roots = [F.xxhash64(F.lit(t), F.get("sig", t)) for t in range(TREES * CHOSEN[0])]
+    small, stars = [], []
+    level = sigs.select("doc_id", F.explode(F.array(*roots)).alias("node"))
+    for depth, chosen in enumerate((*CHOSEN[1:], 0), 1):
+        sizes = C.written(level.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n >= 2"), "sizes")
         # written, so that each level is one small plan
         sized = C.written(level.join(sizes, "node"), "level")
         small.append(sized.where(F.col("n") <= SMALL).select("node", "doc_id"))
-        large = sized.where(F.col("n") > SMALL)
+        large = sized.where(F.col("n") > SMALL).select("node", "doc_id", "least")
+        if large.isEmpty():
+            break
+        members = large.join(sigs, "doc_id")
+        if depth >= LIKE_LEAST:
+            least = sigs.select(F.col("doc_id").alias("least"), F.col("sig").alias("least_sig"))
+            named = sizes.where(F.col("n") > SMALL).select("node", "least").join(least, "least").select("node", "least_sig")
+            found = C.written(members.join(named, "node").withColumn("like", _equal_tokens("sig", "least_sig") >= LEAST_EQUAL).drop("least_sig"), "members")
+            # a node all of whose members resemble its least one is done; of others, those that do are linked with it already
+            open_nodes = C.written(found.where("not like").select("node").distinct(), "open")
+            stars.append((found if not chosen else found.where("like")).where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+            members = found.join(open_nodes, "node", "left_semi")
         if chosen:
-            branches = [F.struct(F.xxhash64("node", F.lit(b), F.get("next", b)).alias("node"), F.slice("next", chosen + b * below + 1, below).alias("next")) for b in range(chosen)]
-            level = large.select("doc_id", F.explode(F.array(*branches)).alias("t")).select("doc_id", "t.*")
-    out = small[0]
-    for more in small[1:]:
+            level = _children(members, chosen)
+    none = classes.sparkSession.createDataFrame([], "a long, b long")
+    return _union(small), _union([none, *stars])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
-    return out, large.select("node", "doc_id")
+    return out
 
 
 def _alike(rows: pd.DataFrame) -> pd.DataFrame:
@@ -137,39 +176,75 @@ def _alike(rows: pd.DataFrame) -> pd.DataFrame:
 
 def candidates(classes: DataFrame, rows: int) -> DataFrame:
     """Edges (a, b) between classes that may be similar; members of a node that no path divides are joined to its least."""
-    small, large = leaves(classes)
+    small, stars = leaves(classes)
     parts = max(C.width(classes.sparkSession), -(-rows // 20_000))
     signed = small.join(classes.select("doc_id", F.slice("sig", 1, COMPARED).alias("sig")), "doc_id")
     alike = signed.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).applyInPandas(lambda x: _alike(x), "a long, b long")
-    star = large.join(large.groupBy("node").agg(F.min("doc_id").alias("b")), "node").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
-    return alike.unionByName(star).distinct()
+    return alike.unionByName(stars).distinct()
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] values, then those of the next start."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class _Group:
-    """Sets that are compared with each other; labels of linked ones become one. Pairs with equal labels need no look."""
+    """Sets that are compared with each other; labels of linked ones become one. Pairs with equal labels need no look.
+
+    Tokens are ordered from rare to common. Two linked sets share one among the rarest (1 - threshold) of each, so a set
+    is compared with those that the postings of its rarest tokens give, if sizes and places there leave enough in common.
+    """
 
     def __init__(self, sets: list[np.ndarray], labels: np.ndarray, least: tuple[int, int]):
-        self.sets, self.labels, (self.num, self.den) = sets, labels, least
+        self.labels, (self.num, self.den) = labels, least
         self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        self.x = np.concatenate(sets)
+        _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(n), np.int64)
+        rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+        set_of = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(set_of * len(n) + rank[token])
+        self.x = rank[token][order]
         self.starts = np.cumsum(self.sizes) - self.sizes
+        #: How much of each set others have too.
+        self.shared = np.add.reduceat((n[token] > 1).astype(np.int64), self.starts) / self.sizes
+        self.rarest = self.sizes - -(-self.num * self.sizes // self.den) + 1
+        at = _ranges(self.starts, self.rarest)
+        by_token = np.argsort(self.x[at], kind="stable")
+        self.of = np.repeat(np.arange(len(sets)), self.rarest)[by_token]
+        self.place = (at - np.repeat(self.starts, self.rarest))[by_token]
+        self.first = np.searchsorted(self.x[at][by_token], np.arange(len(n) + 1))
+        self.mark = np.zeros(len(n), bool)
 
     def look(self, i: int) -> None:
-        """Compares set i with all others and gives all that are linked its own or their least label."""
-        own = self.sets[i]
-        at = np.minimum(np.searchsorted(own, self.x), len(own) - 1)
-        both = np.add.reduceat((own[at] == self.x).astype(np.int64), self.starts)
-        linked = both * self.den >= self.num * (self.sizes + len(own) - both)
-        met = np.unique(self.labels[linked])
-        if len(met) > 1:
+        """Compares set i with all that it can be linked with and gives all that are linked its own or their least label."""
+        size, own = int(self.sizes[i]), self.x[self.starts[i] : self.starts[i] + self.sizes[i]]
+        rare = own[: self.rarest[i]]
+        n = self.first[rare + 1] - self.first[rare]
+        posting = _ranges(self.first[rare], n)
+        # of postings of one set, the first is the rarest token in common
+        others, k = np.unique(self.of[posting], return_index=True)
+        before, theirs, sizes = np.repeat(np.arange(len(rare)), n)[k], self.place[posting][k], self.sizes[others]
+        enough = np.minimum(size - before, sizes - theirs) * (self.num + self.den) >= self.num * (size + sizes)
+        others = others[enough & (self.labels[others] != self.labels[i])]
+        if not len(others):
+            return
+        sizes = self.sizes[others]
+        self.mark[own] = True
+        both = np.add.reduceat(self.mark[self.x[_ranges(self.starts[others], sizes)]].astype(np.int64), np.cumsum(sizes) - sizes)
+        self.mark[own] = False
+        linked = both * self.den >= self.num * (sizes + size - both)
+        if linked.any():
+            met = np.unique(np.append(self.labels[others[linked]], self.labels[i]))
             self.labels[np.isin(self.labels, met)] = met[0]
 
     def settle(self, own: np.ndarray) -> None:
         """Looks with the sets `own` until each pair of one of them with any set is known to have one label or not to be linked.
 
-        If all are own, one of a pair has to look, so those of the commonest label are spared.
+        If all are own, one of a pair has to look, so those of the commonest label are spared. Sets that share most with
+        others look first, as they link most.
         """
-        seen = np.zeros(len(self.sets), bool)
+        seen = np.zeros(len(self.sizes), bool)
+        order = np.argsort(-self.shared, kind="stable")
         while True:
             names, n = np.unique(self.labels, return_counts=True)
             if len(names) == 1:
@@ -177,11 +252,11 @@ class _Group:
             todo = own & ~seen
             if own.all():
                 todo &= self.labels != names[np.argmax(n)]
-            todo = np.flatnonzero(todo)
-            if not len(todo):
+            if not todo.any():
                 return
-            seen[todo[0]] = True
-            self.look(int(todo[0]))
+            i = int(order[np.argmax(todo[order])])
+            seen[i] = True
+            self.look(i)
 
 
 def _linked(rows: pd.DataFrame, least: tuple[int, int]) -> pd.DataFrame:
@@ -197,16 +272,36 @@ def _linked(rows: pd.DataFrame, least: tuple[int, int]) -> pd.DataFrame:
     return edges[edges["a"] != edges["b"]]
 
 
-def _within(df: DataFrame, ids: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key is in ids, with ids' columns: ids are broadcast only if they are few."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, key)
+def _with_ids(df: DataFrame, ids: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """Rows of df whose key is in ids, with ids' columns, which are n rows of a few numbers: broadcast only if small in bytes."""
+    return df.join(F.broadcast(ids) if n * ID_ROW_BYTES <= C.BROADCAST_BYTES else ids, key)
+
+
+def _may_be_linked(outside: DataFrame, members: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(g, doc_id) of the sets of `outside` that have enough shingles in common with other members of their group to be linked.
+
+    Shingles are counted over all members of the group, with partial sums before the shuffle.
+    """
+
+    def tokens(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, np.int64) for x in b["shingles"]]
+            sizes = [len(x) for x in sets]
+            yield pd.DataFrame({"g": np.repeat(b["g"].to_numpy(), sizes), "doc_id": np.repeat(b["doc_id"].to_numpy(), sizes), "token": np.concatenate([np.empty(0, np.int64), *sets])})
+
+    schema = "g long, doc_id long, token long"
+    asked = outside.select("g", "doc_id", "shingles").mapInPandas(tokens, schema)
+    met = members.select("g", "doc_id", "shingles").mapInPandas(tokens, schema).groupBy("g", "token").agg(F.count("*").alias("n")).where("n > 1").select("g", "token")
+    there = asked.join(met, ["g", "token"]).groupBy("g", "doc_id").agg(F.count("*").alias("met"))
+    return outside.select("g", "doc_id", "n_shingles").join(there, ["g", "doc_id"]).where(F.col("met") * least[1] >= F.col("n_shingles") * least[0]).select("g", "doc_id")
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
     """(node, component): the groups' members by links that full sets confirm.
 
     A group of at most BLOCK shingles is compared in one task. A larger one is dealt by a hash into blocks, which share some
-    leaders; then members outside the group's commonest component, few where copies are near, meet all its blocks.
+    leaders; then members outside the group's commonest component meet all its blocks, but for those that have too few
+    shingles which any other member has, and so no link.
     """
     spark = docs.sparkSession
     sized = C.written(groups.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "groups")
@@ -227,7 +322,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, le
                     at += len(part)
                     yield own.assign(shingles=[x.tobytes() for x in shingle_sets(part, k)])
 
-        found = _within(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), wanted, rows)
+        found = _with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), wanted, rows)
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.drop("text").schema)
         return found.mapInPandas(sets, fields + ", shingles binary")
 
@@ -250,13 +345,16 @@ def confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, le
     named = placed.where("blocks > 1").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "g", "members", "blocks", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
     named = C.written(named, "named")
     commonest = named.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("label", "n").alias("common"))
-    outside = named.join(commonest, "g").withColumn("out", F.col("label") != F.col("common"))
-    chunks = outside.where("out").groupBy("g").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("chunks"))
-    again = C.written(outside.join(chunks, "g").drop("common"), "again")
-    sets = C.written(with_sets(again, again.count()), "sets")
+    outside = named.join(F.broadcast(commonest) if commonest.count() * ID_ROW_BYTES <= C.BROADCAST_BYTES else commonest, "g")
+    outside = outside.withColumn("out", F.col("label") != F.col("common")).drop("common")
+    found = C.written(with_sets(outside, named.count()), "sets")
+    asking = C.written(_may_be_linked(found.where("out"), found, least), "asking")
+    chunks = asking.join(named.select("g", "doc_id", "n_shingles"), ["g", "doc_id"]).groupBy("g").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("chunks"))
+    sets = C.written(found.join(asking.withColumn("asks", F.lit(True)), ["g", "doc_id"], "left").withColumn("out", F.col("asks").isNotNull()).drop("asks").join(chunks, "g"), "sets")
     chunk = F.pmod(hashed, F.col("chunks")).cast("int")
     asked = sets.where("out").select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), "label", F.lit(True).alias("ask"), "shingles")
     rest = sets.where("not out").select("doc_id", "g", own_block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "label", F.lit(False).alias("ask"), "shingles")
+    # those that ask meet those of other chunks in the block that is their own
     others = sets.where("out").select("doc_id", "g", own_block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "label", F.lit(False).alias("ask"), "shingles")
     more = compared(asked.unionByName(others).unionByName(rest))
     return components(C.written(links.unionByName(more), "links"))
