@@ -21,28 +21,33 @@ LEAST_LANGUAGE = 0.5
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below 0.5 by the model of op8; null and empty texts have no toxic term and stay."""
-    machine = toxicity.fit(toxicity.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.score(docs, machine, to="_toxicity").where("_toxicity < 0.5").select(docs.columns)
+    machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out()))
+    mark = C.free_name("toxicity", docs.columns)
+    return toxicity.score(docs, machine, to=mark).where(F.col(mark) < 0.5).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a probability of LEAST_LANGUAGE or more; those without a letter go."""
     model = langid.fit(docs.where(~langid.held_out()))
-    said = langid.predict(docs, model, lang="_lang", score="_score")
-    return said.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_LANGUAGE)).select(docs.columns)
+    lang, score = C.free_name("said", docs.columns), C.free_name("probability", docs.columns)
+    said = langid.predict(docs, model, lang=lang, score=score)
+    return said.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of five-word-shingle near duplicates.
 
-    Rows of one id are one document, of which one row stays. Rows without an id can't be named, and stay.
+    Rows of one id are one document, of which one row stays. Rows without an id can't be named, and stay. What goes is
+    decided on ids; the ids are broadcast if they are small in bytes, else the texts are shuffled by id once.
     """
-    found = C.written(neardup.near_duplicates(docs, k=5), "near")
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.join(again, "doc_id", "left_anti")
-    return once.unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    found = C.written(neardup.near_duplicates(docs, k=5).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "near")
+    gone = found.where("not kept").select("doc_id")
+    again = found.where("kept").select("doc_id")
+    small = gone.count() * neardup.ID_ROW_BYTES <= C.BROADCAST_BYTES
+    known = docs.where("doc_id is not null").join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    if not again.isEmpty():
+        known = known.dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

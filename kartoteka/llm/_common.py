@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import contextlib
 import uuid
 
 import numpy as np
 import xxhash
 import zstandard
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 MEMO = 300_000
 #: Longer words are computed each time: a memo of them would not be bounded in bytes.
 MEMO_BYTES = 64
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: What may be broadcast; beyond that a join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -24,9 +27,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, as single texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's bound of an Arrow batch's bytes, as all of a batch's texts are in a worker's memory at once.
+
+    Only Spark's own default is lowered, not what the user chose. It holds for the session, as results are computed later;
+    other queries just get smaller batches.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores in front as no column of a table has; names differ in case only count as equal."""
+    taken = {c.lower() for c in columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def id_crc(doc_id: Column | str) -> Column:
@@ -36,26 +54,57 @@ def id_crc(doc_id: Column | str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the setting is absent."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='kartoteka-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse, which a cluster shares as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written meanwhile are removed at the end, but for those that `kept` names."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            _removed(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written outside the innermost scratch: for the result of an operator whose other tables go."""
+    paths = _open.pop() if _open else None
+    try:
+        return written(df, name)
+    finally:
+        if paths is not None:
+            _open.append(paths)
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing."""
+    """The rows as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing.
+
+    The table is removed at the end of the innermost scratch, or else when the session ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     # the shuffle files of a finished write are of no further use
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
     try:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
-    atexit.register(_removed, spark, path)
+        spark.conf.set(key, before)
+    if _open:
+        _open[-1].append(path)
+    else:
+        atexit.register(_removed, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +113,7 @@ def _removed(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended; its folder is the cluster's to clean
+    except (Py4JError, OSError, AttributeError):  # the session has ended; its folder is the cluster's to clean
         pass
 
 
@@ -119,6 +168,14 @@ def slices(texts: list, chars: int = 2_000_000):
         yield part
 
 
+def parts(b, text: str):
+    """(texts, rows) of consecutive parts of a pandas batch, as slices of its texts."""
+    at = 0
+    for texts in slices(b[text].tolist()):
+        yield texts, b.iloc[at : at + len(texts)]
+        at += len(texts)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _jumped(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Each component goes to the least component at the end of its descending chain of least neighbours, whose own label stays."""
-    down = edges.groupBy(F.col("v").alias("component")).agg(F.min("u").alias("to"))
+    # written, so that a join on `to`, where a star's members meet, can be split
+    down = C.written(edges.groupBy(F.col("v").alias("component")).agg(F.min("u").alias("to")), "down")
     while True:  # twice as many steps each time
         again = down.select(F.col("component").alias("to"), F.col("to").alias("further"))
         steps = C.written(down.join(again, "to", "left").select("component", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "steps")

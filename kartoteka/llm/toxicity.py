@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(bias + sum of weights + sum over pairs of the inner products of their factors): the pair part finds an
-insult next to a group's name, where each alone says little. Terms are hashes of words and of their first letters; a document's features are the distinct terms
-of its whole text.
+insult next to a group's name, where each alone says little. Terms are hashes of words and of their first letters; a
+document's features are the distinct terms of its whole text. Every term of the training documents has a weight and factors;
+how strongly it counts is set by how surely its share differs between the labels, so that rare terms are not learned by heart.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 from kartoteka.llm import _common as C
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Terms are hashed into so many places; the model keeps weights for TERMS of them.
+#: Terms are hashed into so many places.
 PLACES = 1 << 20
-TERMS = 2048
 FACTORS = 8
-#: Bound of the labelled documents of each label that the model is fitted on, whole texts each; drawn by a hash of the text.
+#: Bound of the labelled documents of each label that the model is fitted on, whole texts each; drawn by a hash of the id.
 TRAIN_ROWS = 6000
-
+#: A term counts LEAST_SCALE + z^2 / (z^2 + SURE); z: deviation of its documents of label 1 from what chance gives.
+LEAST_SCALE, SURE = 0.02, 64.0
+#: Passes over the training documents, documents of a step, size of a step.
+EPOCHS, BATCH, RATE = 6, 256, 1.0
 
 #: A word's terms: itself and its first so many letters, as stems are inflected.
 STEMS = (3, 4, 5, 6)
@@ -57,126 +60,148 @@ class _Terms(dict):
 _terms = _Terms()
 
 
-def terms(texts, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of the distinct terms of each text, in order; kept: a term's number by its place, -1 for those without."""
+def terms(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term) of the distinct terms of each text, in order."""
     split = [WORD.findall(t.lower()) if t else [] for t in texts]
     row = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
     _terms.anew()
     word = np.fromiter(map(_terms.__getitem__, chain.from_iterable(split)), np.int64, len(row))
-    table = _terms.table[: _terms.used]
-    if kept is None:
-        at = table[word]
-        row = np.repeat(row, at.shape[1])
-    else:
-        table = kept[table]
-        some = (table >= 0).any(1)[word]
-        row, at = row[some], table[word[some]]
-        row = np.repeat(row, at.shape[1])[at.reshape(-1) >= 0]
-        at = at[at >= 0]
-    both = np.unique(row * PLACES + at.reshape(-1))
+    # distinct words of a text before their terms, which are several times as many
+    both = np.unique(row * (1 << 32) + word)
+    row, table = both >> 32, _terms.table[both & 0xFFFFFFFF]
+    both = np.unique((row[:, None] * PLACES + table).reshape(-1))
     return both // PLACES, both % PLACES
 
 
+def _sums(values: np.ndarray, starts: np.ndarray, n: int | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+    """Sums of consecutive runs of values; with n and rows: put at these rows of n, others are 0."""
+    out = np.add.reduceat(values, starts, axis=0) if len(starts) else values[:0]
+    if n is None:
+        return out
+    full = np.zeros((n, *values.shape[1:]), values.dtype)
+    full[rows] = out
+    return full
+
+
 class Machine:
-    def __init__(self, kept: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
-        self.kept, self.bias, self.w, self.v = kept, bias, w, v
+    """Weights, factors and scales of the terms in `kept` (ascending); other terms count nothing."""
 
-    def margin(self, row: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The margins of n rows, and each row's sums of factors."""
-        s = np.stack([np.bincount(row, v, n) for v in self.v[term].T], 1) if len(row) else np.zeros((n, self.v.shape[1]))
-        pairs = (s**2).sum(1) - np.bincount(row, (self.v[term] ** 2).sum(1), n)
-        return self.bias + np.bincount(row, self.w[term], n) + pairs / 2, s
+    def __init__(self, kept: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray, scale: np.ndarray):
+        self.kept, self.bias, self.w, self.v, self.scale = kept, bias, w, v, scale
+        self.places: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"places": None}
+
+    def margin(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """The margins of n rows of terms, given by their numbers in `kept`; a row's features have length 1."""
+        rows, starts = np.unique(row, return_index=True)
+        x = self.scale[term]
+        x = x / np.sqrt(np.maximum(_sums(x * x, starts, n, rows), 1e-12))[row]
+        v = self.v[term] * x[:, None]
+        sums = _sums(v, starts, n, rows)
+        pairs = (sums**2).sum(1) - _sums((v**2).sum(1), starts, n, rows)
+        return self.bias + _sums(self.w[term] * x, starts, n, rows) + pairs / 2
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        places = np.full(PLACES, -1, np.int32)
-        places[self.kept] = np.arange(len(self.kept))
-        row, term = terms(texts, places)
-        return 1 / (1 + np.exp(-np.clip(self.margin(row, term, len(texts))[0], -40, 40)))
+        if self.places is None:
+            self.places = np.full(PLACES, -1, np.int32)
+            self.places[self.kept] = np.arange(len(self.kept))
+        row, term = terms(texts)
+        term = self.places[term]
+        known = term >= 0
+        return 1 / (1 + np.exp(-np.clip(self.margin(row[known], term[known], len(texts)), -40, 40)))
+
 
+def scales(docs: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
+    """How strongly each of n terms counts, from the documents of each label that have it."""
+    both = np.bincount(np.concatenate(docs), minlength=n)
+    ones = np.bincount(np.concatenate([np.empty(0, np.int64), *(d for d, k in zip(docs, y, strict=True) if k)]), minlength=n)
+    share = y.mean()
+    z2 = (ones - both * share) ** 2 / (both * share * (1 - share) + 1)
+    return (LEAST_SCALE + z2 / (z2 + SURE)).astype(np.float32)
 
-def trained(row: np.ndarray, term: np.ndarray, y: np.ndarray, kept: np.ndarray, epochs: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Machine:
-    """Full-batch Adam on the logistic loss; both labels weigh the same in sum.
 
-    The rows are a dense matrix of zeros and ones, which the bounds of rows and terms keep near 100 MB.
+def trained(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = 1e-5) -> Machine:
+    """Adagrad on the logistic loss over documents given by their terms; both labels weigh the same in sum.
+
+    A step touches the terms of its documents only, so memory and time grow with the documents' terms.
     """
-    rng, n = np.random.default_rng(5), len(y)
-    m = Machine(kept, 0.0, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
-    x = np.zeros((n, len(kept)), np.float32)
-    x[row, term] = 1
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1), m.w, m.v)]
-    for t in range(1, epochs + 1):
-        # sums of weights, of factors and of their squares of each row's terms, in one product
-        sums = x @ np.column_stack([m.w, m.v, (m.v**2).sum(1)]).astype(np.float32)
-        s = sums[:, 1:-1].astype(float)
-        z = m.bias + sums[:, 0] + ((s**2).sum(1) - sums[:, -1]) / 2
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        back = (x.T @ (n * np.column_stack([g, g[:, None] * s])).astype(np.float32)).astype(float) / n
-        gv = back[:, 1:] - back[:, :1] * m.v
-        steps = []
-        for (a, b), p in zip(moments, (np.array([g.sum()]), back[:, 0] + decay * m.w, gv + decay * m.v), strict=True):
-            a += 0.1 * (p - a)
-            b += 0.001 * (p**2 - b)
-            steps.append(rate * a / (1 - 0.9**t) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8))
-        m.bias -= float(steps[0][0])
-        m.w -= steps[1]
-        m.v -= 0.3 * steps[2]
+    rng, n = np.random.default_rng(5), len(docs)
+    kept = np.unique(np.concatenate(docs))
+    docs = [np.searchsorted(kept, d) for d in docs]
+    scale = scales(docs, y, len(kept))
+    m = Machine(kept, 0.0, np.zeros(len(kept), np.float32), rng.normal(0, 0.05, (len(kept), FACTORS)).astype(np.float32), scale)
+    sums_w, sums_v, sum_b = np.ones(len(kept), np.float32), np.ones((len(kept), FACTORS), np.float32), 1.0
+    weight = np.where(y == 1, n / 2 / max(1, (y == 1).sum()), n / 2 / max(1, (y == 0).sum()))
+    order = rng.permutation([i for i in range(n) if len(docs[i])])
+    steps = []
+    for at in range(0, len(order), BATCH):
+        rows = order[at : at + BATCH]
+        term = np.concatenate([docs[i] for i in rows])
+        sizes = np.array([len(docs[i]) for i in rows])
+        by_term = np.argsort(term, kind="stable")
+        steps.append((rows, term.astype(np.int32), sizes, np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[by_term], *np.unique(term[by_term], return_index=True)))
+    for _ in range(epochs):
+        for rows, term, sizes, row, used, first in steps:
+            starts, k = np.cumsum(sizes) - sizes, len(rows)
+            x = scale[term]
+            length = (1 / np.sqrt(_sums(x * x, starts))).astype(np.float32)
+            v = m.v[term] * x[:, None]
+            s = _sums(v, starts) * length[:, None]
+            z = m.bias + _sums(m.w[term] * x, starts) * length + ((s**2).sum(1) - _sums((v**2).sum(1), starts) * length**2) / 2
+            g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * weight[rows]).astype(np.float32)
+            # of a term: its documents' errors, times what its weight and its factors add there
+            gx, own = g * length, scale[used]
+            gw = _sums(gx[row], first) * own + decay * k * m.w[used]
+            gv = _sums((gx[:, None] * s)[row], first) * own[:, None] - (_sums((gx * length)[row], first) * own**2)[:, None] * m.v[used] + decay * k * m.v[used]
+            sums_w[used] += gw**2
+            sums_v[used] += gv**2
+            sum_b += float(g.sum()) ** 2
+            m.w[used] -= rate * gw / np.sqrt(sums_w[used])
+            m.v[used] -= 0.3 * rate * gv / np.sqrt(sums_v[used])
+            m.bias -= rate * float(g.sum()) / sum_b**0.5
     return m
 
 
-def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, n_terms: int = TERMS) -> Machine:
-    """Learns from text and toxic (0 or 1) of the rows; those with a null in either are left out.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Machine:
+    """Learns from docs (doc_id, text) that labels (doc_id, toxic: 0 or 1) mark; nulls in any of these are left out.
 
-    At most about max_rows of each label, drawn by a hash of the text; equal texts count once. Executors count in how many
-    documents of each label a term stands; the n_terms terms whose shares differ most by chi-square are kept, so what
-    reaches the driver is bounded by max_rows and n_terms. Without rows of both labels the score is the labels' own mean.
+    Of each label about max_rows ids at most are drawn by a hash of the id, on the labels alone; only their documents are
+    looked up, by a broadcast whose size max_rows bounds. Equal texts count once, as toxic if any of them is. Without
+    documents of both labels the score is that label's, or 0 without any.
     """
-    spark = labelled.sparkSession
-    C.small_batches(spark)
-    rows = labelled.where("text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("y"))
-    there = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(there) < 2:
-        return Machine(np.empty(0, np.int64), 40.0 if 1 in there else -40.0, np.zeros(0), np.zeros((0, FACTORS)))
-    share = F.when(F.col("y") == 1, F.lit(max_rows / there[1])).otherwise(F.lit(max_rows / there[0]))
-    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 40)) < share * float(1 << 40)
+    C.small_batches(docs.sparkSession)
+    marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
+    marks = C.written(marks, "marks")
+    there = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("_toxic") == 1, F.lit(max_rows / there.get(1, 1))).otherwise(F.lit(max_rows / there.get(0, 1)))
+    drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)) < share * float(1 << 40))
 
     def distinct(batches):
         for b in batches:
-            row, term = terms(b["text"])
-            ends = np.cumsum(np.bincount(row, minlength=len(b)))[:-1]
-            yield pd.DataFrame({"y": b["y"], "h": [xxhash.xxh3_64_intdigest(t) >> 1 for t in b["text"]], "terms": [x.astype(np.int32) for x in np.split(term, ends)]})
-
-    sets = C.written(rows.where(draw).mapInPandas(distinct, "y int, h long, terms array<int>").dropDuplicates(["h"]), "terms")
-    n = {r["y"]: r["n"] for r in sets.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    one = F.sum("y").cast("double")
-    df = sets.select("y", F.explode("terms").alias("term")).groupBy("term").agg(one.alias("a"), F.count("*").cast("double").alias("all")).where("all >= 3")
-    p, q = F.col("a") / F.lit(float(max(n1, 1))), (F.col("all") - F.col("a")) / F.lit(float(max(n0, 1)))
-    chi = (p - q) * (p - q) / (p + q)
-    kept = np.sort(np.array([r["term"] for r in df.select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(n_terms).collect()], np.int64))
-    wanted = spark.sparkContext.broadcast(kept)
-
-    def only(batches):
-        for b in batches:
-            known = wanted.value
-            found = []
-            for x in b["terms"]:
-                x = np.asarray(x, np.int64)
-                i = np.searchsorted(known, x)
-                i[i == len(known)] = 0
-                found.append(i[known[i] == x].astype(np.int32) if len(known) else i[:0].astype(np.int32))
-            yield pd.DataFrame({"y": b["y"], "h": b["h"], "terms": found})
+            for texts, rows in C.parts(b, "text"):
+                row, term = terms(texts)
+                ends = np.cumsum(np.bincount(row, minlength=len(texts)))[:-1]
+                yield pd.DataFrame({"y": rows["_toxic"].to_numpy(), "h": [xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], "terms": [x.astype(np.int32) for x in np.split(term, ends)]})
 
-    data = sets.mapInPandas(only, sets.schema).toPandas().sort_values("h", ignore_index=True)
-    sizes = data["terms"].map(len).to_numpy()
-    term = np.concatenate([np.empty(0, np.int64), *data["terms"].map(np.asarray)]).astype(np.int64)
-    return trained(np.repeat(np.arange(len(data)), sizes), term, data["y"].to_numpy(float), kept)
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "_toxic")
+    sets = rows.mapInPandas(distinct, "y int, h long, terms array<int>").groupBy("h").agg(F.max("y").alias("y"), F.first("terms").alias("terms"))
+    data = sets.toPandas().sort_values("h", ignore_index=True)
+    y = data["y"].to_numpy(float)
+    if len(set(y)) < 2 or not data["terms"].map(len).any():
+        return Machine(np.empty(0, np.int64), 40.0 if len(y) and y.mean() > 0.5 else -40.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32), np.zeros(0, np.float32))
+    return trained([np.asarray(t, np.int64) for t in data["terms"]], y)
 
 
 def score(df: DataFrame, machine: Machine, text: str | Column = "text", to: str = "score") -> DataFrame:
-    """Adds the score (0 to 1) of each row's whole text; null and empty texts get the score of no terms. All rows stay."""
+    """Adds the score (0 to 1) of each row's whole text; null and empty texts get the score of no terms.
+
+    All rows stay, equal texts get equal scores; an existing column of the name `to` is replaced. An empty table stays one.
+    Long texts are scored whole.
+    """
     C.small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(machine)  # TERMS times FACTORS numbers
+    shared = df.sparkSession.sparkContext.broadcast(machine)  # terms of TRAIN_ROWS documents of each label, PLACES at most
 
     def made(texts: pd.Series) -> pd.Series:
         return pd.Series(np.concatenate([np.empty(0), *(shared.value.scores(part) for part in C.slices(texts))]))
@@ -188,13 +213,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return C.id_crc(doc_id) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the documents that have a label and are not held out."""
-    return docs.where(~held_out()).select("doc_id", "text").join(labels.where(~held_out()).select("doc_id", "toxic"), "doc_id").select("text", "toxic")
-
-
 def toxicity_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; learned from labelled rows that are not held out."""
-    machine = fit(labelled(docs, labels))
+    """doc_id, held_out, score, predicted of every row of docs; learned from labelled rows that are not held out."""
+    machine = fit(docs.where(~held_out()), labels.where(~held_out()))
     scored = score(docs.select("doc_id", "text"), machine)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
