@@ -21,8 +21,8 @@ from kartoteka.llm import _common as C
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 UNDETERMINED = "und"
-#: Bound of the labelled documents that the model is fitted on, whole texts each; drawn by a hash of the id.
-TRAIN_ROWS = 6000
+#: Bound of the labelled documents of each language that the model is fitted on, whole texts each; drawn by a hash of the text.
+TRAIN_ROWS = 2000
 ROUNDS = 2
 
 
@@ -43,16 +43,73 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
     return {p: i + 1 for i, p in enumerate(fine)}, max(map(len, fine))
 
 
+class _Table:
+    """Piece ids by a hash of their characters, looked up for whole arrays: rounds of one slot each, until all have one."""
+
+    BITS, BASE = 18, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, int]):
+        self.rounds = []
+        keys = np.array([self.of([p])[0] for p in pieces], np.uint64)
+        ids = np.fromiter(pieces.values(), np.int32, len(pieces))
+        if len(np.unique(keys)) != len(keys):
+            raise ValueError("two pieces have one hash")
+        while len(keys):
+            slot = self._slot(keys, len(self.rounds))
+            _, first = np.unique(slot, return_index=True)
+            names, found = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+            names[slot[first]], found[slot[first]] = keys[first], ids[first]
+            self.rounds.append((names, found))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ids = keys[rest], ids[rest]
+
+    def _slot(self, keys: np.ndarray, k: int) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.BITS - 11 * k % 40)) & np.uint64((1 << self.BITS) - 1)
+
+    @classmethod
+    def of(cls, words: list[str]) -> np.ndarray:
+        """Hashes of words of one length."""
+        h = np.zeros(len(words), np.uint64)
+        for c in characters(words).T:
+            h = cls.longer(h, c)
+        return h
+
+    @classmethod
+    def longer(cls, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (h + c + np.uint64(1)) * cls.BASE
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(h.shape, -1, np.int32)
+        for k, (names, found) in enumerate(self.rounds):
+            slot = self._slot(h, k)
+            out = np.where(names[slot] == h, found[slot], out)
+        return out
+
+
+def characters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, one row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
+@functools.cache
+def _table(path: str) -> _Table:
+    return _Table(vocabulary(path)[0])
+
+
 def lattice(words: list[str], path: str) -> np.ndarray:
     """For marked words of one length: ids[word, end, k] of the piece of k + 1 characters before `end`, else -1."""
-    pieces, most = vocabulary(path)
-    n = len(words[0])
+    _, most = vocabulary(path)
+    table, c = _table(path), characters(words)
+    n = c.shape[1]
     most = min(most, n)
     ids = np.full((len(words), n + 1, most), -1, np.int32)
-    get = pieces.get
-    for r, w in enumerate(words):
-        row = [get(w[e - k - 1 : e], 0 if k == 0 else -1) if e > k else -1 for e in range(1, n + 1) for k in range(most)]
-        ids[r, 1:] = np.array(row, np.int32).reshape(n, most)
+    h = np.zeros(c.shape, np.uint64)
+    for k in range(most):  # hashes of the k + 1 characters from each place on
+        h = table.longer(h[:, : n - k], c[:, k:])
+        ids[:, k + 1 :, k] = table.ids(h)
+    single = ids[:, 1:, 0]
+    single[single < 0] = 0
     return ids
 
 
@@ -102,28 +159,29 @@ def by_length(words: list[str], cells: int = 1 << 18):
 def expected(words: list[str], counts: np.ndarray, p: np.ndarray, model: np.ndarray, path: str) -> np.ndarray:
     """Expected uses of each piece id in segmentations of the words, by model; word i belongs to model[i] and counts counts[i] times.
 
-    Words longer than 64 characters are left out: they are not words of a language that has white space.
+    Sums are kept as logarithms, so no word is too long.
     """
     out = np.zeros(p.shape)
-    words_at = [i for i, w in enumerate(words) if len(w) <= 64]
-    for part in by_length([words[i] for i in words_at]):
-        rows = np.array(words_at)[part]
+    for rows in by_length(words):
         ids = lattice([words[i] for i in rows], path)
         m = model[rows]
         own = p[ids, m[:, None, None]]  # word, end, k
         n, ends, most = ids.shape
         a, b = np.zeros((n, ends)), np.zeros((n, ends))
-        a[:, 0] = b[:, -1] = 1
         for e in range(1, ends):
             k = min(most, e)
-            a[:, e] = (a[:, e - k : e][:, ::-1] * own[:, e, :k]).sum(1)
-        for e in range(ends - 1, 0, -1):
-            k = min(most, e)
-            b[:, e - k : e] += (own[:, e, :k] * b[:, e : e + 1])[:, ::-1]
-        total = np.maximum(a[:, -1], 1e-300)
+            before = a[:, e - k : e][:, ::-1]
+            top = before.max(1, keepdims=True)
+            a[:, e] = top[:, 0] + np.log(np.maximum((np.exp(before - top) * own[:, e, :k]).sum(1), 1e-300))
+        for s in range(ends - 2, -1, -1):
+            k = min(most, ends - 1 - s)
+            after = b[:, s + 1 : s + k + 1]
+            top = after.max(1, keepdims=True)
+            steps = own[:, s + np.arange(1, k + 1), np.arange(k)]
+            b[:, s] = top[:, 0] + np.log(np.maximum((np.exp(after - top) * steps).sum(1), 1e-300))
         for e in range(1, ends):
             k = min(most, e)
-            use = a[:, e - k : e][:, ::-1] * own[:, e, :k] * (b[:, e] / total * counts[rows])[:, None]
+            use = np.exp(np.minimum(a[:, e - k : e][:, ::-1] + b[:, e : e + 1] - a[:, -1:], 700)) * own[:, e, :k] * counts[rows][:, None]
             there = ids[:, e, :k] >= 0
             np.add.at(out, (ids[:, e, :k][there], np.broadcast_to(m[:, None], use.shape)[there]), use[there])
     return out
@@ -174,15 +232,17 @@ class Model:
 def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, path: str | None = None) -> Model:
     """Learns from text and lang of the rows; those with a null in either are left out.
 
-    If there are more than max_rows, a hash of the text draws about that many. Their words are counted by language on the
-    executors; each round, executors return expected counts by piece and language, whose size the vocabulary bounds.
+    Of each language a hash of the text draws about max_rows texts at most; equal ones of one language count once. The
+    languages' shares are those of all labelled rows. Words are counted by language on the executors; each round, executors
+    return expected counts by piece and language, whose size the vocabulary and the number of languages bound.
     """
     spark, where = labelled.sparkSession, path or default_vocabulary()
     C.small_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    there = rows.count()
-    if there > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 40)) < int(max_rows / there * (1 << 40)))
+    there = C.written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = there.select("lang", (F.lit(max_rows * float(1 << 40)) / F.col("n")).alias("_share"))
+    drawn = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 40)) < F.col("_share")
+    rows = rows.join(F.broadcast(share), "lang").where(drawn).select("text", "lang").dropDuplicates()
 
     def counted(batches):
         for b in batches:
@@ -192,7 +252,7 @@ def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, p
                     found[lang, w] = found.get((lang, w), 0) + 1
             yield pd.DataFrame([(a, w, n) for (a, w), n in found.items()], columns=["lang", "word", "n"])
 
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per_lang = {r["lang"]: r["n"] for r in there.collect()}
     langs = sorted(per_lang) or [UNDETERMINED]
     prior = np.array([per_lang.get(a, 1) for a in langs], float)
     words = C.written(rows.mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
@@ -226,7 +286,9 @@ def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, p
 def predict(df: DataFrame, model: Model, text: str | Column = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds the predicted language and its posterior probability (0 to 1) to every row.
 
-    Null, empty and letterless texts give 'und' and 0. All rows and columns stay, but columns of the two names are replaced.
+    Null, empty and letterless texts give 'und' and 0; of languages equally probable the first by name is taken. All rows
+    and columns stay, equal texts get equal answers, but columns of the two names are replaced. An empty table stays one. Long
+    texts are read whole.
     """
     C.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages: a few MB
@@ -236,7 +298,8 @@ def predict(df: DataFrame, model: Model, text: str | Column = "text", lang: str
         return pd.DataFrame({"lang": [x for langs, _ in parts for x in langs], "score": np.concatenate([s for _, s in parts])})
 
     made = F.pandas_udf(said, "lang string, score double")(F.col(text) if isinstance(text, str) else text)
-    return df.withColumn("_said", made).withColumns({lang: F.col("_said.lang"), score: F.col("_said.score")}).drop("_said")
+    said_as = C.free_name("said", [*df.columns, lang, score])
+    return df.withColumn(said_as, made).withColumns({lang: F.col(f"{said_as}.lang"), score: F.col(f"{said_as}.score")}).drop(said_as)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -221,9 +221,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pd.DataFrame(out, columns=["_id", "_was", "_left"])
 
     # equal rows change alike, so that the id and the text before name a change
-    changed = K.together(chunks, answers, made, "_id long, _was string, _left string").dropDuplicates(["_id", "_was"])
-    out = docs.join(changed, (docs["doc_id"] == changed["_id"]) & (F.sha2(docs["text"], 256) == changed["_was"]), "left")
-    new = {"text": F.coalesce("_left", "text")}
+    i, was, left = (C.free_name(x, docs.columns) for x in ("id", "was", "left"))
+    changed = K.together(chunks, answers, made, "_id long, _was string, _left string").dropDuplicates(["_id", "_was"]).toDF(i, was, left)
+    out = docs.join(changed, (F.col("doc_id") == F.col(i)) & (F.sha2("text", 256) == F.col(was)), "left")
+    new = {"text": F.coalesce(left, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_left").isNotNull(), F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(left).isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(new).select(docs.columns)
