@@ -24,7 +24,7 @@ WORD = re.compile(r"[^\W\d_]+")
 PLACES = 1 << 20
 FACTORS = 8
 #: Bound of the labelled documents of each label that the model is fitted on, whole texts each; drawn by a hash of the id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 #: A term counts LEAST_SCALE + z^2 / (z^2 + SURE); z: deviation of its documents of label 1 from what chance gives.
 LEAST_SCALE, SURE = 0.02, 64.0
 #: Passes over the training documents, documents of a step, size of a step.
@@ -84,10 +84,13 @@ def _sums(values: np.ndarray, starts: np.ndarray, n: int | None = None, rows: np
 
 
 class Machine:
-    """Weights, factors and scales of the terms in `kept` (ascending); other terms count nothing."""
+    """Weights, factors and scales of the terms in `kept` (ascending); other terms count nothing.
 
-    def __init__(self, kept: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray, scale: np.ndarray):
-        self.kept, self.bias, self.w, self.v, self.scale = kept, bias, w, v, scale
+    base: the margin of a text without any known term.
+    """
+
+    def __init__(self, kept: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray, scale: np.ndarray, base: float):
+        self.kept, self.bias, self.w, self.v, self.scale, self.base = kept, bias, w, v, scale, base
         self.places: np.ndarray | None = None
 
     def __getstate__(self):
@@ -101,7 +104,9 @@ class Machine:
         v = self.v[term] * x[:, None]
         sums = _sums(v, starts, n, rows)
         pairs = (sums**2).sum(1) - _sums((v**2).sum(1), starts, n, rows)
-        return self.bias + _sums(self.w[term] * x, starts, n, rows) + pairs / 2
+        out = self.bias + _sums(self.w[term] * x, starts, n, rows) + pairs / 2
+        out[np.setdiff1d(np.arange(n), rows)] = self.base
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.places is None:
@@ -113,48 +118,48 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(row[known], term[known], len(texts)), -40, 40)))
 
 
-def scales(docs: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
-    """How strongly each of n terms counts, from the documents of each label that have it."""
-    both = np.bincount(np.concatenate(docs), minlength=n)
-    ones = np.bincount(np.concatenate([np.empty(0, np.int64), *(d for d, k in zip(docs, y, strict=True) if k)]), minlength=n)
-    share = y.mean()
+def scales(term: np.ndarray, positive: np.ndarray, share: float, n: int) -> np.ndarray:
+    """How strongly each of n terms counts, from its documents and those of label 1 among them (positive, by occurrence)."""
+    both = np.bincount(term, minlength=n)
+    ones = np.bincount(term[positive], minlength=n)
     z2 = (ones - both * share) ** 2 / (both * share * (1 - share) + 1)
     return (LEAST_SCALE + z2 / (z2 + SURE)).astype(np.float32)
 
 
-def trained(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = 1e-5) -> Machine:
-    """Adagrad on the logistic loss over documents given by their terms; both labels weigh the same in sum.
+def trained(term: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = 1e-5) -> Machine:
+    """Adagrad on the logistic loss over documents given by their distinct terms, one after the other; sizes: terms of each.
 
-    A step touches the terms of its documents only, so memory and time grow with the documents' terms.
+    Both labels weigh the same in sum. A step touches the terms of its documents only, so time grows with the documents'
+    terms, and memory holds them once.
     """
-    rng, n = np.random.default_rng(5), len(docs)
-    kept = np.unique(np.concatenate(docs))
-    docs = [np.searchsorted(kept, d) for d in docs]
-    scale = scales(docs, y, len(kept))
-    m = Machine(kept, 0.0, np.zeros(len(kept), np.float32), rng.normal(0, 0.05, (len(kept), FACTORS)).astype(np.float32), scale)
+    rng, n = np.random.default_rng(5), len(y)
+    kept, term = np.unique(term, return_inverse=True)
+    term = term.astype(np.int32)
+    scale = scales(term, np.repeat(y == 1, sizes), y.mean(), len(kept))
+    m = Machine(kept, 0.0, np.zeros(len(kept), np.float32), rng.normal(0, 0.05, (len(kept), FACTORS)).astype(np.float32), scale, float(np.log(y.mean() / (1 - y.mean()))))
     sums_w, sums_v, sum_b = np.ones(len(kept), np.float32), np.ones((len(kept), FACTORS), np.float32), 1.0
     weight = np.where(y == 1, n / 2 / max(1, (y == 1).sum()), n / 2 / max(1, (y == 0).sum()))
-    order = rng.permutation([i for i in range(n) if len(docs[i])])
-    steps = []
-    for at in range(0, len(order), BATCH):
-        rows = order[at : at + BATCH]
-        term = np.concatenate([docs[i] for i in rows])
-        sizes = np.array([len(docs[i]) for i in rows])
-        by_term = np.argsort(term, kind="stable")
-        steps.append((rows, term.astype(np.int32), sizes, np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[by_term], *np.unique(term[by_term], return_index=True)))
+    ends = np.cumsum(sizes)
+    order = rng.permutation(np.flatnonzero(sizes))
     for _ in range(epochs):
-        for rows, term, sizes, row, used, first in steps:
-            starts, k = np.cumsum(sizes) - sizes, len(rows)
-            x = scale[term]
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            own_terms = np.concatenate([term[ends[i] - sizes[i] : ends[i]] for i in rows])
+            k = sizes[rows]
+            starts = np.cumsum(k) - k
+            by_term = np.argsort(own_terms, kind="stable")
+            row = np.repeat(np.arange(len(rows)), k)[by_term]
+            used, first = np.unique(own_terms[by_term], return_index=True)
+            x = scale[own_terms]
             length = (1 / np.sqrt(_sums(x * x, starts))).astype(np.float32)
-            v = m.v[term] * x[:, None]
+            v = m.v[own_terms] * x[:, None]
             s = _sums(v, starts) * length[:, None]
-            z = m.bias + _sums(m.w[term] * x, starts) * length + ((s**2).sum(1) - _sums((v**2).sum(1), starts) * length**2) / 2
+            z = m.bias + _sums(m.w[own_terms] * x, starts) * length + ((s**2).sum(1) - _sums((v**2).sum(1), starts) * length**2) / 2
             g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * weight[rows]).astype(np.float32)
             # of a term: its documents' errors, times what its weight and its factors add there
             gx, own = g * length, scale[used]
-            gw = _sums(gx[row], first) * own + decay * k * m.w[used]
-            gv = _sums((gx[:, None] * s)[row], first) * own[:, None] - (_sums((gx * length)[row], first) * own**2)[:, None] * m.v[used] + decay * k * m.v[used]
+            gw = _sums(gx[row], first) * own + decay * len(rows) * m.w[used]
+            gv = _sums((gx[:, None] * s)[row], first) * own[:, None] - (_sums((gx * length)[row], first) * own**2)[:, None] * m.v[used] + decay * len(rows) * m.v[used]
             sums_w[used] += gw**2
             sums_v[used] += gv**2
             sum_b += float(g.sum()) ** 2
@@ -188,14 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Machi
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "_toxic")
     sets = rows.mapInPandas(distinct, "y int, h long, terms array<int>").groupBy("h").agg(F.max("y").alias("y"), F.first("terms").alias("terms"))
     data = sets.toPandas().sort_values("h", ignore_index=True)
-    y = data["y"].to_numpy(float)
-    if len(set(y)) < 2 or not data["terms"].map(len).any():
-        return Machine(np.empty(0, np.int64), 40.0 if len(y) and y.mean() > 0.5 else -40.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32), np.zeros(0, np.float32))
-    return trained([np.asarray(t, np.int64) for t in data["terms"]], y)
+    y, sizes = data["y"].to_numpy(float), data["terms"].map(len).to_numpy(np.int64)
+    term = np.concatenate([np.empty(0, np.int32), *data.pop("terms")])
+    if len(set(y)) < 2 or not len(term):
+        base = 40.0 if len(y) and y.mean() > 0.5 else -40.0
+        return Machine(np.empty(0, np.int64), base, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32), np.zeros(0, np.float32), base)
+    return trained(term, sizes, y)
 
 
 def score(df: DataFrame, machine: Machine, text: str | Column = "text", to: str = "score") -> DataFrame:
-    """Adds the score (0 to 1) of each row's whole text; null and empty texts get the score of no terms.
+    """Adds the score (0 to 1) of each row's whole text; null and empty texts, and those without a term of the
+    training documents, get the share of toxic ones among these.
 
     All rows stay, equal texts get equal scores; an existing column of the name `to` is replaced. An empty table stays one.
     Long texts are scored whole.
