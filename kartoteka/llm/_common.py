@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's memo of words may hold; it starts anew beyond that, so memory stays bounded.
-MEMO = 300_000
+MEMO = 200_000
 #: Longer words are computed each time: a memo of them would not be bounded in bytes.
 MEMO_BYTES = 64
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: What may be broadcast; beyond that a join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -122,6 +122,17 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_claimed: list = [None]
+
+
+def claim(owner) -> None:
+    """Only one operator's memo is alive in a worker, as Spark reuses workers: the one before is told to forget()."""
+    if _claimed[0] is not owner:
+        if _claimed[0] is not None:
+            _claimed[0].forget()
+        _claimed[0] = owner
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -131,6 +142,9 @@ class _Words(dict):
             self[word] = h
         return h
 
+    def forget(self) -> None:
+        self.clear()
+
 
 _words = _Words()
 
@@ -144,6 +158,7 @@ def word_hashes(texts, lower: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def byte_word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    claim(_words)
     split = [(t.lower() if lower else t).split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     get = _words.__getitem__

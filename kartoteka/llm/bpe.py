@@ -39,11 +39,14 @@ class SplitMemo:
 
     A text is cut before each single space between two characters that are not white space. No match of the usual
     pre-tokeniser pattern crosses such a place, so the ids of the segments, joined, are the ids of the text. Texts with
-    other spaces are left to `whole`.
+    other spaces, or with one of whole_texts in them, are left to `whole`.
     """
 
-    def __init__(self, many, whole, memo: int = 500_000):
-        self.many, self.whole, self.memo = many, whole, memo
+    def __init__(self, many, whole, memo: int = C.MEMO, whole_texts: list[str] | None = None):
+        self.many, self.whole, self.memo, self.whole_texts = many, whole, memo, whole_texts or []
+        self.forget()
+
+    def forget(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -61,7 +64,8 @@ class SplitMemo:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [" "] for t in texts]
+        C.claim(self)
+        split = [[" "] if "\0" in t or any(x in t for x in self.whole_texts) else t.replace(" ", "\0 ").split("\0") for t in texts]
         words = list(chain.from_iterable(split))
         values = list(map(self.young.get, words))
         absent = [i for i, v in enumerate(values) if v is None]

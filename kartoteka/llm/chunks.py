@@ -3,7 +3,9 @@
 Documents are put together into chunks of a few megabytes and written once. A chunk sends each bucket its own distinct keys
 (64-bit hashes, ascending, compressed), so a key that stands everywhere costs one entry a chunk; a bucket sees all entries of
 its keys and sends an answer back to each chunk. It is a shuffled hash join whose two sides are deduplicated before the
-shuffle: no task holds more than a chunk or a bucket, whose number grows with the input.
+shuffle: no task holds more than a chunk or a bucket. Their sizes grow with the square root of the input up to LARGEST times,
+so that a message from a chunk to a bucket stays a kilobyte up to some TB and carries several keys at 100 TB. Buckets are
+ranges of a hash, so none is hot; adaptive execution can't split one, nor need it.
 """
 
 from __future__ import annotations
@@ -19,13 +21,20 @@ from pyspark.sql import functions as F
 
 from kartoteka.llm import _common as C
 
-#: UTF-8 bytes of a chunk's texts; a longer document is a chunk of its own.
+#: UTF-8 bytes of a chunk's texts, and of the input for each bucket, up to an input of FROM bytes; a longer document is a chunk
+#: of its own. Above, both grow with the square root of the input, up to LARGEST times.
 CHUNK_BYTES = 4_000_000
-#: UTF-8 bytes of the input for each bucket.
 BUCKET_BYTES = 6_000_000
+FROM, LARGEST = 30e9, 16.0
 CHUNK_SCHEMA = "chunk long, part int, n_docs long, n_words long, n_bytes long, ids binary, no_id binary, sizes binary, texts binary, distinct binary, codes binary"
 
 
+def sizes_for(n_bytes: int) -> tuple[int, int]:
+    """Bytes of a chunk and of a bucket's share of an input of so many bytes."""
+    times = min(LARGEST, max(1.0, (n_bytes / FROM) ** 0.5))
+    return int(CHUNK_BYTES * times), int(BUCKET_BYTES * times)
+
+
 class Chunk:
     """Documents: ids (where no_id, the id is null), and UTF-8 texts (null: empty) or the hashes of their words."""
 
@@ -66,7 +75,7 @@ def _row(part: int, ids: list, texts: list[bytes], lower: bool | None) -> pd.Dat
     return pd.DataFrame([(name, part, len(ids), n_words, n_bytes, known.tobytes(), none.tobytes(), sizes.tobytes(), whole, distinct, codes)], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
 
-def _chunked(batches, lower: bool | None = None) -> Iterator[pd.DataFrame]:
+def _chunked(batches, lower: bool | None, chunk_bytes: int) -> Iterator[pd.DataFrame]:
     open_chunks: dict[int, tuple[list, list]] = {}
     sizes: dict[int, int] = {}
     for b in batches:
@@ -75,7 +84,7 @@ def _chunked(batches, lower: bool | None = None) -> Iterator[pd.DataFrame]:
             ids.append(None if null else i)
             texts.append((t or "").encode())
             sizes[part] = sizes.get(part, 0) + len(texts[-1]) + 64
-            if sizes[part] >= CHUNK_BYTES:
+            if sizes[part] >= chunk_bytes:
                 yield _row(part, ids, texts, lower)
                 del open_chunks[part], sizes[part]
     for part, (ids, texts) in open_chunks.items():
@@ -91,9 +100,10 @@ def chunked(docs: DataFrame, lower: bool | None = None, part: Column | None = No
     C.small_batches(docs.sparkSession)
     part = F.lit(0) if part is None else part
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), part.cast("int").alias("part"), "text")
-    chunks = C.written(rows.mapInPandas(lambda batches: _chunked(batches, lower), CHUNK_SCHEMA), "chunks")
-    size = int(chunks.agg(F.sum("n_bytes")).first()[0] or 0)
-    return chunks, max(8, -(-size // BUCKET_BYTES))
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    chunk_bytes, bucket_bytes = sizes_for(size)
+    chunks = C.written(rows.mapInPandas(lambda batches: _chunked(batches, lower, chunk_bytes), CHUNK_SCHEMA), "chunks")
+    return chunks, max(8, -(-size // bucket_bytes))
 
 
 def sent(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -106,9 +116,11 @@ def sent(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
             yield b, slice(starts[b], starts[b + 1])
 
 
-def answered(asked: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, name: str) -> DataFrame:
+def answered(asked: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, name: str, buckets: int) -> DataFrame:
     """What answer makes of all rows of each bucket, written."""
-    return C.written(asked.groupBy("bucket").applyInPandas(lambda rows: answer(rows), schema), name)
+    # about a bucket to a task, however large the input
+    dealt = asked.repartition(max(C.width(asked.sparkSession), buckets), "bucket")
+    return C.written(dealt.groupBy("bucket").applyInPandas(lambda rows: answer(rows), schema), name)
 
 
 def together(chunks: DataFrame, answers: DataFrame, made: Callable[[Chunk, pd.DataFrame], Iterator[pd.DataFrame] | pd.DataFrame], schema: str) -> DataFrame:

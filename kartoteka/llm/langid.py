@@ -203,13 +203,17 @@ class Model:
         """Log probabilities of the memo's words, one row each."""
         return [np.empty((0, len(self.langs)))]
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.rows[:] = [np.empty((0, len(self.langs)))]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Most probable language and its posterior probability; UNDETERMINED and 0 without a letter."""
+        C.claim(self)
         split = [WORD.findall(t.lower()) if t else [] for t in texts]
         memo = self.memo
         if len(self.rows[0]) > C.MEMO:
-            memo.clear()
-            self.rows[:] = [np.empty((0, len(self.langs)))]
+            self.forget()
         words = list(chain.from_iterable(split))
         new = list({w for w in words if w not in memo})
         if new:

@@ -198,7 +198,7 @@ def scores(docs: DataFrame) -> DataFrame:
         return chunks.mapInPandas(ask, ASK)
 
     # one after the other, as the shuffle of one half is gone before the other's
-    lower, highest = (K.answered(asked(orders), _count, COUNTS, "counts") for orders in (tuple(range(1, ORDER)), (ORDER,)))
+    lower, highest = (K.answered(asked(orders), _count, COUNTS, "counts", buckets * len(orders)) for orders in (tuple(range(1, ORDER)), (ORDER,)))
     counts = lower.unionByName(highest)
     texts = {r["part"]: (r["t"] + r["d"], r["d"]) for r in chunks.groupBy("part").agg(F.sum("n_words").alias("t"), F.sum("n_docs").alias("d")).collect()}
     fit, cut = texts.get(FIT_PART, (0, 0)), texts.get(DELETED_PART, (0, 0))

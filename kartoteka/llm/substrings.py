@@ -176,13 +176,13 @@ def _located(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, int]:
             for row in b.itertuples():
                 yield _ask_blocks(_Grid(K.Chunk(row), window), row.chunk, buckets)
 
-    anchors = K.answered(chunks.mapInPandas(ask, ASK), _anchors, ANCHORS, "anchors")
+    anchors = K.answered(chunks.mapInPandas(ask, ASK), _anchors, ANCHORS, "anchors", buckets)
 
     def windows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([_ask_windows(_Grid(K.Chunk(row), window), row.chunk, right, buckets) for row in left.itertuples()])
 
     asked = chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInPandas(windows, ASK)
-    holders = K.answered(asked, _first_holders, ANCHORS, "holders")
+    holders = K.answered(asked, _first_holders, ANCHORS, "holders", buckets)
     return chunks, anchors.unionByName(holders), buckets
 
 

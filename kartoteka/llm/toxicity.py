@@ -9,7 +9,6 @@ how strongly it counts is set by how surely its share differs between the labels
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,43 +33,18 @@ EPOCHS, BATCH, RATE = 6, 256, 1.0
 STEMS = (3, 4, 5, 6)
 
 
-class _Terms(dict):
-    """Memo of words: their rows in a table of hashed places."""
+def word_terms(words: list[str]) -> np.ndarray:
+    """The hashed places of each word's terms, one row each."""
+    h = xxhash.xxh3_64_intdigest
+    return np.array([[h(w), *(h(w[:k] + "~") for k in STEMS)] for w in words], np.uint64).reshape(len(words), 1 + len(STEMS)).astype(np.int64) & (PLACES - 1)
 
-    def __init__(self):
-        self.table = np.empty((1 << 12, 1 + len(STEMS)), np.int64)
-        self.used = 0
-
-    def __missing__(self, word: str) -> int:
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        row = self.used
-        self.used += 1
-        self.table[row] = [xxhash.xxh3_64_intdigest(word) % PLACES, *(xxhash.xxh3_64_intdigest(word[:k] + "~") % PLACES for k in STEMS)]
-        if len(word) <= C.MEMO_BYTES:
-            self[word] = row
-        return row
-
-    def anew(self) -> None:
-        if self.used > C.MEMO:
-            self.clear()
-            self.__init__()
-
-
-_terms = _Terms()
 
-
-def terms(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of the distinct terms of each text, in order."""
-    split = [WORD.findall(t.lower()) if t else [] for t in texts]
-    row = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
-    _terms.anew()
-    word = np.fromiter(map(_terms.__getitem__, chain.from_iterable(split)), np.int64, len(row))
-    # distinct words of a text before their terms, which are several times as many
-    both = np.unique(row * (1 << 32) + word)
-    row, table = both >> 32, _terms.table[both & 0xFFFFFFFF]
-    both = np.unique((row[:, None] * PLACES + table).reshape(-1))
-    return both // PLACES, both % PLACES
+def distinct_words(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of all texts, and (row, place among these words) of the distinct ones of each text, by row."""
+    split = [dict.fromkeys(WORD.findall(t.lower())) if t else () for t in texts]
+    number: dict[str, int] = {}
+    word = np.fromiter((number.setdefault(w, len(number)) for s in split for w in s), np.int64)
+    return list(number), np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split))), word
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, n: int | None = None, rows: np.ndarray | None = None) -> np.ndarray:
@@ -86,36 +60,57 @@ def _sums(values: np.ndarray, starts: np.ndarray, n: int | None = None, rows: np
 class Machine:
     """Weights, factors and scales of the terms in `kept` (ascending); other terms count nothing.
 
-    base: the margin of a text without any known term.
+    A document's features are the terms of its distinct words: a stem that several of them have stands there as often. Their
+    vector has length 1. base: the margin of a text without any known term.
     """
 
     def __init__(self, kept: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray, scale: np.ndarray, base: float):
         self.kept, self.bias, self.w, self.v, self.scale, self.base = kept, bias, w, v, scale, base
-        self.places: np.ndarray | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"places": None}
-
-    def margin(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """The margins of n rows of terms, given by their numbers in `kept`; a row's features have length 1."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.table = np.empty((1 << 12, FACTORS + 3), np.float32)
+
+    def __reduce__(self):
+        return Machine, (self.kept, self.bias, self.w, self.v, self.scale, self.base)
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """For each word, sums over its known terms: of weights, of factors, of squares of the latter, of squared scales."""
+        term = word_terms(words)
+        at = np.minimum(np.searchsorted(self.kept, term), max(0, len(self.kept) - 1))
+        known = self.kept[at] == term if len(self.kept) else np.zeros(term.shape, bool)
+        at = np.where(known, at, 0)
+        x = np.where(known, self.scale[at], 0) if len(self.kept) else np.zeros(term.shape)
+        if not len(self.kept):
+            return np.zeros((len(words), FACTORS + 3), np.float32)
+        v = self.v[at] * x[..., None]
+        return np.column_stack([(self.w[at] * x).sum(1), v.sum(1), (v**2).sum((1, 2)), (x**2).sum(1)]).astype(np.float32)
+
+    def margin(self, row: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
+        """The margins of n documents; row: which each of the sums belongs to, ascending."""
         rows, starts = np.unique(row, return_index=True)
-        x = self.scale[term]
-        x = x / np.sqrt(np.maximum(_sums(x * x, starts, n, rows), 1e-12))[row]
-        v = self.v[term] * x[:, None]
-        sums = _sums(v, starts, n, rows)
-        pairs = (sums**2).sum(1) - _sums((v**2).sum(1), starts, n, rows)
-        out = self.bias + _sums(self.w[term] * x, starts, n, rows) + pairs / 2
-        out[np.setdiff1d(np.arange(n), rows)] = self.base
-        return out
+        s = _sums(sums.astype(np.float64), starts, n, rows)
+        square = np.maximum(s[:, -1], 1e-12)
+        out = self.bias + s[:, 0] / np.sqrt(square) + ((s[:, 1:-2] ** 2).sum(1) - s[:, -2]) / square / 2
+        return np.where(s[:, -1] > 0, out, self.base)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.places is None:
-            self.places = np.full(PLACES, -1, np.int32)
-            self.places[self.kept] = np.arange(len(self.kept))
-        row, term = terms(texts)
-        term = self.places[term]
-        known = term >= 0
-        return 1 / (1 + np.exp(-np.clip(self.margin(row[known], term[known], len(texts)), -40, 40)))
+        C.claim(self)
+        words, row, word = distinct_words(texts)
+        if len(self.rows) > C.MEMO:
+            self.forget()
+        new = [w for w in words if w not in self.rows]
+        first = len(self.rows)
+        while first + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[first : first + len(new)] = self.of_words(new)
+        self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        margin = self.margin(row, self.table[at[word]], len(texts))
+        if any(len(w) > C.MEMO_BYTES for w in new):  # a memo of long words would not be bounded in bytes
+            self.forget()
+        return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
 def scales(term: np.ndarray, positive: np.ndarray, share: float, n: int) -> np.ndarray:
@@ -127,14 +122,17 @@ def scales(term: np.ndarray, positive: np.ndarray, share: float, n: int) -> np.n
 
 
 def trained(term: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = 1e-5) -> Machine:
-    """Adagrad on the logistic loss over documents given by their distinct terms, one after the other; sizes: terms of each.
+    """Adagrad on the logistic loss over documents given by the terms of their distinct words, one after the other; sizes: terms of each.
 
     Both labels weigh the same in sum. A step touches the terms of its documents only, so time grows with the documents'
     terms, and memory holds them once.
     """
     rng, n = np.random.default_rng(5), len(y)
-    kept, term = np.unique(term, return_inverse=True)
-    term = term.astype(np.int32)
+    there = np.zeros(PLACES, bool)
+    there[term] = True
+    kept = np.flatnonzero(there)
+    number = np.cumsum(there, dtype=np.int32) - 1
+    term = number[term]
     scale = scales(term, np.repeat(y == 1, sizes), y.mean(), len(kept))
     m = Machine(kept, 0.0, np.zeros(len(kept), np.float32), rng.normal(0, 0.05, (len(kept), FACTORS)).astype(np.float32), scale, float(np.log(y.mean() / (1 - y.mean()))))
     sums_w, sums_v, sum_b = np.ones(len(kept), np.float32), np.ones((len(kept), FACTORS), np.float32), 1.0
@@ -186,9 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Machi
     def distinct(batches):
         for b in batches:
             for texts, rows in C.parts(b, "text"):
-                row, term = terms(texts)
+                words, row, word = distinct_words(texts)
                 ends = np.cumsum(np.bincount(row, minlength=len(texts)))[:-1]
-                yield pd.DataFrame({"y": rows["_toxic"].to_numpy(), "h": [xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], "terms": [x.astype(np.int32) for x in np.split(term, ends)]})
+                found = [x.reshape(-1) for x in np.split(word_terms(words).astype(np.int32)[word], ends)]
+                yield pd.DataFrame({"y": rows["_toxic"].to_numpy(), "h": [xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], "terms": found})
 
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "_toxic")
     sets = rows.mapInPandas(distinct, "y int, h long, terms array<int>").groupBy("h").agg(F.max("y").alias("y"), F.first("terms").alias("terms"))

@@ -7,46 +7,41 @@ import numpy as np
 from kartoteka.llm import toxicity
 
 
-def flat(sets):
-    return np.concatenate([np.array(s, np.int64) for s in sets]), np.array([len(s) for s in sets])
-
-
-def machine(n, seed=1):
-    r = np.random.default_rng(seed)
-    return toxicity.Machine(np.arange(n), 0.3, r.normal(size=n), r.normal(size=(n, 8)), r.random(n) + 0.1, -1.5)
-
-
 def test_margin_equals_the_sum_over_all_pairs():
-    m, r = machine(30), random.Random(2)
-    rows = [sorted(r.sample(range(30), k)) for k in (0, 1, 2, 7, 30)]
+    texts = ["", None, "vile", "a fine day, running runner", "you vile fools, you!", "12 34", "unknown"]
+    r = np.random.default_rng(1)
+    kept = np.unique(toxicity.word_terms([w for t in texts[:6] for w in toxicity.WORD.findall((t or "").lower())]))
+    n = len(kept)
+    m = toxicity.Machine(kept, 0.3, r.normal(size=n), r.normal(size=(n, 8)), r.random(n) + 0.1, -1.5)
     want = []
-    for s in rows:
+    for t in texts:
+        places = toxicity.word_terms(sorted(set(toxicity.WORD.findall((t or "").lower())))).reshape(-1)
+        s = [int(np.searchsorted(kept, p)) for p in places if p in kept]
         if not s:
             want.append(-1.5)
             continue
-        x = {t: m.scale[t] / np.sqrt(sum(m.scale[u] ** 2 for u in s)) for t in s}
-        want.append(0.3 + sum(m.w[t] * x[t] for t in s) + sum(m.v[a] @ m.v[b] * x[a] * x[b] for a in s for b in s if a < b))
-    term, sizes = flat(rows)
-    got = m.margin(np.repeat(np.arange(len(rows)), sizes), term.astype(int), len(rows))
-    assert np.allclose(got, want)
+        x = [m.scale[k] / np.sqrt(sum(m.scale[j] ** 2 for j in s)) for k in s]
+        pairs = sum(m.v[s[a]] @ m.v[s[b]] * x[a] * x[b] for a in range(len(s)) for b in range(a))
+        want.append(0.3 + sum(m.w[k] * y for k, y in zip(s, x, strict=True)) + pairs)
+    assert np.allclose(m.scores(texts), 1 / (1 + np.exp(-np.array(want))), atol=1e-6)
+    assert np.allclose(m.scores(texts[::-1])[::-1], 1 / (1 + np.exp(-np.array(want))), atol=1e-6)  # from the memo
 
 
 def test_a_pair_is_found_that_weights_alone_miss():
-    """Terms 0 and 1 are as frequent in both labels; only together, or both absent, they mean label 1."""
+    """Two words are as frequent in both labels; only together, or both absent, they mean label 1."""
     r = random.Random(3)
-    sets, y = [], []
+    texts, y = [], []
     for i in range(800):
         a, b = i % 2, i // 2 % 2
-        sets.append(sorted({*([0] if a else [2]), *([1] if b else [3]), *r.sample(range(4, 40), 3)}))
+        texts.append(" ".join([("insult", "praise")[a], ("groupname", "nobody")[b], *r.sample([f"filler{chr(97 + k)}" for k in range(26)], 3)]))
         y.append(float(a == b))
-    term, sizes = flat(sets)
+    sets = [toxicity.word_terms(t.split()).reshape(-1) for t in texts]
     y = np.array(y)
-    m = toxicity.trained(term, sizes, y, epochs=40)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    number = np.searchsorted(m.kept, term)
-    assert ((m.margin(row, number, len(sets)) > 0) == (y == 1)).mean() > 0.95
+    m = toxicity.trained(np.concatenate(sets), np.array([len(s) for s in sets]), y, epochs=40)
+    assert ((m.scores(texts) > 0.5) == (y == 1)).mean() > 0.95
     m.v[:] = 0  # without pairs
-    assert ((m.margin(row, number, len(sets)) > 0) == (y == 1)).mean() < 0.7
+    m.forget()
+    assert ((m.scores(texts) > 0.5) == (y == 1)).mean() < 0.7
 
 
 def test_held_out_labels(spark):
