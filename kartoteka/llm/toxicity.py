@@ -113,27 +113,30 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def scales(term: np.ndarray, positive: np.ndarray, share: float, n: int) -> np.ndarray:
-    """How strongly each of n terms counts, from its documents and those of label 1 among them (positive, by occurrence)."""
-    both = np.bincount(term, minlength=n)
-    ones = np.bincount(term[positive], minlength=n)
+def scales(table: np.ndarray, word: np.ndarray, positive: np.ndarray, share: float, n: int) -> np.ndarray:
+    """How strongly each of n terms counts, from where its words stand, and where that is in documents of label 1 (positive).
+
+    table: the terms of each word; word: the distinct words of all documents.
+    """
+    counts = np.stack([np.bincount(word, minlength=len(table)), np.bincount(word[positive], minlength=len(table))])
+    both, ones = (np.bincount(table.reshape(-1), np.repeat(c, table.shape[1]), n) for c in counts)
     z2 = (ones - both * share) ** 2 / (both * share * (1 - share) + 1)
     return (LEAST_SCALE + z2 / (z2 + SURE)).astype(np.float32)
 
 
-def trained(term: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = 1e-5) -> Machine:
-    """Adagrad on the logistic loss over documents given by the terms of their distinct words, one after the other; sizes: terms of each.
+def trained(words: list[str], word: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = 1e-5) -> Machine:
+    """Adagrad on the logistic loss over documents given by their distinct words (places in words), one after the other.
 
-    Both labels weigh the same in sum. A step touches the terms of its documents only, so time grows with the documents'
-    terms, and memory holds them once.
+    sizes: distinct words of each document. Both labels weigh the same in sum. A step touches the terms of its documents only,
+    so time grows with the documents' words, and memory holds these once.
     """
     rng, n = np.random.default_rng(5), len(y)
+    places = word_terms(words)
     there = np.zeros(PLACES, bool)
-    there[term] = True
+    there[places] = True
     kept = np.flatnonzero(there)
-    number = np.cumsum(there, dtype=np.int32) - 1
-    term = number[term]
-    scale = scales(term, np.repeat(y == 1, sizes), y.mean(), len(kept))
+    table = (np.cumsum(there, dtype=np.int32) - 1)[places]
+    scale = scales(table, word, np.repeat(y == 1, sizes), y.mean(), len(kept))
     m = Machine(kept, 0.0, np.zeros(len(kept), np.float32), rng.normal(0, 0.05, (len(kept), FACTORS)).astype(np.float32), scale, float(np.log(y.mean() / (1 - y.mean()))))
     sums_w, sums_v, sum_b = np.ones(len(kept), np.float32), np.ones((len(kept), FACTORS), np.float32), 1.0
     weight = np.where(y == 1, n / 2 / max(1, (y == 1).sum()), n / 2 / max(1, (y == 0).sum()))
@@ -142,8 +145,8 @@ def trained(term: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EP
     for _ in range(epochs):
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            own_terms = np.concatenate([term[ends[i] - sizes[i] : ends[i]] for i in rows])
-            k = sizes[rows]
+            own_terms = table[np.concatenate([word[ends[i] - sizes[i] : ends[i]] for i in rows])].reshape(-1)
+            k = sizes[rows] * table.shape[1]
             starts = np.cumsum(k) - k
             by_term = np.argsort(own_terms, kind="stable")
             row = np.repeat(np.arange(len(rows)), k)[by_term]
@@ -186,18 +189,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Machi
             for texts, rows in C.parts(b, "text"):
                 words, row, word = distinct_words(texts)
                 ends = np.cumsum(np.bincount(row, minlength=len(texts)))[:-1]
-                found = [x.reshape(-1) for x in np.split(word_terms(words).astype(np.int32)[word], ends)]
-                yield pd.DataFrame({"y": rows["_toxic"].to_numpy(), "h": [xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], "terms": found})
+                found = [x.tolist() for x in np.split(np.array(words, object)[word], ends)]
+                yield pd.DataFrame({"y": rows["_toxic"].to_numpy(), "h": [xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], "words": found})
 
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "_toxic")
-    sets = rows.mapInPandas(distinct, "y int, h long, terms array<int>").groupBy("h").agg(F.max("y").alias("y"), F.first("terms").alias("terms"))
-    data = sets.toPandas().sort_values("h", ignore_index=True)
-    y, sizes = data["y"].to_numpy(float), data["terms"].map(len).to_numpy(np.int64)
-    term = np.concatenate([np.empty(0, np.int32), *data.pop("terms")])
-    if len(set(y)) < 2 or not len(term):
+    sets = rows.mapInPandas(distinct, "y int, h long, words array<string>").groupBy("h").agg(F.max("y").alias("y"), F.first("words").alias("words"))
+    data = sets.toArrow().sort_by("h")  # words as Arrow holds them, not as Python objects
+    lists = data["words"].combine_chunks()
+    found = lists.flatten().dictionary_encode()
+    y, sizes = data["y"].to_numpy().astype(float), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    if len(set(y)) < 2 or not sizes.sum():
         base = 40.0 if len(y) and y.mean() > 0.5 else -40.0
         return Machine(np.empty(0, np.int64), base, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32), np.zeros(0, np.float32), base)
-    return trained(term, sizes, y)
+    return trained(found.dictionary.to_pylist(), found.indices.to_numpy(), sizes, y)
 
 
 def score(df: DataFrame, machine: Machine, text: str | Column = "text", to: str = "score") -> DataFrame:

@@ -35,9 +35,9 @@ def test_a_pair_is_found_that_weights_alone_miss():
         a, b = i % 2, i // 2 % 2
         texts.append(" ".join([("insult", "praise")[a], ("groupname", "nobody")[b], *r.sample([f"filler{chr(97 + k)}" for k in range(26)], 3)]))
         y.append(float(a == b))
-    sets = [toxicity.word_terms(t.split()).reshape(-1) for t in texts]
+    words = sorted({w for t in texts for w in t.split()})
     y = np.array(y)
-    m = toxicity.trained(np.concatenate(sets), np.array([len(s) for s in sets]), y, epochs=40)
+    m = toxicity.trained(words, np.array([words.index(w) for t in texts for w in t.split()]), np.full(len(texts), 5), y, epochs=40)
     assert ((m.scores(texts) > 0.5) == (y == 1)).mean() > 0.95
     m.v[:] = 0  # without pairs
     m.forget()
