@@ -60,9 +60,9 @@ def normalized(text: Column, max_chars: int = 12_000, compose: bool = True) -> C
 
 
 def without_digit_gaps(text: Column) -> Column:
-    """On lines with one of GAP_LABELS, spaces between digits are removed."""
+    """On lines with one of GAP_LABELS, a single space between two digits is removed; tabs and longer gaps stay."""
     label = "(?iu)" + "|".join(GAP_LABELS)
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(label), F.regexp_replace(x, r"(?U)(?<=\d)[ \t]+(?=\d)", "")).otherwise(x))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(label), F.regexp_replace(x, r"(?U)(?<=\d) (?=\d)", "")).otherwise(x))
     return F.array_join(lines, "\n")
 
 

@@ -22,7 +22,7 @@ OTHER = "application/octet-stream"
 
 def extension(name: Column) -> Column:
     """The last suffix in lower case without its dot; empty if there is none."""
-    return F.lower(F.regexp_extract(name, r"[^/.]\.([^./]+)$", 1))
+    return F.lower(F.regexp_extract(name, r"[^/]\.([^./]+)$", 1))
 
 
 def mime_by_extension(ext: Column) -> Column:
@@ -48,7 +48,8 @@ def text_layer(pages: Column, least: int = 50) -> Column:
 
 
 def kind(ext: Column, mime: Column, has_text: Column) -> Column:
-    """docx, image, pdf_text, pdf_scan or unsupported; the order of the rules is their precedence."""
+    """docx, image, pdf_text, pdf_scan or unsupported, whatever the case of the media type; the order of the rules is their precedence."""
+    mime = F.lower(mime)
     return (
         F.when((ext == "docx") | mime.contains("wordprocessingml"), F.lit("docx"))
         .when(ext.isin(*IMAGE_EXTENSIONS) | mime.startswith("image/"), F.lit("image"))

@@ -63,5 +63,7 @@ def warnings(extraction: Column, raw_chars: Column, errors: Column, details: Col
     return F.array_distinct(F.concat(F.coalesce(extraction, F.array().cast("array<string>")), cut, errors, lacks))
 
 
-def status(needs_review: Column) -> Column:
-    return F.when(needs_review, F.lit("needs_review")).otherwise(F.lit("done"))
+def status(needs_review: Column, failure: Column | None = None) -> Column:
+    """done or needs_review; of a file or model call that failed, error, or exception where nothing foresaw it."""
+    done = F.when(needs_review, F.lit("needs_review")).otherwise(F.lit("done"))
+    return done if failure is None else F.coalesce(failure, done)

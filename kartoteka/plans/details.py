@@ -15,7 +15,8 @@ from kartoteka.schema import Settings
 def with_details(df: DataFrame, settings: Settings = Settings(), compose: bool = True, client: Callable | None = None) -> DataFrame:
     """Adds to rows with `text` (and, if there, `extraction_warnings`) the record, its checks and what is reported of it.
 
-    A null text gives a record of nulls. Columns added: normalized_text, answer_raw, answer, answer_error, found, details,
+    A null text gives a record of nulls. The status is error or exception if `failure` says so, or error if the model call
+    failed. Columns added: normalized_text, answer_raw, answer, answer_error, found, details,
     extracted_by, checks, cross_checks, errors, review_reasons, needs_review, fill_rate, missing_fields, warnings, status,
     processing_meta.
     """
@@ -29,18 +30,22 @@ def with_details(df: DataFrame, settings: Settings = Settings(), compose: bool =
     said = F.col("extraction_warnings") if "extraction_warnings" in df.columns else F.lit(None).cast("array<string>")
     d = F.col("details")
     name = answers.provider(settings) if client is None else settings.provider
+    there = set(df.columns)
+    failure = F.coalesce(F.col("failure") if "failure" in there else F.lit(None).cast("string"), F.when(F.col("answer_error").isNotNull(), F.lit("error")))
+    origin = [F.col(c).alias(c) for c in ("extractor", "ocr_used", "sha256") if c in there]
     return out.withColumns({
         "fill_rate": validate.fill_rate(d),
         "missing_fields": validate.missing_fields(d),
         "warnings": validate.warnings(said, F.length("text"), F.col("errors"), d, settings.max_chars),
-        "status": validate.status(F.col("needs_review")),
+        "status": validate.status(F.col("needs_review"), failure),
         "processing_meta": F.struct(
-            F.lit(name).alias("llm_provider"), F.lit(settings.model if name != "mock" else "mock").alias("llm_model"), F.lit(settings.prompt_version).alias("prompt_version"),
+            *origin, F.lit(name).alias("llm_provider"), F.lit(settings.model if name != "mock" else "mock").alias("llm_model"), F.lit(settings.prompt_version).alias("prompt_version"),
             (F.size("extracted_by") > 0).alias("fallback_used"), F.size("extracted_by").alias("fallback_count"), F.map_keys("extracted_by").alias("fallback_fields"),
         ),
     })
 
 
 def counters(results: DataFrame) -> DataFrame:
-    """Documents by status."""
-    return results.groupBy("status").agg(F.count("*").alias("n"))
+    """Documents by status: done, needs_review, and failed for those that ended in an error or exception."""
+    state = F.when(F.col("status").isin("error", "exception"), F.lit("failed")).otherwise(F.col("status"))
+    return results.groupBy(state.alias("status")).agg(F.count("*").alias("n"))

@@ -130,17 +130,32 @@ def q_card_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", "company_name", "inn", "kpp", "ogrn", "bik", F.col("checking_account").alias("rs"), F.col("correspondent_account").alias("ks"), "bank_name", "phone", "email", "ceo_position", "ceo_fio_full", "ceo_fio")
 
 
-@query(f"{_record_sql()} select case when len(errors) > 0 then 'needs_review' else 'done' end as status, count(*) as n from record group by 1")
+@query(f"{_record_sql()} select case when id % 10 = 3 then 'failed' when len(errors) > 0 then 'needs_review' else 'done' end as status, count(*) as n from record group by 1")
 def q_batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counters(with_details(K.cards(spark, sf_dir), compose=False))
+    """Every tenth card's file failed: the one half foreseen, the other not."""
+    failure = F.when(F.col("id") % 20 == 3, F.lit("error")).when(F.col("id") % 20 == 13, F.lit("exception"))
+    return counters(with_details(K.cards(spark, sf_dir).withColumn("failure", failure), compose=False))
 
 
-@query(f"""{_record_sql()} select label, status, count(*) as n from (
-  select 'ИНН' as label, case when inn_left is null then 'не найдено' else 'ок' end as status from record union all select 'КПП', case when kpp_left is null then 'не найдено' else 'ок' end from record
-  union all select 'Банк', 'ок (не проверялось)' from record union all select 'Юридический адрес', 'не найдено' from record) group by 1, 2""")
+_SHEET = " union all ".join(
+    f"select {k + 1} as row, '{label}' as label, case when {f'{dict(zip(CHECKED, _RULES, strict=True))[f]}_left is null' if f in CHECKED else str(f in ('short_name', 'legal_address', 'postal_address')).lower()} then 'не найдено' else 'ок' end as status from record"
+    for k, (f, label) in enumerate(zip(FIELDS, sinks.SHEET_LABELS, strict=True))
+)
+
+
+@query(f"{_record_sql()} select row, label, status, count(*) as n from ({_SHEET}) group by 1, 2, 3")
 def q_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sinks.sheet_rows(with_details(K.cards(spark, sf_dir), compose=False), "id")
-    return rows.where(F.col("label").isin("ИНН", "КПП", "Банк", "Юридический адрес")).groupBy("label", "status").agg(F.count("*").alias("n"))
+    return rows.groupBy("row", "label", "status").agg(F.count("*").alias("n"))
+
+
+_CHECKS = " union all ".join(f"select {k + 1} as row, '{f}' as field, case when reason_{n} is null then 'Да' else 'Нет' end as valid, coalesce(reason_{n}, '') as reason from record" for k, (f, n) in enumerate(zip(CHECKED, _RULES, strict=True)))
+
+
+@query(f"{_record_sql()} select row, field, valid, reason, count(*) as n from ({_CHECKS}) group by 1, 2, 3, 4")
+def q_check_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sinks.check_rows(with_details(K.cards(spark, sf_dir), compose=False), "id")
+    return rows.groupBy("row", "field", "valid", "reason").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -233,7 +248,7 @@ def q_normalize_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select id, array_to_string(list_transform(string_split(regexp_replace(text, '([^\\n])(ОКПО|ОКТМО|ОКВЭД|ОКАТО|ОКОПФ|ОКФС|КБК)', '\\1' || chr(10) || '\\2', 'g'), chr(10)),
-  lambda x: case when regexp_matches(x, '(?i)инн|кпп|огрн|бик|расчётн|корр|счёт|счет|р/с|к/с') then regexp_replace(regexp_replace(x, '([0-9])[ \\t]+([0-9])', '\\1\\2', 'g'), '([0-9])[ \\t]+([0-9])', '\\1\\2', 'g') else x end), chr(10)) as cleaned
+  lambda x: case when regexp_matches(x, '(?i)инн|кпп|огрн|бик|расчётн|корр|счёт|счет|р/с|к/с') then regexp_replace(regexp_replace(x, '([0-9]) ([0-9])', '\\1\\2', 'g'), '([0-9]) ([0-9])', '\\1\\2', 'g') else x end), chr(10)) as cleaned
   from ({_NOISY})""")
 def q_ocr_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.noisy(spark, sf_dir).select("id", normal.ocr_cleaned(F.col("text")).alias("cleaned"))

@@ -15,15 +15,36 @@ from kartoteka.operators import routing
 from kartoteka.schema import Settings
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-TEXT = "text string, extractor string, pages int, ocr_used boolean, extraction_warnings array<string>, error string"
-#: Turns the bytes of a PDF into page texts (or of an image into one): given by the user, as no such library is bundled.
-Backend = Callable[[bytes], list[str]]
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+TEXT = "text string, extractor string, pages int, ocr_used boolean, extraction_warnings array<string>, error string, failure string"
+#: What the user gives for PDFs and images, as no such library is bundled. A PDF's pages: each its text, or (text, tables) with
+#: tables of rows of cells. Its page images, for scans. An image's text: lines, or words as dicts of block_num, line_num, text.
+PdfPages = Callable[[bytes], list]
+PageImages = Callable[[bytes], list[bytes]]
+Ocr = Callable[[bytes], list]
+
+
+def glob(extensions) -> str:
+    """A file name pattern of extensions in any case."""
+    return "{" + ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".")) for e in extensions) + "}"
 
 
 def scan(spark: SparkSession, folder: str, settings: Settings = Settings(), recursive: bool = False) -> DataFrame:
-    """Files of a folder with the settings' extensions: document_id, original_filename, extension, mime_type, size_bytes, storage_path, sha256, content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
-    return described(files).where(F.col("extension").isin(*[e.lower().lstrip(".") for e in settings.extensions]))
+    """Files of a folder with the settings' extensions: document_id, original_filename, extension, mime_type, size_bytes, storage_path, sha256, content.
+
+    Other files are not opened, nor are those above the settings' size: these are rows without id and content. A folder without
+    such files gives no row; none_found says so.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob(settings.extensions)).load(folder)
+    most = settings.max_upload_mb * 2**20
+    # the bound on length reaches the scan, so content of longer files is never read
+    large = files.where(F.col("length") > most).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    return described(files.where(F.col("length") <= most).unionByName(large))
+
+
+def none_found(files: DataFrame, folder: str, settings: Settings = Settings()) -> str | None:
+    """The message for a scan without any file."""
+    return f"No files with extensions {', '.join(settings.extensions)} in {folder}" if files.select("storage_path").isEmpty() else None
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -46,18 +67,48 @@ def _paragraph(p: ET.Element) -> str:
     return "".join(out).strip()
 
 
+def _cells(row: ET.Element, above: dict[int, str]) -> list[str]:
+    """A table row's cell texts by grid column: one over several columns or rows stands in each."""
+    out, at = [], 0
+    for cell in row.findall(f"{_W}tc"):
+        span, merge = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+        text = "\n".join(_paragraph(p) for p in cell.findall(f"{_W}p")).strip()
+        if merge is not None and merge.get(f"{_W}val", "continue") == "continue":
+            text = above.get(at, "")
+        for _ in range(int(span.get(f"{_W}val", "1")) if span is not None else 1):
+            above[at] = text
+            out.append(text)
+            at += 1
+    return out
+
+
+def _margins(z: zipfile.ZipFile, document: ET.Element) -> list[str]:
+    """Header, then footer paragraphs of each section; a section without its own has those of the one before."""
+    try:
+        rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+    except KeyError:
+        return []
+    out, parts = [], {"header": None, "footer": None}
+    for section in document.iter(f"{_W}sectPr"):
+        for kind in parts:
+            for ref in section.findall(f"{_W}{kind}Reference"):
+                if ref.get(f"{_W}type", "default") == "default":
+                    parts[kind] = rels.get(ref.get(f"{_R}id"))
+            if parts[kind]:
+                out += [_paragraph(p) for p in ET.fromstring(z.read(f"word/{parts[kind]}")).findall(f"{_W}p")]
+    return out
+
+
 def docx_text(content: bytes) -> str:
-    """Body paragraphs, then tables as rows of `a | b`, then header and footer paragraphs; blank ones left out."""
+    """Body paragraphs, then tables as rows of `a | b`, then headers and footers by section; blank ones left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-        names = sorted(n for n in z.namelist() if n.startswith(("word/header", "word/footer")) and n.endswith(".xml"))
+        document = ET.fromstring(z.read("word/document.xml"))
+        body = document.find(f"{_W}body")
         lines = [_paragraph(p) for p in body.findall(f"{_W}p")]
         for table in body.findall(f"{_W}tbl"):
-            for row in table.findall(f"{_W}tr"):
-                cells = ["\n".join(t for p in c.findall(f"{_W}p") if (t := _paragraph(p))).strip() for c in row.findall(f"{_W}tc")]
-                lines.append(" | ".join(c for c in cells if c))
-        for n in names:
-            lines += [_paragraph(p) for p in ET.fromstring(z.read(n)).findall(f"{_W}p")]
+            above: dict[int, str] = {}
+            lines += [" | ".join(c for c in _cells(row, above) if c) for row in table.findall(f"{_W}tr")]
+        lines += _margins(z, document)
     return "\n".join(x for x in lines if x)
 
 
@@ -65,39 +116,112 @@ def _numbered(pages: list[str]) -> str:
     return "\n\n".join(f"[Страница {i}]\n{p.strip()}" for i, p in enumerate(pages, 1) if p.strip())
 
 
-def _extracted(kind: str, ext: str, content: bytes, settings: Settings, pdf: Backend | None, ocr: Backend | None) -> tuple:
+def _page(page, number: int, said: list[str]) -> str:
+    """A PDF page's text, then its tables as rows of `a | b`; a table that can't be read is a warning."""
+    text, tables = (page, []) if isinstance(page, str) or page is None else page
+    parts = [text.strip()] if text else []
     try:
-        if kind == "docx":
-            text = docx_text(content)
-            return text, "python_docx", None, False, [] if text else ["DOCX text is empty"], None
-        if kind == "pdf":
-            if pdf is None and ocr is None:
-                return None, None, None, False, [], "Cannot open PDF: no backend is given"
-            try:
-                pages = pdf(content) if pdf else []
-            except Exception:
-                pages = []
-            if sum(len(p.strip()) for p in pages[:3]) >= settings.min_pdf_chars:
-                return _numbered(pages), "pdfplumber", len(pages), False, [], None
-            kind = "pdf_scan"
-        if kind in ("image", "pdf_scan"):
+        for table in tables:
+            rows = [[str(c).strip() for c in row if c is not None] for row in table]
+            parts.append("\n".join(" | ".join(r) for r in rows if any(r)))
+    except Exception as e:
+        said.append(f"Page {number}: table extraction failed — {e}")
+    return "\n".join(p for p in parts if p)
+
+
+def _lines(found: list) -> str:
+    """Recognised lines, or words put together by block and line number in the order of their first words."""
+    if found and isinstance(found[0], dict):
+        lines: dict[tuple, list[str]] = {}
+        for w in found:
+            if w["text"].strip():
+                lines.setdefault((w["block_num"], w["line_num"]), []).append(w["text"].strip())
+        found = [" ".join(words) for words in lines.values()]
+    return "\n".join(found).strip()
+
+
+class _Failed(Exception):
+    """A failure that is foreseen: its text is the row's error."""
+
+
+def _docx(content: bytes) -> tuple:
+    try:
+        text = docx_text(content)
+    except Exception as e:
+        raise _Failed(f"Cannot open DOCX: {e}") from e
+    return text, "python_docx", None, False, [] if text else ["DOCX extracted text is empty — document may be blank or image-only"]
+
+
+def _pdf(content: bytes, settings: Settings, pdf: PdfPages | None, images: PageImages | None, ocr: Ocr | None) -> tuple:
+    """The text layer, or if it is too small and pages can be rendered and recognised, what is recognised page by page."""
+    said, pages = [], []
+    if pdf is None and ocr is None:
+        raise _Failed("Cannot open PDF: no backend is given")
+    if pdf:
+        try:
+            pages = [_page(p, i, said) for i, p in enumerate(pdf(content), 1)]
+        except Exception as e:
             if ocr is None:
-                return None, None, None, True, [], "Cannot OCR: no backend is given"
-            pages = ocr(content)
-            said = [f"Page {i}: OCR returned empty text" for i, p in enumerate(pages, 1) if kind == "pdf_scan" and not p.strip()]
-            return (pages[0] if kind == "image" else _numbered(pages)), "tesseract", len(pages), True, said, None
-        return None, None, None, False, [], f"Unsupported file type: .{ext}"
-    except Exception as e:  # a damaged file must not end the batch
-        return None, None, None, False, [], f"Cannot open {kind.upper()}: {type(e).__name__}: {e}"
+                raise _Failed(f"Cannot open PDF: {e}") from e
+    text = _numbered(pages)
+    if ocr is None or pages and sum(len(p.strip()) for p in pages[:3]) >= settings.min_pdf_chars:
+        if (n := len(text.strip())) < settings.min_pdf_chars:
+            said.append(f"PDF text layer too small ({n} chars < {settings.min_pdf_chars}). Likely a scanned PDF — use OCR extractor instead.")
+        return text, "pdfplumber", len(pages), False, said
+    said = []
+    try:
+        if images is None:
+            raise ValueError("no backend renders its pages")
+        scans = images(content)
+    except Exception as e:
+        raise _Failed(f"Cannot OCR PDF: {e}") from e
+    pages = []
+    for i, image in enumerate(scans, 1):
+        pages.append("")
+        try:
+            pages[-1] = _lines(ocr(image))
+            if not pages[-1]:
+                said.append(f"Page {i}: OCR returned empty text")
+        except Exception as e:  # one page doesn't cost the others
+            said.append(f"Page {i}: OCR failed — {e}")
+    return _numbered(pages), "tesseract", len(pages), True, said
+
+
+def _image(content: bytes, ocr: Ocr | None) -> tuple:
+    try:
+        if ocr is None:
+            raise ValueError("no backend is given")
+        text = _lines(ocr(content))
+    except Exception as e:
+        raise _Failed(f"Cannot OCR image: {e}") from e
+    return text, "tesseract", 1, True, [] if text else ["OCR returned empty text"]
 
 
-def with_text(files: DataFrame, settings: Settings = Settings(), pdf: Backend | None = None, ocr: Backend | None = None) -> DataFrame:
-    """Adds TEXT's columns and drops the content. Files are dealt evenly first, as their cost is uneven."""
+def _extracted(kind: str, ext: str, content: bytes | None, settings: Settings, pdf: PdfPages | None, images: PageImages | None, ocr: Ocr | None) -> tuple:
+    try:
+        if content is None:
+            raise _Failed(f"File is larger than {settings.max_upload_mb} MB")
+        if kind == "docx":
+            return *_docx(content), None, None
+        if kind == "pdf":
+            return *_pdf(content, settings, pdf, images, ocr), None, None
+        if kind == "image":
+            return *_image(content, ocr), None, None
+        raise _Failed(f"Unsupported file type: .{ext}")
+    except _Failed as e:
+        return None, None, None, False, [], str(e), "error"
+    except Exception as e:  # nothing of a single file may end the batch
+        return None, None, None, False, [], f"{type(e).__name__}: {e}", "exception"
+
+
+def with_text(files: DataFrame, settings: Settings = Settings(), pdf: PdfPages | None = None, ocr: Ocr | None = None, images: PageImages | None = None) -> DataFrame:
+    """Adds TEXT's columns and drops the content; failure is error, or exception where nothing foresaw it."""
     coarse = routing.kind(F.col("extension"), F.col("mime_type"), F.lit(True))
     kind = F.when(coarse == "pdf_text", F.lit("pdf")).otherwise(coarse)
 
     def texts(kinds: pd.Series, exts: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_extracted(k, e, bytes(c or b""), settings, pdf, ocr) for k, e, c in zip(kinds, exts, contents, strict=True)], columns=[x.split()[0] for x in TEXT.split(", ")]).astype({"pages": "Int32"})
+        rows = [_extracted(k, e, None if c is None else bytes(c), settings, pdf, images, ocr) for k, e, c in zip(kinds, exts, contents, strict=True)]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in TEXT.split(", ")]).astype({"pages": "Int32"})
 
     udf = F.pandas_udf(texts, TEXT)
     return files.withColumn("doc_kind", kind).withColumn("_t", udf("doc_kind", "extension", "content")).drop("content").select("*", "_t.*").drop("_t")

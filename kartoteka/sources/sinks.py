@@ -15,9 +15,14 @@ from kartoteka.schema import ALIASES, CHECKED, FIELDS
 
 # Labels of the sheet's rows.
 SHEET_LABELS = (
-    "Полное наименование", "Краткое наименование", "Юридический адрес", "Почтовый адрес", "ОГРН", "ИНН", "КПП", "Банк",
-    "Расчётный счёт", "Корреспондентский счёт", "БИК", "Должность руководителя", "ФИО руководителя (полное)", "ФИО руководителя", "Телефон", "E-mail",
+    "Полное наименование организации", "Сокращённое наименование", "Юридический адрес", "Почтовый адрес", "ОГРН / ОГРНИП", "ИНН", "КПП",
+    "Наименование банка", "Расчётный счёт (Р/счет)", "Корреспондентский счёт (К/счет)", "БИК", "Должность руководителя",
+    "ФИО руководителя (полностью)", "ФИО руководителя (кратко)", "Телефон", "Электронная почта",
 )
+# Headings of the two sheets, and of the errors below the second.
+FIELD_HEADINGS = ("Поле", "Значение", "Статус валидации")
+CHECK_HEADINGS = ("Поле", "Валидно", "Значение", "Причина ошибки")
+ERRORS_HEADING = "Ошибки / кросс-проверки:"
 
 
 def aliased(details: Column) -> Column:
@@ -35,26 +40,28 @@ def json_document(results: DataFrame) -> Column:
     return F.replace(F.to_json(whole, keep), F.lit('"extracted_by":{}'), F.lit('"extracted_by":[]'))
 
 
-def _check_status(value: Column, check: Column) -> Column:
-    return F.when(value.isNull() | (value == ""), F.lit("не найдено")).when(check["valid"], F.lit("ок")).otherwise(F.concat(F.lit("ошибка: "), check["reason"]))
+def _status(value: Column, check: Column | None) -> Column:
+    """Only a null is not found; a field that has no rule is in order, one whose check is missing was not checked."""
+    out = F.when(value.isNull(), F.lit("не найдено"))
+    if check is None:
+        return out.otherwise(F.lit("ок"))
+    return out.when(check["valid"].isNull(), F.lit("ок (не проверялось)")).when(check["valid"], F.lit("ок")).otherwise(F.concat(F.lit("ошибка: "), F.coalesce(check["reason"], F.lit("None"))))
 
 
 def sheet_rows(results: DataFrame, key: str = "document_id") -> DataFrame:
     """(key, row, label, value, status): sixteen rows a document."""
-    d = F.col("details")
-    rows = []
+    d, rows = F.col("details"), []
     for k, (f, label) in enumerate(zip(FIELDS, SHEET_LABELS, strict=True)):
-        unchecked = F.when(d[f].isNull() | (d[f] == ""), F.lit("не найдено")).otherwise(F.lit("ок (не проверялось)"))
-        rows.append(F.struct(F.lit(k + 1).alias("row"), F.lit(label).alias("label"), d[f].alias("value"), (_check_status(d[f], F.col("checks")[f]) if f in CHECKED else unchecked).alias("status")))
+        rows.append(F.struct(F.lit(k + 1).alias("row"), F.lit(label).alias("label"), d[f].alias("value"), _status(d[f], F.col("checks")[f] if f in CHECKED else None).alias("status")))
     return results.select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.*")
 
 
 def check_rows(results: DataFrame, key: str = "document_id") -> DataFrame:
-    """(key, row, label, valid, value, reason): six rows a document."""
+    """(key, row, field, valid, value, reason): six rows a document."""
     rows = []
-    for k, (f, label) in enumerate(CHECKED.items()):
+    for k, f in enumerate(CHECKED):
         c = F.col("checks")[f]
-        rows.append(F.struct(F.lit(k + 1).alias("row"), F.lit(label).alias("label"), F.when(c["valid"], F.lit("Да")).otherwise(F.lit("Нет")).alias("valid"), c["value"].alias("value"), c["reason"].alias("reason")))
+        rows.append(F.struct(F.lit(k + 1).alias("row"), F.lit(f).alias("field"), F.when(c["valid"], F.lit("Да")).otherwise(F.lit("Нет")).alias("valid"), F.coalesce(c["value"], F.lit("")).alias("value"), F.coalesce(c["reason"], F.lit("")).alias("reason")))
     return results.select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.*")
 
 
@@ -84,22 +91,30 @@ def workbook(sheets: dict[str, list[list[str | None]]]) -> bytes:
     return out.getvalue()
 
 
-def workbooks(results: DataFrame, key: str = "document_id") -> DataFrame:
-    """(key, content): a workbook of sheet_rows and check_rows for each document; rows of a document are few."""
+def _state(field: str, value: str | None, check: dict | None) -> str:
+    if value is None:
+        return "не найдено"
+    if field not in CHECKED:
+        return "ок"
+    if check is None or check["valid"] is None:
+        return "ок (не проверялось)"
+    return "ок" if check["valid"] else f"ошибка: {check['reason']}"
+
+
+def _book(details: dict, checks: dict, errors) -> bytes:
+    """The workbook of one document."""
+    first = [[*FIELD_HEADINGS], *[[label, details[f], _state(f, details[f], checks.get(f))] for f, label in zip(FIELDS, SHEET_LABELS, strict=True)]]
+    second = [[*CHECK_HEADINGS], *[[f, "Да" if c["valid"] else "Нет", c["value"], c["reason"]] for f in CHECKED if (c := checks[f]) is not None]]
+    second += [[], [ERRORS_HEADING], *[["", "", x] for x in errors]] if len(errors) else []
+    return workbook({"Реквизиты": first, "Валидация": second})
 
-    def state(field: str, value: str | None, check: dict | None) -> str:
-        if not value:
-            return "не найдено"
-        return "ок (не проверялось)" if field not in CHECKED else "ок" if check["valid"] else f"ошибка: {check['reason']}"
+
+def workbooks(results: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, content): a workbook of fields and checks for each document; rows of a document are few."""
 
     # whole columns go in, so that no expression above them is computed twice
     def made(details: pd.DataFrame, checks: pd.DataFrame, errors: pd.Series) -> pd.Series:
-        out = []
-        for d, c, e in zip(details.to_dict("records"), checks.to_dict("records"), errors, strict=True):
-            first = [["Поле", "Значение", "Статус"], *[[label, d[f], state(f, d[f], c.get(f))] for f, label in zip(FIELDS, SHEET_LABELS, strict=True)]]
-            second = [["Поле", "Корректно", "Значение", "Причина"], *[[label, "Да" if c[f]["valid"] else "Нет", c[f]["value"], c[f]["reason"]] for f, label in CHECKED.items()], *[[x] for x in e]]
-            out.append(workbook({"Реквизиты": first, "Валидация": second}))
-        return pd.Series(out, dtype=object)
+        return pd.Series([_book(d, c, e) for d, c, e in zip(details.to_dict("records"), checks.to_dict("records"), errors, strict=True)], dtype=object)
 
     return results.select(key, F.pandas_udf(made, "binary")("details", "checks", "errors").alias("content"))
 
@@ -149,15 +164,76 @@ def filled_templates(results: DataFrame, template: bytes, key: str = "document_i
     return results.select(key, F.pandas_udf(made, "binary")(aliased(F.col("details"))).alias("content"))
 
 
+def written_files(results: DataFrame, folder: str, template: bytes | None = None, key: str = "document_id") -> DataFrame:
+    """Writes each document's files into a folder that all executors reach, and adds their paths. results: best a table, as the
+    record plan is long.
+
+    <id>_result.json, <id>_result.xlsx, <id>_raw.txt and <id>_normalized.txt, and <id>_result.docx if a template is given; a
+    template that can't be filled gives a warning and no path. Failed rows get no files. Equal documents have one id and
+    write equal files, so a task that is run again, or twice, does no harm.
+    """
+    d = results.withColumn("_json", json_document(results))
+    texts = [c for c in ("text", "normalized_text") if c in results.columns]
+    columns = [key, "status", "_json", "details", "checks", "errors", *texts]
+
+    def put(fs, base: str, name: str, data: bytes) -> str:
+        with fs.open_output_stream(f"{base}/{name}") as f:
+            f.write(data)
+        return f"{base}/{name}"
+
+    def written(rows: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs as stores
+
+        fs, base = stores.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        out = []
+        for r in rows.to_dict("records"):
+            paths = dict.fromkeys(["json_path", "xlsx_path", "docx_path", "raw_text_path", "normalized_text_path", "template_error"])
+            if r["status"] not in ("error", "exception"):
+                i = r[key]
+                paths["json_path"] = put(fs, base, f"{i}_result.json", r["_json"].encode())
+                paths["xlsx_path"] = put(fs, base, f"{i}_result.xlsx", _book(r["details"], r["checks"], r["errors"]))
+                for c, name in (("text", "raw"), ("normalized_text", "normalized")):
+                    if c in r and r[c] is not None:
+                        paths[f"{name}_text_path"] = put(fs, base, f"{i}_{name}.txt", r[c].encode())
+                if template is not None:
+                    try:
+                        filled = filled_docx(template, {a: r["details"][f] or "" for f, a in ALIASES.items()})
+                        paths["docx_path"] = put(fs, base, f"{i}_result.docx", filled)
+                    except Exception as e:  # as the other files are there, it is no failure of the document
+                        paths["template_error"] = f"DOCX export failed: {e}"
+            out.append(paths)
+        return pd.DataFrame(out)
+
+    schema = "json_path string, xlsx_path string, docx_path string, raw_text_path string, normalized_text_path string, template_error string"
+    made = F.pandas_udf(lambda rows: written(rows), schema)(F.struct(*columns))
+    out = d.withColumn("_paths", made).drop("_json").select("*", "_paths.*").drop("_paths")
+    said = F.when(F.col("template_error").isNotNull(), F.array("template_error")).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("warnings", F.concat("warnings", said)).drop("template_error")
+
+
 def batch_report(results: DataFrame) -> DataFrame:
-    """One flat row a file, errors included; warnings joined, so that it can be written as CSV."""
-    failed = F.col("error").isNotNull() if "error" in results.columns else F.lit(False)
-    error = F.array("error") if "error" in results.columns else F.array().cast("array<string>")
+    """One flat row a file in the order of names, errors included; warnings joined, so that it can be written as CSV.
+
+    A failed row has its error as the only warning, and neither id, verdict nor files.
+    """
+    failed = F.col("status").isin("error", "exception")
+    errors = [F.col(c) for c in ("error", "answer_error") if c in results.columns]
+    error = F.array(F.coalesce(*errors)) if errors else F.array().cast("array<string>")
+    own = lambda c: F.when(~failed, F.col(c)).alias(c) if c in results.columns else F.lit(None).cast("string").alias(c)
     return results.select(
         F.col("original_filename").alias("file_name"),
-        "document_id",
-        F.when(failed, F.lit("error")).otherwise(F.col("status")).alias("status"),
-        F.when(~failed, F.col("needs_review")).alias("needs_review"),
-        F.when(~failed, F.col("fill_rate")).alias("fill_rate"),
+        own("document_id"),
+        "status",
+        own("needs_review"),
+        own("fill_rate"),
+        *[own(c) for c in ("json_path", "xlsx_path", "docx_path")],
         F.array_join(F.when(failed, error).otherwise(F.col("warnings")), "; ").alias("warnings"),
-    )
+    ).orderBy("file_name")
+
+
+def write_report(results: DataFrame, folder: str) -> None:
+    """The report as JSON lines and as CSV with a heading, in <folder>/json and <folder>/csv, each in the order of names."""
+    report = batch_report(results)
+    report.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/json")
+    report.write.mode("overwrite").option("header", "true").csv(f"{folder}/csv")

@@ -13,8 +13,8 @@ _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watched(spark: SparkSession, folder: str, settings: Settings = Settings(), per_batch: int = 1000) -> DataFrame:
-    """Results of files as they arrive."""
-    stream = spark.readStream.format("binaryFile").schema(_FILE).option("maxFilesPerTrigger", per_batch).load(folder)
+    """Results of files with the settings' extensions as they arrive; others are not read."""
+    stream = spark.readStream.format("binaryFile").schema(_FILE).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", files.glob(settings.extensions)).load(folder)
     return with_details(files.with_text(files.described(stream), settings), settings)
 
 

@@ -1,6 +1,7 @@
 """Folders of files from scan to sinks, damaged ones included, and the drop-folder stream."""
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from kartoteka.sources import files, sinks
 from kartoteka.streaming import drop_folder
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
 def docx(paragraphs, rows=(), header=""):
@@ -18,9 +20,13 @@ def docx(paragraphs, rows=(), header=""):
     table = "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {W}><w:body>{''.join(map(p, paragraphs))}{table if rows else ''}</w:body></w:document>")
+        refs = '<w:sectPr><w:headerReference w:type="default" r:id="r2"/><w:footerReference w:type="default" r:id="r1"/></w:sectPr>' if header else ""
+        z.writestr("word/document.xml", f"<w:document {W} {R}><w:body>{''.join(map(p, paragraphs))}{table if rows else ''}{refs}</w:body></w:document>")
         if header:
+            z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="r1" Target="footer1.xml"/><Relationship Id="r2" Target="header1.xml"/></Relationships>')
             z.writestr("word/header1.xml", f"<w:hdr {W}>{p(header)}</w:hdr>")
+            z.writestr("word/footer1.xml", f"<w:ftr {W}>{p('Подвал')}</w:ftr>")
+            z.writestr("word/header9.xml", f"<w:hdr {W}>{p('nowhere referred to')}</w:hdr>")
     return out.getvalue()
 
 
@@ -40,7 +46,7 @@ def test_folder(spark, tmp_path):
     found = files.with_text(files.scan(spark, folder(tmp_path)), pdf=pdf)
     r = {x.original_filename: x for x in found.collect()}
     assert set(r) == {"a.docx", "b.DOCX", "c.docx", "d.pdf"}
-    assert r["a.docx"].text == "ИНН: 7744012347\nБИК: 044525225\nРеквизиты организации" and r["a.docx"].extractor == "python_docx"
+    assert r["a.docx"].text == "ИНН: 7744012347\nБИК: 044525225\nРеквизиты организации\nПодвал" and r["a.docx"].extractor == "python_docx"
     assert "empty" in r["b.DOCX"].extraction_warnings[0]
     assert r["c.docx"].error.startswith("Cannot open DOCX")
     assert r["d.pdf"].text.startswith("[Страница 1]\nИНН") and "[Страница 3]\ntwo" in r["d.pdf"].text and r["d.pdf"].pages == 3
@@ -48,7 +54,7 @@ def test_folder(spark, tmp_path):
     results = with_details(found)
     report = {x.file_name: x for x in sinks.batch_report(results).collect()}
     assert report["c.docx"].status == "error" and report["c.docx"].fill_rate is None and report["a.docx"].status == "needs_review"
-    assert {x.status: x.n for x in counters(results).collect()} == {"needs_review": 4}
+    assert {x.status: x.n for x in counters(results).collect()} == {"needs_review": 3, "failed": 1}
 
 
 def test_scans_need_a_backend(spark, tmp_path):
@@ -57,9 +63,69 @@ def test_scans_need_a_backend(spark, tmp_path):
     (d / "s.pdf").write_bytes(b"%PDF")
     (d / "i.png").write_bytes(b"\x89PNG....")
     scan = files.scan(spark, str(d), Settings(extensions=("pdf", "png")))
-    assert all("backend" in x.error for x in files.with_text(scan).collect())
-    r = {x.original_filename: x for x in files.with_text(scan, ocr=lambda c: ["one", ""]).collect()}
-    assert r["i.png"].text == "one" and r["s.pdf"].text == "[Страница 1]\none" and r["s.pdf"].extraction_warnings == ["Page 2: OCR returned empty text"]
+    assert all("backend" in x.error and x.failure == "error" for x in files.with_text(scan).collect())
+
+    def ocr(image):
+        if image == b"bad":
+            raise ValueError("unreadable")
+        if image == b"words":
+            return [{"block_num": b, "line_num": n, "text": t} for b, n, t in ((1, 1, "ИНН:"), (2, 1, "КПП"), (1, 1, "77"), (1, 2, " "))]
+        return [] if image == b"blank" else ["one", "two"]
+
+    r = {x.original_filename: x for x in files.with_text(scan, ocr=ocr, images=lambda c: [b"x", b"blank", b"bad", b"words"]).collect()}
+    assert r["i.png"].text == "one\ntwo" and r["i.png"].pages == 1 and r["i.png"].ocr_used
+    assert r["s.pdf"].text == "[Страница 1]\none\ntwo\n\n[Страница 4]\nИНН: 77\nКПП" and r["s.pdf"].pages == 4
+    assert r["s.pdf"].extraction_warnings == ["Page 2: OCR returned empty text", "Page 3: OCR failed — unreadable"]
+
+
+def test_pdf_tables_and_small_text_layer(spark, tmp_path):
+    d = tmp_path / "pdf"
+    d.mkdir()
+    (d / "t.pdf").write_bytes(b"%PDF")
+    scan = files.scan(spark, str(d))
+    pages = [("Карточка", [[["ИНН", " 77 "], [None, ""], ["КПП", None]]]), ("", []), ("стр", [3])]
+    (r,) = files.with_text(scan, pdf=lambda c: pages).collect()
+    assert r.text == "[Страница 1]\nКарточка\nИНН | 77\nКПП\n\n[Страница 3]\nстр" and r.pages == 3
+    assert r.extraction_warnings[0].startswith("Page 3: table extraction failed") and len(r.extraction_warnings) == 1
+    (r,) = files.with_text(scan, pdf=lambda c: ["x"]).collect()
+    assert r.extraction_warnings[0].startswith("PDF text layer too small")
+    assert files.none_found(scan, str(d)) is None and "pdf" in files.none_found(scan.limit(0), str(d))
+
+
+def test_merged_cells_stand_in_each_place():
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    wide = f'<w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{p("A")}</w:tc>'
+    tall = lambda v, t: f'<w:tc><w:tcPr><w:vMerge{v}/></w:tcPr>{p(t)}</w:tc>'
+    first, second = f"<w:tr>{wide}{tall(' w:val=\"restart\"', 'T')}</w:tr>", f"<w:tr><w:tc>{p('b')}</w:tc><w:tc>{p('c')}</w:tc>{tall('', '')}</w:tr>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body><w:tbl>{first}{second}</w:tbl></w:body></w:document>")
+    assert files.docx_text(out.getvalue()) == "A | A | T\nb | c | T"
+
+
+def test_folder_to_folder(spark, tmp_path):
+    """A whole batch: a good file, a broken and an oversize one, with all files written and a report in order."""
+    d, out = folder(tmp_path), tmp_path / "out"
+    (tmp_path / "in" / "0.pdf").write_bytes(b"%PDF" + bytes(2**20))
+    settings = Settings(max_upload_mb=1)
+    found = files.with_text(files.scan(spark, d, settings), settings, pdf=lambda c: ["ИНН: 7744012347 " + "x" * 60])
+    # the record plan is long: its results are a table before more is derived from them
+    with_details(found, settings).write.parquet(str(tmp_path / "results"))
+    table = spark.read.parquet(str(tmp_path / "results"))
+    results = sinks.written_files(table, str(out), template=docx(["ИНН 'INN'"]))
+    sinks.write_report(results, str(out / "report"))
+    rows = [json.loads(x) for f in sorted((out / "report" / "json").glob("part*")) for x in f.read_text().splitlines()]
+    assert [r["file_name"] for r in rows] == ["0.pdf", "a.docx", "b.DOCX", "c.docx", "d.pdf"]
+    assert [r["status"] for r in rows] == ["error", "needs_review", "needs_review", "error", "needs_review"]
+    assert rows[0]["document_id"] is None and rows[0]["json_path"] is None and "larger than 1 MB" in rows[0]["warnings"]
+    a = rows[1]
+    saved = json.loads(open(a["json_path"]).read())
+    assert saved["data"]["inn"] == "7744012347" and saved["processing_meta"]["extractor"] == "python_docx" and saved["processing_meta"]["sha256"][:8] == a["document_id"] and saved["processing_meta"]["ocr_used"] is False
+    assert files.docx_text(open(a["docx_path"], "rb").read()) == "ИНН 7744012347"
+    assert (out / f"{a['document_id']}_raw.txt").read_text().startswith("ИНН") and (out / f"{a['document_id']}_normalized.txt").exists()
+    assert (out / "report" / "csv").exists()
+    broken = sinks.written_files(table, str(out), template=b"no zip").where("original_filename = 'a.docx'").first()
+    assert broken.docx_path is None and broken.xlsx_path and broken.warnings[-1].startswith("DOCX export failed")
 
 
 def test_workbook_and_template(spark):
@@ -79,5 +145,5 @@ def test_stream(spark, tmp_path):
     q = drop_folder.started(drop_folder.watched(spark, d).select("original_filename", "details", "status"), str(tmp_path / "out"), str(tmp_path / "mark"))
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 5
+    assert out.count() == 4
     assert out.where(F.col("details.inn") == "7744012347").count() == 1
