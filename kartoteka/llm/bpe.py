@@ -26,6 +26,8 @@ UNSAFE = b"-"
 NONE = np.iinfo(np.int64).max
 #: Cells of one array of the side-by-side trees.
 CELLS = 1 << 21
+#: Pieces of so many bytes or more are merged one by one.
+LONG = 1 << 10
 
 
 def default_ranks() -> str:
@@ -102,6 +104,7 @@ class Encoder:
                 a, b = get(token[:i]), get(token[i:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = rank
+        self.pairs = pairs
         keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
         order = np.argsort(keys)
         self.keys, self.merged = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
@@ -166,6 +169,49 @@ class Encoder:
         ends = (np.cumsum(alive.sum(1)) * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def _merge_one(self, piece: bytes, size: int) -> bytes:
+        """One piece by the same tree and the same updates, on plain lists."""
+        n, s, pairs = len(piece), self.size, self.pairs
+        tok = self.bytes[np.frombuffer(piece, np.uint8)]
+        k = tok[:-1] * s + tok[1:]
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        leaves = np.full(size, NONE)
+        leaves[: n - 1] = np.where(self.keys[at] == k, self.merged[at] * size + np.arange(n - 1), NONE)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = [NONE, *chain.from_iterable(x.tolist() for x in reversed(levels))]
+        tok = tok.tolist()
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        none = int(NONE)
+
+        def put(i: int, value: int) -> None:
+            i += size
+            tree[i] = value
+            while i > 1:
+                i >>= 1
+                a, b = tree[2 * i], tree[2 * i + 1]
+                least = a if a < b else b
+                if tree[i] == least:
+                    return
+                tree[i] = least
+
+        while (root := tree[1]) < none:
+            i, rank = root % size, root // size
+            gone = nxt[i]
+            after, before = nxt[gone], prv[i]
+            tok[i], tok[gone] = rank, -1
+            nxt[i] = after
+            if after < n:
+                prv[after] = i
+            put(gone, none)
+            r = pairs.get(rank * s + tok[after]) if after < n else None
+            put(i, none if r is None else r * size + i)
+            if before >= 0:
+                r = pairs.get(tok[before] * s + rank)
+                put(before, none if r is None else r * size + before)
+        return np.array([t for t in tok if t >= 0], "<u4").tobytes()
+
     def pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece; one that is in the vocabulary is one token."""
         out: list = [None] * len(pieces)
@@ -176,6 +222,10 @@ class Encoder:
             else:
                 by_size.setdefault(1 << max(2, (len(p) - 1).bit_length()), []).append(k)
         for size, those in by_size.items():
+            if size >= LONG:  # few and long: array operations on one or two rows would cost more than they do
+                for k in those:
+                    out[k] = self._merge_one(pieces[k], size)
+                continue
             step = max(1, CELLS // size)
             for a in range(0, len(those), step):
                 part = those[a : a + step]
@@ -228,7 +278,10 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "bytes", path: str | None
 
 
 def digests(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id with the number of tokens and the SHA-256 of ids and of decoded bytes of its text; a null text is empty."""
+    """doc_id with the number of tokens and the SHA-256 of ids and of decoded bytes of its text; a null text is empty.
+
+    Row by row: repeated rows stay, an empty table gives an empty one; a long text or match is encoded whole.
+    """
     C.small_batches(df.sparkSession)
     setting = _settings(path, pattern)
 

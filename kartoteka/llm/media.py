@@ -16,6 +16,8 @@ from kartoteka.llm import _common as C
 
 #: Boxes whose body is a list of boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Boxes nested deeper than this are an error, as no such file is meant to be read.
+DEEPEST = 32
 UNIT, KEY_EVERY, CHUNK_UNITS, TIMESCALE = 64, 16, 64, 8000
 
 PROBE = (
@@ -51,7 +53,9 @@ def tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
 
     def walk(start: int, end: int, into: dict | None, depth: int = 0) -> None:
         for kind, a, b in boxes(data, start, end):
-            if kind in CONTAINERS and depth < 16:
+            if kind in CONTAINERS:
+                if depth == DEEPEST:
+                    raise ValueError(f"boxes are nested deeper than {DEEPEST}")
                 inner = into
                 if kind == b"trak":
                     found.append(inner := {})
@@ -76,6 +80,8 @@ def sample_table(data: bytes, t: dict[bytes, tuple[int, int]]) -> dict[str, np.n
     if b"stsz" in t:
         a, _ = t[b"stsz"]
         fixed, n = struct.unpack_from(">II", data, a + 4)
+        if fixed * n > len(data):
+            raise ValueError(f"{n} samples of {fixed} bytes, which the file cannot hold")
         sizes = np.full(n, fixed, np.int64) if fixed else table(b"stsz", 12, 1)[:, 0]
     else:  # compact sizes of 4, 8 or 16 bits
         a, b = t[b"stz2"]
@@ -100,31 +106,43 @@ def sample_table(data: bytes, t: dict[bytes, tuple[int, int]]) -> dict[str, np.n
     full = per_chunk > 0
     offsets = before + np.repeat(chunks[full] - before[first[full]], per_chunk[full]) if len(sizes) else before
     times = table(b"stts", 8, 2)
-    deltas = np.repeat(times[:, 1], times[:, 0])[: len(sizes)]
+    # no more times than there are samples, whatever the table says
+    counts = np.diff(np.minimum(np.cumsum(times[:, 0]), len(sizes)), prepend=0)
+    if counts.sum() < len(sizes):
+        raise ValueError(f"{counts.sum()} times for {len(sizes)} samples")
+    deltas = np.repeat(times[:, 1], counts)
     sync = table(b"stss", 8, 1)[:, 0] - 1 if b"stss" in t else np.arange(len(sizes))
     return {"offset": offsets, "length": sizes, "time": np.cumsum(deltas) - deltas, "sync": sync[(sync >= 0) & (sync < len(sizes))]}
 
 
 def probed(data: bytes | None) -> dict:
-    """What PROBE has of the first track with samples; damaged files give an error text instead of failing."""
+    """What PROBE has of the first video track with samples, or the first of any kind; damaged files give an error text.
+
+    The samples of a fragmented file stand in its fragments, not in tables: that is an error text, too.
+    """
     empty = dict.fromkeys(["codec", "handler", "timescale", "duration_units", "duration_s", "n_samples", "n_keyframes", "keyframes", "error"])
     if data is None:
         return empty
     try:
-        for t in tracks(data):
+        handler_of = lambda t: data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12] if b"hdlr" in t else b""
+        if any(kind == b"moof" for kind, _, _ in boxes(data)):
+            return empty | {"error": "fragmented: its samples are not in sample tables"}
+        for t in sorted(tracks(data), key=lambda t: handler_of(t) != b"vide"):
             if not {b"mdhd", b"stsd", b"stts", b"stsc"} <= t.keys():
                 continue
+            if not struct.unpack_from(">I", data, t[b"stsz"][0] + 8)[0] if b"stsz" in t else False:
+                continue
             a, _ = t[b"mdhd"]
             scale, units = struct.unpack_from(">IQ" if data[a] == 1 else ">II", data, a + (20 if data[a] == 1 else 12))
             s = sample_table(data, t)
-            handler = data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12].decode("latin-1") if b"hdlr" in t else None
+            handler = handler_of(t).decode("latin-1") or None
             keys = [dict(zip(("offset", "length", "time"), map(int, x), strict=True)) for x in zip(*(s[c][s["sync"]] for c in ("offset", "length", "time")), strict=True)]
             return empty | {
                 "codec": data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1"), "handler": handler, "timescale": scale, "duration_units": units,
                 "duration_s": units / scale if scale else None, "n_samples": len(s["length"]), "n_keyframes": len(keys), "keyframes": keys,
             }
         return empty | {"error": "no track with samples"}
-    except (ValueError, KeyError, IndexError, struct.error) as e:
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
         return empty | {"error": f"{type(e).__name__}: {e}"}
 
 
@@ -216,6 +234,6 @@ def stored_features(text: pd.Series) -> pd.DataFrame:
 
 
 def with_features(df: DataFrame, text: str | Column = "text") -> DataFrame:
-    """doc_id and stored_features of its text."""
+    """doc_id and stored_features of its text; row by row, so repeated rows stay, equal texts get equal values, an empty table none."""
     C.small_batches(df.sparkSession)
     return df.select("doc_id", F.pandas_udf(stored_features, STORED)(F.col(text) if isinstance(text, str) else text).alias("m")).select("doc_id", "m.*")
