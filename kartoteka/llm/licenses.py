@@ -101,10 +101,13 @@ def scan(df: DataFrame, index: Index | None = None, text: str = "text", keep: tu
     """`keep` columns of every row, and n_words, starts (for each phrase of the index its places), found (label, weight).
 
     Row by row, without a shuffle; repeated rows stay. Null and empty texts have no words and find nothing. Texts without
-    any anchor word, nearly all of them, end after one look at each word.
+    any anchor word, nearly all of them, end after one look at each word; long ones are read whole. An empty table gives an
+    empty one. `keep` columns named like one of the results are replaced by it; other names may be any.
     """
     index = index or Index()
-    words = df.select(*keep, words_of(F.col(text)).alias("_words"))
+    wanted = [k for k in keep if k not in ("n_words", "starts", "found")]
+    keep = ("_row",)
+    words = df.select(F.struct(F.lit(0).alias("_"), *wanted).alias("_row"), words_of(F.col(text)).alias("_words"))
     anchored = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(index.anchors), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
     hits = words.select(*keep, F.size("_words").cast("long").alias("n_words"), "_words", anchored.alias("_hits"))
     none = F.array(*[F.array().cast("array<int>") for _ in index.phrases])
@@ -117,7 +120,7 @@ def scan(df: DataFrame, index: Index | None = None, text: str = "text", keep: tu
         for p in phrases[1:]:
             all_there = all_there & has[index.number[p]]
         found.append(F.when(all_there, F.struct(F.lit(label).alias("label"), F.lit(index.weight(phrases)).alias("weight"))))
-    return placed.withColumn("found", F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return placed.select(*[F.col("_row")[k].alias(k) for k in wanted], "n_words", "starts", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found"))
 
 
 def licenses_of_documents(docs: DataFrame) -> DataFrame:

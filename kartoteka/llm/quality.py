@@ -165,10 +165,16 @@ def verdict(max_class: float = MAX_CLASS, max_common: float = MAX_COMMON, min_ch
 
 
 def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns of every row with FEATURES, the two distances, base_failed and kept. A null lang counts with all documents."""
-    wanted = [F.col(k) for k in keep]
-    own = docs.select(*wanted, F.col("text"), F.col("lang").alias("lang"))
-    table = C.written(features(own, (*keep, "lang")), "quality")
+    """`keep` columns of every row with FEATURES, the two distances, base_failed and kept.
+
+    Row by row but for the references: repeated rows stay and get equal verdicts, an empty table gives an empty one, a null or
+    empty text fails the base rules, long texts are judged whole. A null lang counts with all documents. `keep` columns named
+    like one of the results are replaced by it; other names may be any.
+    """
+    results = (*FEATURES, "base_failed", "kept", "class_distance", "common_distance")
+    keep = tuple(k for k in keep if k not in results)
+    own = docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("_row"), "text", "lang")
+    table = C.written(features(own, ("_row", "lang")), "quality")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rated = distances(table, References(table)).withColumns({"base_failed": failed, "_fine": verdict()})
-    return rated.select(*keep, *FEATURES, "base_failed", (~F.col("base_failed") & F.col("_fine")).alias("kept"), "class_distance", "common_distance")
+    return rated.select(*[F.col("_row")[k].alias(k) for k in keep], *FEATURES, "base_failed", (~F.col("base_failed") & F.col("_fine")).alias("kept"), "class_distance", "common_distance")

@@ -26,8 +26,9 @@ FACTORS = 8
 TRAIN_ROWS = 3000
 #: A term counts LEAST_SCALE + z^2 / (z^2 + SURE); z: deviation of its documents of label 1 from what chance gives.
 LEAST_SCALE, SURE = 0.02, 64.0
-#: Passes over the training documents, documents of a step, size of a step.
+#: Passes over the training documents, documents of a step, size of a step; few documents get more passes, to LEAST_STEPS.
 EPOCHS, BATCH, RATE = 6, 256, 1.0
+LEAST_STEPS = 150
 
 #: A word's terms: itself and its first so many letters, as stems are inflected.
 STEMS = (3, 4, 5, 6)
@@ -142,7 +143,7 @@ def trained(words: list[str], word: np.ndarray, sizes: np.ndarray, y: np.ndarray
     weight = np.where(y == 1, n / 2 / max(1, (y == 1).sum()), n / 2 / max(1, (y == 0).sum()))
     ends = np.cumsum(sizes)
     order = rng.permutation(np.flatnonzero(sizes))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(order))))):
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             own_terms = table[np.concatenate([word[ends[i] - sizes[i] : ends[i]] for i in rows])].reshape(-1)

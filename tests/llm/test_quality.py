@@ -48,3 +48,23 @@ def test_distance_without_common_words(spark):
     refs = quality.References(table, 1)
     got = {x.doc_id: x.common_distance for x in quality.distances(table, refs).collect()}
     assert got[3] == pytest.approx(refs.without("en"))
+
+
+def test_counts_against_brute_force_and_clashing_names(spark):
+    import re
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    r = random.Random(8)
+    texts = [None, "", " \n", "a # b & c\na # b & c\n\nx"] + [" ".join(r.choices("ab cd ef".split(), k=r.randint(1, 60))).replace("cd ef ab", "cd\nef") for _ in range(60)]
+    df = spark.createDataFrame([(i, t, None, "z", 5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, w string, n_words int")
+    got = {x.doc_id: x for x in quality.judged(df, keep=("doc_id", "w", "lang", "n_words")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = word.findall(t)
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        covered = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(8)}
+        lines = [x for x in t.split("\n") if word.search(x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+        assert tuple(got[i][f] for f in quality.FEATURES) == want
+        assert got[i].base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and got[i].w == "z"
+    assert quality.judged(df.limit(0)).collect() == []
