@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import uuid
 
 import numpy as np
@@ -59,36 +58,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_open: list[list[str]] = []
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession):
-    """Tables that are written meanwhile are removed at the end, but for those that `kept` names."""
-    paths: list[str] = []
-    _open.append(paths)
-    try:
-        yield
-    finally:
-        _open.remove(paths)
-        for path in paths:
-            _removed(spark, path)
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written outside the innermost scratch: for the result of an operator whose other tables go."""
-    paths = _open.pop() if _open else None
-    try:
-        return written(df, name)
-    finally:
-        if paths is not None:
-            _open.append(paths)
-
-
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing.
 
-    The table is removed at the end of the innermost scratch, or else when the session ends.
+    The table is removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -101,10 +74,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     finally:
         spark.conf.set(key, before)
-    if _open:
-        _open[-1].append(path)
-    else:
-        atexit.register(_removed, spark, path)
+    atexit.register(_removed, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
