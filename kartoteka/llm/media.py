@@ -18,6 +18,8 @@ from kartoteka.llm import _common as C
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 #: Boxes nested deeper than this are an error, as no such file is meant to be read.
 DEEPEST = 32
+#: The bit of a fragment's sample flags that marks samples which cannot be decoded alone.
+NOT_SYNC = 0x010000
 UNIT, KEY_EVERY, CHUNK_UNITS, TIMESCALE = 64, 16, 64, 8000
 
 PROBE = (
@@ -115,26 +117,128 @@ def sample_table(data: bytes, t: dict[bytes, tuple[int, int]]) -> dict[str, np.n
     return {"offset": offsets, "length": sizes, "time": np.cumsum(deltas) - deltas, "sync": sync[(sync >= 0) & (sync < len(sizes))]}
 
 
+def fragments(data: bytes) -> dict[int, dict[str, np.ndarray]]:
+    """The samples that movie fragments hold, by track id, in the form of sample_table, and `end`, when the last one ends.
+
+    What a fragment leaves out is taken from its track's defaults; a track without a stated time goes on where it ended.
+    """
+    default: dict[int, tuple[int, int, int]] = {}
+    runs: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    clock: dict[int, int] = {}
+    start = total = 0
+    for kind, a, b in boxes(data):
+        if kind == b"moov":
+            for k, c, d in boxes(data, a, b):
+                for extends, e, _ in boxes(data, c, d) if k == b"mvex" else ():
+                    if extends == b"trex":
+                        track, _, *rest = struct.unpack_from(">5I", data, e + 4)
+                        default[track] = tuple(rest)
+        elif kind == b"moof":
+            after = start
+            for k, c, d in boxes(data, a, b):
+                if k != b"traf":
+                    continue
+                inner = list(boxes(data, c, d))
+                (head,) = [x for x in inner if x[0] == b"tfhd"]
+                track, base, usual = _fragment_head(data, *head[1:], start, after, default)
+                for what, e, f in inner:
+                    if what == b"tfdt":
+                        (clock[track],) = struct.unpack_from(">Q" if data[e] == 1 else ">I", data, e + 4)
+                    elif what == b"trun":
+                        total += struct.unpack_from(">I", data, e + 4)[0]
+                        if total > len(data):
+                            raise ValueError(f"fragments have {total} samples, which the file cannot hold")
+                        offset, lengths, lasting, flags = _run(data, e, f, base, after, usual)
+                        after = int(offset + lengths.sum())
+                        if offset < 0 or after > len(data):
+                            raise ValueError(f"a run from {offset} to {after} is not in the file")
+                        time = clock.get(track, 0) + np.cumsum(lasting) - lasting
+                        clock[track] = clock.get(track, 0) + int(lasting.sum())
+                        runs.setdefault(track, []).append((offset + np.cumsum(lengths) - lengths, lengths, time, flags & NOT_SYNC == 0))
+        start = b
+    found = {}
+    for track, of in runs.items():
+        offset, length, time, sync = (np.concatenate(x) for x in zip(*of, strict=True))
+        found[track] = {"offset": offset, "length": length, "time": time, "sync": np.flatnonzero(sync), "end": clock[track]}
+    return found
+
+
+def _fragment_head(data: bytes, at: int, end: int, moof: int, after: int, default: dict) -> tuple[int, int | None, list[int]]:
+    """Track id, where offsets count from, and the usual duration, size and flags of a sample."""
+    flags, track = struct.unpack_from(">II", data, at)
+    usual = list(default.get(track, (0, 0, 0)))
+    base = moof if flags & 0x020000 else after
+    at += 8
+    if flags & 0x01:
+        (base,) = struct.unpack_from(">Q", data, at)
+        at += 8
+    at += 4 * bool(flags & 0x02)
+    for k, bit in enumerate((0x08, 0x10, 0x20)):
+        if flags & bit:
+            (usual[k],) = struct.unpack_from(">I", data, at)
+            at += 4
+    if at > end:
+        raise ValueError("tfhd is too short")
+    return track, base, usual
+
+
+def _run(data: bytes, at: int, end: int, base: int, after: int, usual: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Where a run of samples starts, and its samples' lengths, durations and flags."""
+    flags, n = struct.unpack_from(">II", data, at)
+    at += 8
+    offset, first = after, None
+    if flags & 0x01:
+        offset = base + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & 0x04:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if at > end or n * len(columns) * 4 > end - at:
+        raise ValueError(f"trun has {n} entries, which its box cannot hold")
+    table = np.frombuffer(data, ">u4", n * len(columns), at).astype(np.int64).reshape(n, len(columns))
+    lasting, lengths, marks = (table[:, columns.index(bit)] if bit in columns else np.full(n, usual[k], np.int64) for k, bit in enumerate((0x100, 0x200, 0x400)))
+    if first is not None and n:
+        marks = np.concatenate([[first], marks[1:]])
+    return offset, lengths, lasting, marks
+
+
+def _samples(data: bytes, t: dict[bytes, tuple[int, int]], in_fragments: dict[int, dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """A track's samples by its tables, then those of its fragments."""
+    sizes = t.get(b"stsz", t.get(b"stz2"))
+    s = {k: np.zeros(0, np.int64) for k in ("offset", "length", "time", "sync")}
+    if sizes and struct.unpack_from(">I", data, sizes[0] + 8)[0] and {b"stts", b"stsc"} <= t.keys():
+        s = sample_table(data, t)
+    more = None
+    if in_fragments and b"tkhd" in t:
+        a, _ = t[b"tkhd"]
+        more = in_fragments.get(struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0])
+    if more:
+        n = len(s["length"])
+        s = {k: np.concatenate([s[k], more[k] + (n if k == "sync" else 0)]) for k in s} | {"end": more["end"]}
+    return s
+
+
 def probed(data: bytes | None) -> dict:
     """What PROBE has of the first video track with samples, or the first of any kind; damaged files give an error text.
 
-    The samples of a fragmented file stand in its fragments, not in tables: that is an error text, too.
+    Samples in movie fragments follow those of the tables; the duration is then the time when the last of them ends.
     """
     empty = dict.fromkeys(["codec", "handler", "timescale", "duration_units", "duration_s", "n_samples", "n_keyframes", "keyframes", "error"])
     if data is None:
         return empty
     try:
         handler_of = lambda t: data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12] if b"hdlr" in t else b""
-        if any(kind == b"moof" for kind, _, _ in boxes(data)):
-            return empty | {"error": "fragmented: its samples are not in sample tables"}
+        in_fragments = fragments(data)
         for t in sorted(tracks(data), key=lambda t: handler_of(t) != b"vide"):
-            if not {b"mdhd", b"stsd", b"stts", b"stsc"} <= t.keys():
+            if not {b"mdhd", b"stsd"} <= t.keys():
                 continue
-            if not struct.unpack_from(">I", data, t[b"stsz"][0] + 8)[0] if b"stsz" in t else False:
+            s = _samples(data, t, in_fragments)
+            if not len(s["length"]):
                 continue
             a, _ = t[b"mdhd"]
             scale, units = struct.unpack_from(">IQ" if data[a] == 1 else ">II", data, a + (20 if data[a] == 1 else 12))
-            s = sample_table(data, t)
+            units = s.get("end", units)
             handler = handler_of(t).decode("latin-1") or None
             keys = [dict(zip(("offset", "length", "time"), map(int, x), strict=True)) for x in zip(*(s[c][s["sync"]] for c in ("offset", "length", "time")), strict=True)]
             return empty | {
