@@ -74,10 +74,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     finally:
         spark.conf.set(key, before)
-    atexit.register(_removed, spark, path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """The table at the path goes when the application ends."""
+    atexit.register(_removed, spark, path)
+
+
 def _removed(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

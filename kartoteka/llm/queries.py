@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kartoteka.llm import _common as C
-from kartoteka.llm import bpe, langid, licenses, lm, media, neardup, packing, quality, substrings, toxicity
+from kartoteka.llm import bpe, hardneg, langid, licenses, lm, media, neardup, packing, pieces, quality, substrings, toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(C.documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(C.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -59,8 +67,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
     "op3_license_scan": licenses.oracle(),
+    "op11_hard_negatives": hardneg.oracle(),
 }
