@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kartoteka.llm import _common as C
-from kartoteka.llm import bpe, hardneg, langid, licenses, lm, media, neardup, packing, pieces, quality, substrings, toxicity
+from kartoteka.llm import align, bpe, hardneg, langid, licenses, lm, media, neardup, packing, pieces, quality, substrings, toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_of_documents(C.documents(spark, sf_dir))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(C.documents(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_alignment": op12_token_alignment,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
