@@ -32,15 +32,15 @@ def with_details(df: DataFrame, settings: Settings = Settings(), compose: bool =
     name = answers.provider(settings) if client is None else settings.provider
     there = set(df.columns)
     failure = F.coalesce(F.col("failure") if "failure" in there else F.lit(None).cast("string"), F.when(F.col("answer_error").isNotNull(), F.lit("error")))
-    origin = [F.col(c).alias(c) for c in ("extractor", "ocr_used", "sha256") if c in there]
+    origin = lambda *names: [F.col(c).alias(c) for c in names if c in there]
     return out.withColumns({
         "fill_rate": validate.fill_rate(d),
         "missing_fields": validate.missing_fields(d),
         "warnings": validate.warnings(said, F.length("text"), F.col("errors"), d, settings.max_chars),
         "status": validate.status(F.col("needs_review"), failure),
         "processing_meta": F.struct(
-            *origin, F.lit(name).alias("llm_provider"), F.lit(settings.model if name != "mock" else "mock").alias("llm_model"), F.lit(settings.prompt_version).alias("prompt_version"),
-            (F.size("extracted_by") > 0).alias("fallback_used"), F.size("extracted_by").alias("fallback_count"), F.map_keys("extracted_by").alias("fallback_fields"),
+            *origin("extractor", "ocr_used"), F.lit(name).alias("llm_provider"), F.lit(settings.model if name != "mock" else "mock").alias("llm_model"), F.lit(settings.prompt_version).alias("prompt_version"),
+            *origin("sha256"), (F.size("extracted_by") > 0).alias("fallback_used"), F.size("extracted_by").alias("fallback_count"), F.map_keys("extracted_by").alias("fallback_fields"),
         ),
     })
 

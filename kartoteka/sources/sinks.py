@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from xml.sax.saxutils import escape
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.schema import ALIASES, CHECKED, FIELDS
+from kartoteka.sources import file_sink, shared
 
 # Labels of the sheet's rows.
 SHEET_LABELS = (
@@ -30,14 +32,25 @@ def aliased(details: Column) -> Column:
     return F.struct(*[F.coalesce(details[f], F.lit("")).alias(a) for f, a in ALIASES.items()])
 
 
+def _compact(whole: Column) -> Column:
+    """JSON with nulls written out; an empty extracted_by is an empty list."""
+    return F.replace(F.to_json(whole, {"ignoreNullFields": "false"}), F.lit('"extracted_by":{}'), F.lit('"extracted_by":[]'))
+
+
+def _validation() -> Column:
+    return F.struct(F.col("checks.*"), "cross_checks", "errors", "review_reasons").alias("validation")
+
+
 def json_document(results: DataFrame) -> Column:
-    """One JSON text a row, nulls written out; an empty extracted_by is an empty list."""
-    keep = {"ignoreNullFields": "false"}
-    whole = F.struct(
-        "document_id", "needs_review", "fill_rate", F.col("details").alias("data"), aliased(F.col("details")).alias("data_aliases"),
-        F.struct(F.col("checks.*"), "cross_checks", "errors", "review_reasons").alias("validation"), "extracted_by", "processing_meta",
-    )
-    return F.replace(F.to_json(whole, keep), F.lit('"extracted_by":{}'), F.lit('"extracted_by":[]'))
+    """One JSON text a row; which fields came from patterns stands in extracted_by alone."""
+    meta = F.col("processing_meta").dropFields("fallback_fields").alias("processing_meta")
+    return _compact(F.struct("document_id", "needs_review", "fill_rate", F.col("details").alias("data"), aliased(F.col("details")).alias("data_aliases"), _validation(), "extracted_by", meta))
+
+
+def payload(results: DataFrame) -> Column:
+    """What a service answers for a result, as JSON; paths of files that there aren't are null."""
+    there = lambda c: (F.col(c) if c in results.columns else F.lit(None).cast("string")).alias(c)
+    return _compact(F.struct("document_id", "status", "needs_review", "fill_rate", F.col("details").alias("data"), _validation(), "warnings", "processing_meta", *map(there, ("json_path", "xlsx_path", "docx_path"))))
 
 
 def _status(value: Column, check: Column | None) -> Column:
@@ -164,76 +177,138 @@ def filled_templates(results: DataFrame, template: bytes, key: str = "document_i
     return results.select(key, F.pandas_udf(made, "binary")(aliased(F.col("details"))).alias("content"))
 
 
-def written_files(results: DataFrame, folder: str, template: bytes | None = None, key: str = "document_id") -> DataFrame:
-    """Writes each document's files into a folder that all executors reach, and adds their paths. results: best a table, as the
-    record plan is long.
+FAILED = ("error", "exception")
 
-    <id>_result.json, <id>_result.xlsx, <id>_raw.txt and <id>_normalized.txt, and <id>_result.docx if a template is given; a
-    template that can't be filled gives a warning and no path. Failed rows get no files. Equal documents have one id and
-    write equal files, so a task that is run again, or twice, does no harm.
-    """
-    d = results.withColumn("_json", json_document(results))
-    texts = [c for c in ("text", "normalized_text") if c in results.columns]
-    columns = [key, "status", "_json", "details", "checks", "errors", *texts]
 
-    def put(fs, base: str, name: str, data: bytes) -> str:
-        with fs.open_output_stream(f"{base}/{name}") as f:
-            f.write(data)
-        return f"{base}/{name}"
+def files_of(results: DataFrame, template: bytes | None = None, key: str = "document_id") -> DataFrame:
+    """(key, name, content): the files of each row that didn't fail; a plain function of the row, without side effects.
 
-    def written(rows: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs as stores
+    <id>_result.json, <id>_result.xlsx, <id>_raw.txt and <id>_normalized.txt, and <id>_result.docx if a template is given that
+    can be filled.
+    """
+    texts = [c for c in ("text", "normalized_text") if c in results.columns]
+    fills = template is not None and template_error(template) is None
+    rows = results.where(~F.col("status").isin(*FAILED)).select(key, json_document(results).alias("_json"), "details", "checks", "errors", *texts)
 
-        fs, base = stores.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
+    def made(rows: pd.DataFrame) -> pd.Series:
         out = []
         for r in rows.to_dict("records"):
-            paths = dict.fromkeys(["json_path", "xlsx_path", "docx_path", "raw_text_path", "normalized_text_path", "template_error"])
-            if r["status"] not in ("error", "exception"):
-                i = r[key]
-                paths["json_path"] = put(fs, base, f"{i}_result.json", r["_json"].encode())
-                paths["xlsx_path"] = put(fs, base, f"{i}_result.xlsx", _book(r["details"], r["checks"], r["errors"]))
-                for c, name in (("text", "raw"), ("normalized_text", "normalized")):
-                    if c in r and r[c] is not None:
-                        paths[f"{name}_text_path"] = put(fs, base, f"{i}_{name}.txt", r[c].encode())
-                if template is not None:
-                    try:
-                        filled = filled_docx(template, {a: r["details"][f] or "" for f, a in ALIASES.items()})
-                        paths["docx_path"] = put(fs, base, f"{i}_result.docx", filled)
-                    except Exception as e:  # as the other files are there, it is no failure of the document
-                        paths["template_error"] = f"DOCX export failed: {e}"
-            out.append(paths)
-        return pd.DataFrame(out)
-
-    schema = "json_path string, xlsx_path string, docx_path string, raw_text_path string, normalized_text_path string, template_error string"
-    made = F.pandas_udf(lambda rows: written(rows), schema)(F.struct(*columns))
-    out = d.withColumn("_paths", made).drop("_json").select("*", "_paths.*").drop("_paths")
-    said = F.when(F.col("template_error").isNotNull(), F.array("template_error")).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("warnings", F.concat("warnings", said)).drop("template_error")
+            i, d = r[key], r["details"]
+            files = [(f"{i}_result.json", json.dumps(json.loads(r["_json"]), ensure_ascii=False, indent=2).encode()), (f"{i}_result.xlsx", _book(d, r["checks"], r["errors"]))]
+            files += [(f"{i}_{name}.txt", r[c].encode()) for c, name in (("text", "raw"), ("normalized_text", "normalized")) if r.get(c) is not None]
+            if fills:
+                files.append((f"{i}_result.docx", filled_docx(template, {a: d[f] or "" for f, a in ALIASES.items()})))
+            out.append([{"name": n, "content": c} for n, c in files])
+        return pd.Series(out, dtype=object)
+
+    # whole columns go in, so that no expression above them is computed twice
+    files = F.pandas_udf(made, "array<struct<name:string,content:binary>>")(F.struct(*rows.columns))
+    return rows.select(key, F.explode(files).alias("f")).select(key, "f.*")
+
+
+def template_error(template: bytes) -> str | None:
+    """Why the template can't be filled, for any values."""
+    try:
+        filled_docx(template, {})
+    except Exception as e:  # whatever is wrong with the file, documents have their other files
+        return f"DOCX export failed: {e}"
+    return None
+
+
+def with_paths(results: DataFrame, folder: str, template: bytes | None = None, key: str = "document_id") -> DataFrame:
+    """Adds the paths that `files_of` gives in a folder; a template that can't be filled gives a warning and no path."""
+    failed = F.col("status").isin(*FAILED)
+    error = template_error(template) if template is not None else None
+    path = lambda name, *having: F.when(~failed & having[0] if having else ~failed, F.concat(F.lit(f"{folder}/"), key, F.lit(name)))
+    none = F.lit(None).cast("string")
+    text = lambda c, name: path(name, F.col(c).isNotNull()) if c in results.columns else none
+    out = results.withColumns({
+        "json_path": path("_result.json"), "xlsx_path": path("_result.xlsx"), "docx_path": none if template is None or error else path("_result.docx"),
+        "raw_text_path": text("text", "_raw.txt"), "normalized_text_path": text("normalized_text", "_normalized.txt"),
+    })
+    return out.withColumn("warnings", F.when(failed, F.col("warnings")).otherwise(F.concat("warnings", F.array(F.lit(error))))) if error else out
+
+
+def write_files(results: DataFrame, folder: str, template: bytes | None = None, key: str = "document_id") -> DataFrame:
+    """Writes each document's files into a folder that all executors reach, once and now, and returns the rows with their paths.
+
+    results: best a table, as the record plan is long and is computed here and wherever the rows are used. If the job fails, no
+    file of it is in the folder. Failed rows get no files. Equal documents have one id and equal files.
+    """
+    file_sink.write(files_of(results, template, key), folder)
+    return with_paths(results, folder, template, key)
 
 
 def batch_report(results: DataFrame) -> DataFrame:
-    """One flat row a file in the order of names, errors included; warnings joined, so that it can be written as CSV.
+    """One flat row a file in the order of paths, errors included; warnings as an array.
 
     A failed row has its error as the only warning, and neither id, verdict nor files.
     """
-    failed = F.col("status").isin("error", "exception")
+    failed = F.col("status").isin(*FAILED)
     errors = [F.col(c) for c in ("error", "answer_error") if c in results.columns]
     error = F.array(F.coalesce(*errors)) if errors else F.array().cast("array<string>")
     own = lambda c: F.when(~failed, F.col(c)).alias(c) if c in results.columns else F.lit(None).cast("string").alias(c)
-    return results.select(
+    order = "storage_path" if "storage_path" in results.columns else "original_filename"
+    rows = results.orderBy(order, "original_filename")
+    return rows.select(
         F.col("original_filename").alias("file_name"),
         own("document_id"),
         "status",
         own("needs_review"),
         own("fill_rate"),
+        F.when(failed, error).otherwise(F.col("warnings")).alias("warnings"),
         *[own(c) for c in ("json_path", "xlsx_path", "docx_path")],
-        F.array_join(F.when(failed, error).otherwise(F.col("warnings")), "; ").alias("warnings"),
-    ).orderBy("file_name")
+    )
+
+
+def _json_text(value: Column, kind: str) -> Column:
+    """A value as JSON, an array over several lines."""
+    if kind == "string":
+        text = F.to_json(F.array(value))
+        value = F.substring(text, F.lit(2), F.length(text) - 2)
+    elif kind.startswith("array"):
+        # a line of its own for each
+        each = F.transform(value, lambda x: _json_text(x, "string"))
+        value = F.when(F.size(value) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[\n      "), F.array_join(each, ",\n      "), F.lit("\n    ]")))
+    return F.coalesce(value.cast("string"), F.lit("null"))
+
+
+def _csv_text(value: Column, kind: str) -> Column:
+    if kind == "boolean":
+        value = F.initcap(value.cast("string"))
+    elif kind.startswith("array"):
+        value = F.array_join(value, "; ")
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
 
+def _merged(lines: DataFrame, to: str, between: str, start: str, end: str, empty: str, last: bool) -> None:
+    """Rows of text in order as one file: parts are written by tasks, and their bytes are copied one after the other.
 
-def write_report(results: DataFrame, folder: str) -> None:
-    """The report as JSON lines and as CSV with a heading, in <folder>/json and <folder>/csv, each in the order of names."""
+    last: whether the separator stands behind the last row too.
+    """
+    spark = lines.sparkSession
+    at = shared.own_path(spark, "report")
+    try:
+        lines.write.option("lineSep", between).text(at)
+        shared.joined(spark, at, to, start, end, 0 if last else len(between.encode()), empty)
+    finally:
+        shared.removed(spark, at)
+
+
+def write_report(results: DataFrame, folder: str, name: str = "batch_report") -> tuple[str, str]:
+    """The report as one JSON array and one CSV file with a heading, both in the order of paths; their paths.
+
+    Rows are sorted by ranges of paths over all tasks, and no row comes to the driver but as bytes of a file.
+    """
     report = batch_report(results)
-    report.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/json")
-    report.write.mode("overwrite").option("header", "true").csv(f"{folder}/csv")
+    kinds = dict(report.dtypes)
+    json_path, csv_path = f"{folder}/{name}.json", f"{folder}/{name}.csv"
+    pairs = [F.concat(F.lit(f'    "{c}": '), _json_text(F.col(c), kinds[c])) for c in report.columns]
+    objects = report.select(F.concat(F.lit("  {\n"), F.concat_ws(",\n", *pairs), F.lit("\n  }")).alias("value"))
+    _merged(objects, json_path, ",\n", "[\n", "\n]", "[]", last=False)
+    heads = [*[c for c in report.columns if c != "warnings"], "warnings"]
+    lines = report.select(F.concat_ws(",", *[_csv_text(F.col(c), kinds[c]) for c in heads]).alias("value"))
+    heading = ",".join(heads) + "\r\n"
+    _merged(lines, csv_path, "\r\n", heading, "", heading, last=True)
+    return json_path, csv_path

@@ -1,14 +1,16 @@
 """Folders of files from scan to sinks, damaged ones included, and the drop-folder stream."""
 
+import csv
 import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from kartoteka.plans.details import counters, with_details
 from kartoteka.schema import Settings
-from kartoteka.sources import files, sinks
+from kartoteka.sources import file_sink, files, sinks
 from kartoteka.streaming import drop_folder
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -112,22 +114,68 @@ def test_folder_to_folder(spark, tmp_path):
     # the record plan is long: its results are a table before more is derived from them
     with_details(found, settings).write.parquet(str(tmp_path / "results"))
     table = spark.read.parquet(str(tmp_path / "results"))
-    results = sinks.written_files(table, str(out), template=docx(["ИНН 'INN'"]))
-    sinks.write_report(results, str(out / "report"))
-    rows = [json.loads(x) for f in sorted((out / "report" / "json").glob("part*")) for x in f.read_text().splitlines()]
+    results = sinks.write_files(table, str(out), template=docx(["ИНН 'INN'"]))
+    before = {f.name: f.stat().st_mtime_ns for f in out.iterdir()}
+    assert results.count() == 5 and results.where("json_path is not null").count() == 3
+    assert {f.name: f.stat().st_mtime_ns for f in out.iterdir()} == before  # actions on the rows write nothing
+    assert sorted(before) == sorted(p.rsplit("/", 1)[1] for r in results.collect() for p in (r.json_path, r.xlsx_path, r.docx_path, r.raw_text_path, r.normalized_text_path) if p)
+    json_path, csv_path = sinks.write_report(results, str(out / "report"))
+    rows = json.loads(open(json_path).read())
+    assert open(json_path).read() == json.dumps(rows, ensure_ascii=False, indent=2)
     assert [r["file_name"] for r in rows] == ["0.pdf", "a.docx", "b.DOCX", "c.docx", "d.pdf"]
     assert [r["status"] for r in rows] == ["error", "needs_review", "needs_review", "error", "needs_review"]
-    assert rows[0]["document_id"] is None and rows[0]["json_path"] is None and "larger than 1 MB" in rows[0]["warnings"]
+    assert rows[0]["document_id"] is None and rows[0]["json_path"] is None and "larger than 1 MB" in rows[0]["warnings"][0]
     a = rows[1]
-    saved = json.loads(open(a["json_path"]).read())
-    assert saved["data"]["inn"] == "7744012347" and saved["processing_meta"]["extractor"] == "python_docx" and saved["processing_meta"]["sha256"][:8] == a["document_id"] and saved["processing_meta"]["ocr_used"] is False
+    text = open(a["json_path"]).read()
+    saved = json.loads(text)
+    assert text == json.dumps(saved, ensure_ascii=False, indent=2)
+    assert saved["data"]["inn"] == "7744012347" and saved["processing_meta"]["sha256"][:8] == a["document_id"]
+    assert list(saved["processing_meta"]) == ["extractor", "ocr_used", "llm_provider", "llm_model", "prompt_version", "sha256", "fallback_used", "fallback_count"]
     assert files.docx_text(open(a["docx_path"], "rb").read()) == "ИНН 7744012347"
     assert (out / f"{a['document_id']}_raw.txt").read_text().startswith("ИНН") and (out / f"{a['document_id']}_normalized.txt").exists()
-    assert (out / "report" / "csv").exists()
-    broken = sinks.written_files(table, str(out), template=b"no zip").where("original_filename = 'a.docx'").first()
+    with open(csv_path, newline="") as f:
+        read = list(csv.DictReader(f))
+    said = {None: "", True: "True", False: "False"}
+    assert [{k: "; ".join(v) if isinstance(v, list) else said[v] if v is None or v is True or v is False else str(v) for k, v in r.items()} for r in rows] == [{k: r[k] for k in rows[0]} for r in read]
+    broken = sinks.write_files(table, str(out), template=b"no zip").where("original_filename = 'a.docx'").first()
     assert broken.docx_path is None and broken.xlsx_path and broken.warnings[-1].startswith("DOCX export failed")
 
 
+def test_report_over_folders_and_partitions(spark, tmp_path):
+    """The order is that of paths, whatever the partitions; texts with quotes, commas and line ends come back."""
+    names = [f"{'ab'[k % 2]}/{k:03d}.pdf" for k in range(200)]
+    rows = [(n.split("/")[1], n, f"id{n}", "done" if k % 3 else "error", True, 0.5, ['"x", y\nz', "w"] if k % 2 else [], "плохо") for k, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "original_filename string, storage_path string, document_id string, status string, needs_review boolean, fill_rate double, warnings array<string>, error string").repartition(7)
+    json_path, csv_path = sinks.write_report(df, str(tmp_path))
+    got = json.loads(open(json_path).read())
+    assert [r["file_name"] for r in got] == [n.split("/")[1] for n in sorted(names)]
+    assert got[1]["warnings"] in ([], ["плохо"]) and any(r["warnings"] == ['"x", y\nz', "w"] for r in got)
+    with open(csv_path, newline="") as f:
+        assert [r["file_name"] for r in csv.DictReader(f)] == [r["file_name"] for r in got]
+    json_path, csv_path = sinks.write_report(df.limit(0), str(tmp_path / "none"))
+    assert open(json_path).read() == "[]" and open(csv_path).read().startswith("file_name,document_id,status")
+    assert not [p for p in tmp_path.rglob("*") if "report-" in p.name]
+
+
+def test_files_are_there_when_the_job_commits(spark, tmp_path):
+    out = tmp_path / "files"
+    df = spark.range(40).repartition(4).selectExpr("concat('d', id % 3, '/', id, '.txt') as name", "encode(concat('text ', id), 'utf-8') as content")
+    file_sink.write(df, str(out))
+    assert {str(f.relative_to(out)): f.read_text() for f in out.rglob("*") if f.is_file()} == {f"d{k % 3}/{k}.txt": f"text {k}" for k in range(40)}
+    file_sink.write(df.where("name like 'd0/0%'").withColumn("content", F.encode(F.lit("new"), "utf-8")), out.as_uri())
+    assert (out / "d0" / "0.txt").read_text() == "new" and (out / "d1" / "1.txt").read_text() == "text 1"
+
+    bad = tmp_path / "bad"
+    broken = df.withColumn("content", F.when(F.col("name").endswith("/39.txt"), F.expr("cast(raise_error('broken') as binary)")).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="broken"):
+        file_sink.write(broken, str(bad))
+    assert not bad.exists() or not [f for f in bad.rglob("*")]
+    for name in ("../x", "/x", "", "a/../../x"):
+        with pytest.raises(Exception, match="file name"):
+            file_sink.write(df.limit(1).withColumn("name", F.lit(name)), str(bad))
+    assert not [f for f in bad.rglob("*")] and not (tmp_path / "x").exists()
+
+
 def test_workbook_and_template(spark):
     results = with_details(spark.createDataFrame([("x", "ИНН: 7744012347")], "document_id string, text string"), compose=False)
     (book,) = sinks.workbooks(results).collect()
