@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kartoteka.plans.details import counters, with_details
 from kartoteka.schema import Settings
+from kartoteka.sources import docx as docx_files
 from kartoteka.sources import file_sink, files, sinks
 from kartoteka.streaming import drop_folder
 
@@ -32,6 +33,30 @@ def docx(paragraphs, rows=(), header=""):
     return out.getvalue()
 
 
+def pages(texts, tables=None, images=None):
+    """A backend of fixed pages; an exception among them is raised."""
+
+    class Fake:
+        def __len__(self):
+            return len(texts or images)
+
+        def given(self, those, k, none):
+            if isinstance(x := those[k] if those else none, Exception):
+                raise x
+            return x
+
+        def text(self, k):
+            return self.given(texts, k, "")
+
+        def tables(self, k):
+            return self.given(tables, k, [])
+
+        def image(self, k):
+            return self.given(images, k, b"")
+
+    return lambda content: Fake()
+
+
 def folder(tmp_path):
     d = tmp_path / "in"
     d.mkdir()
@@ -44,8 +69,7 @@ def folder(tmp_path):
 
 
 def test_folder(spark, tmp_path):
-    pdf = lambda content: ["ИНН: 7744012347 " + "x" * 60, " ", "two"]
-    found = files.with_text(files.scan(spark, folder(tmp_path)), pdf=pdf)
+    found = files.with_text(files.scan(spark, folder(tmp_path)), pdf=pages(["ИНН: 7744012347 " + "x" * 60, " ", "two"]))
     r = {x.original_filename: x for x in found.collect()}
     assert set(r) == {"a.docx", "b.DOCX", "c.docx", "d.pdf"}
     assert r["a.docx"].text == "ИНН: 7744012347\nБИК: 044525225\nРеквизиты организации\nПодвал" and r["a.docx"].extractor == "python_docx"
@@ -74,7 +98,7 @@ def test_scans_need_a_backend(spark, tmp_path):
             return [{"block_num": b, "line_num": n, "text": t} for b, n, t in ((1, 1, "ИНН:"), (2, 1, "КПП"), (1, 1, "77"), (1, 2, " "))]
         return [] if image == b"blank" else ["one", "two"]
 
-    r = {x.original_filename: x for x in files.with_text(scan, ocr=ocr, images=lambda c: [b"x", b"blank", b"bad", b"words"]).collect()}
+    r = {x.original_filename: x for x in files.with_text(scan, pdf=pages(None, images=[b"x", b"blank", b"bad", b"words"]), ocr=ocr).collect()}
     assert r["i.png"].text == "one\ntwo" and r["i.png"].pages == 1 and r["i.png"].ocr_used
     assert r["s.pdf"].text == "[Страница 1]\none\ntwo\n\n[Страница 4]\nИНН: 77\nКПП" and r["s.pdf"].pages == 4
     assert r["s.pdf"].extraction_warnings == ["Page 2: OCR returned empty text", "Page 3: OCR failed — unreadable"]
@@ -85,15 +109,103 @@ def test_pdf_tables_and_small_text_layer(spark, tmp_path):
     d.mkdir()
     (d / "t.pdf").write_bytes(b"%PDF")
     scan = files.scan(spark, str(d))
-    pages = [("Карточка", [[["ИНН", " 77 "], [None, ""], ["КПП", None]]]), ("", []), ("стр", [3])]
-    (r,) = files.with_text(scan, pdf=lambda c: pages).collect()
+    pdf = pages(["Карточка", "", "стр"], [[[["ИНН", " 77 "], [None, ""], ["КПП", None]]], [], [3]])
+    (r,) = files.with_text(scan, pdf=pdf).collect()
     assert r.text == "[Страница 1]\nКарточка\nИНН | 77\nКПП\n\n[Страница 3]\nстр" and r.pages == 3
-    assert r.extraction_warnings[0].startswith("Page 3: table extraction failed") and len(r.extraction_warnings) == 1
-    (r,) = files.with_text(scan, pdf=lambda c: ["x"]).collect()
+    # what tells a scan is the pages' text alone, without tables
+    assert r.extraction_warnings[0].startswith("Page 3: table extraction failed") and len(r.extraction_warnings) == 1 and r.doc_kind == "pdf_scan"
+    (r,) = files.with_text(scan, pdf=pages(["x"])).collect()
     assert r.extraction_warnings[0].startswith("PDF text layer too small")
+    (r,) = files.with_text(scan, pdf=pages([" " * 60 + "x" * 49, "", "", "y" * 60])).collect()
+    assert r.doc_kind == "pdf_scan" and r.extractor == "pdfplumber"  # the fourth page isn't asked
     assert files.none_found(scan, str(d)) is None and "pdf" in files.none_found(scan.limit(0), str(d))
 
 
+def test_pages_of_a_long_scan_use_all_tasks(spark, tmp_path):
+    """3000 pages of one file are recognised in all partitions, bad ones cost a warning, and come back in order."""
+    d = tmp_path / "long"
+    d.mkdir()
+    (d / "s.pdf").write_bytes(b"%PDF scan")
+    (d / "t.pdf").write_bytes(b"%PDF text")
+    (d / "x.pdf").write_bytes(b"%PDF broken")
+    (d / "n.docx").write_bytes(docx(["рядом"]))
+
+    def opened(content):
+        class Doc:
+            def __len__(self):
+                if content.endswith(b"broken"):
+                    raise ValueError("no pages")
+                return 3000 if content.endswith(b"scan") else 70
+
+            def text(self, k):
+                if k == 40:
+                    raise ValueError("torn")
+                return "" if content.endswith(b"scan") else f"текст {k} " + "x" * 40
+
+            def tables(self, k):
+                return []
+
+            def image(self, k):
+                return f"{k}".encode()
+
+        return Doc()
+
+    def ocr(image):
+        from pyspark import TaskContext
+
+        if image == b"1234":
+            raise ValueError("unreadable")
+        return [f"{image.decode()} in {TaskContext.get().partitionId()}"] if image != b"7" else []
+
+    ocr.extractor = "mine"
+    r = {x.original_filename: x for x in files.with_text(files.scan(spark, str(d)), pdf=opened, ocr=ocr).collect()}
+    assert set(r) == {"s.pdf", "t.pdf", "x.pdf", "n.docx"} and r["n.docx"].text == "рядом"
+    s = r["s.pdf"]
+    blocks = s.text.split("\n\n")
+    assert [x.split("\n")[0] for x in blocks] == [f"[Страница {k + 1}]" for k in range(3000) if k not in (7, 1234)]
+    assert [int(x.split("\n")[1].split(" ")[0]) for x in blocks] == [k for k in range(3000) if k not in (7, 1234)]
+    assert {x.rsplit(" ", 1)[1] for x in blocks} == {str(p) for p in range(int(spark.conf.get("spark.sql.shuffle.partitions")))}
+    assert (s.doc_kind, s.extractor, s.pages, s.ocr_used, s.error) == ("pdf_scan", "mine", 3000, True, None)
+    assert s.extraction_warnings == ["Page 8: OCR returned empty text", "Page 1235: OCR failed — unreadable"]
+    t = r["t.pdf"]
+    assert (t.doc_kind, t.extractor, t.pages, t.ocr_used) == ("pdf_text", "pdfplumber", 70, False) and t.extraction_warnings == ["Page 41: text extraction failed — torn"]
+    assert "[Страница 40]\nтекст 39" in t.text and "[Страница 41]" not in t.text
+    assert r["x.pdf"].failure == "exception" and "no pages" in r["x.pdf"].error
+
+
+def test_bounds_of_docx(spark, tmp_path):
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+
+    def file(body, **parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f"<w:document {W} {R}><w:body>{body}</w:body></w:document>")
+            for name, text in parts.items():
+                z.writestr("word/_rels/document.xml.rels" if name == "rels" else f"word/{name}.xml", text)
+        return out.getvalue()
+
+    wide = f'<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="5000000"/></w:tcPr>{p("abcd")}</w:tc></w:tr></w:tbl>'
+    bomb = file(p("a" * (150 << 20)))
+    assert len(bomb) < 300_000
+    d = tmp_path / "bounds"
+    d.mkdir()
+    (d / "wide.docx").write_bytes(file(wide))
+    (d / "bomb.docx").write_bytes(bomb)
+    r = {x.original_filename: x for x in files.with_text(files.scan(spark, str(d))).collect()}
+    assert r["wide.docx"].error == "Cannot open DOCX: more than 500000 table cells" and r["wide.docx"].failure == "error"
+    assert r["bomb.docx"].error == "Cannot open DOCX: more than 134217728 bytes of XML"
+    with pytest.raises(docx_files.TooLarge, match="characters"):
+        docx_files.text(file(wide.replace("5000000", "10")), most_chars=20)
+    # rows and cells in content controls, a target from the root, a header shared by sections
+    row = lambda t: f"<w:tr><w:sdt><w:sdtContent><w:tc>{p(t)}</w:tc></w:sdtContent></w:sdt><w:tc>{p('2')}</w:tc></w:tr>"
+    table = f"<w:tbl>{row('a')}<w:sdt><w:sdtContent>{row('b')}</w:sdtContent></w:sdt></w:tbl>"
+    nested = f"<w:tbl><w:tr><w:tc>{p('out')}<w:tbl>{row('in')}</w:tbl></w:tc></w:tr></w:tbl>"
+    section = '<w:sectPr><w:headerReference w:type="default" r:id="r1"/></w:sectPr>'
+    body = f"<w:p><w:r><w:t>one</w:t></w:r><w:pPr>{section}</w:pPr></w:p>{table}{nested}<w:sectPr/>"
+    rels = '<Relationships><Relationship Id="r1" Target="/word/header1.xml"/></Relationships>'
+    assert docx_files.text(file(body, rels=rels, header1=f"<w:hdr {W}>{p('Шапка')}</w:hdr>")) == "one\na | 2\nb | 2\nout\nШапка\nШапка"
+
+
 def test_merged_cells_stand_in_each_place():
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
     wide = f'<w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{p("A")}</w:tc>'
@@ -102,7 +214,7 @@ def test_merged_cells_stand_in_each_place():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f"<w:document {W}><w:body><w:tbl>{first}{second}</w:tbl></w:body></w:document>")
-    assert files.docx_text(out.getvalue()) == "A | A | T\nb | c | T"
+    assert docx_files.text(out.getvalue()) == "A | A | T\nb | c | T"
 
 
 def test_folder_to_folder(spark, tmp_path):
@@ -110,7 +222,7 @@ def test_folder_to_folder(spark, tmp_path):
     d, out = folder(tmp_path), tmp_path / "out"
     (tmp_path / "in" / "0.pdf").write_bytes(b"%PDF" + bytes(2**20))
     settings = Settings(max_upload_mb=1)
-    found = files.with_text(files.scan(spark, d, settings), settings, pdf=lambda c: ["ИНН: 7744012347 " + "x" * 60])
+    found = files.with_text(files.scan(spark, d, settings), settings, pdf=pages(["ИНН: 7744012347 " + "x" * 60]))
     # the record plan is long: its results are a table before more is derived from them
     with_details(found, settings).write.parquet(str(tmp_path / "results"))
     table = spark.read.parquet(str(tmp_path / "results"))
@@ -131,7 +243,7 @@ def test_folder_to_folder(spark, tmp_path):
     assert text == json.dumps(saved, ensure_ascii=False, indent=2)
     assert saved["data"]["inn"] == "7744012347" and saved["processing_meta"]["sha256"][:8] == a["document_id"]
     assert list(saved["processing_meta"]) == ["extractor", "ocr_used", "llm_provider", "llm_model", "prompt_version", "sha256", "fallback_used", "fallback_count"]
-    assert files.docx_text(open(a["docx_path"], "rb").read()) == "ИНН 7744012347"
+    assert docx_files.text(open(a["docx_path"], "rb").read()) == "ИНН 7744012347"
     assert (out / f"{a['document_id']}_raw.txt").read_text().startswith("ИНН") and (out / f"{a['document_id']}_normalized.txt").exists()
     with open(csv_path, newline="") as f:
         read = list(csv.DictReader(f))
@@ -183,7 +295,7 @@ def test_workbook_and_template(spark):
         assert "7744012347" in z.read("xl/worksheets/sheet1.xml").decode() and "field is null" in z.read("xl/worksheets/sheet2.xml").decode()
     template = docx(["ИНН 'INN' и &apos;KPP&apos;", "как есть"])
     (filled,) = sinks.filled_templates(results, template).collect()
-    assert files.docx_text(bytes(filled.content)) == "ИНН 7744012347 и\nкак есть"
+    assert docx_files.text(bytes(filled.content)) == "ИНН 7744012347 и\nкак есть"
     row = results.select(sinks.json_document(results).alias("j")).first().j
     assert '"kpp":null' in row and '"extracted_by":{"inn":"regex"}' in row
 
