@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,10 @@ class Pair:
         said = [model.id_to_piece(i) for i in range(self.b.size)]
         self.b_bytes = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace(pieces.MARK, " ").encode() for i, t in enumerate(said)]
         self.a_len, self.b_len = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # ids in decimal with what may follow: of A, then of B from b_said on
+        self.b_said = 2 * size
+        self.said = np.array([f"{i}{end}".encode() for n, ends in ((size, ",|"), (self.b.size, ",;")) for end in ends for i in range(n)], object)
+        self.said_len = np.fromiter(map(len, self.said), np.int64, len(self.said))
         self.latin = None
         if ranks:
             import public_tokenizers
@@ -107,22 +112,22 @@ class Pair:
                     out[i] = ids[a:b].tobytes()
         return out
 
-    def segments(self, segments: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids by A and B of each segment."""
+    def segments(self, segments: list[str], whole: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids by A and by B of each segment, then of each whole text with a space in front."""
         C.claim(self)
         out = [self.young.get(s) or self.old.get(s) for s in segments]
         absent = [i for i, v in enumerate(out) if v is None]
-        new = [i for i in absent if not ODD_SPACE.search(segments[i])]
-        of = [segments[i] for i in new]
-        for i, *ids in zip(new, self._a_segments(of), self.b.chunks(of), strict=True):
+        new = [segments[i] for i in absent]
+        for i, *ids in zip(absent, self._a_segments(new), self.b.chunks(new), strict=True):
             out[i] = tuple(ids)
-        for i in set(absent) - set(new):  # a whole text with the space in front
-            out[i] = np.array(self.a.encode(segments[i], add_special_tokens=False).ids, "<u4").tobytes(), self.b([segments[i][1:]])[0]
-        C.claim(self)
-        self.young.update((segments[i], out[i]) for i in absent if len(segments[i]) <= C.MEMO_BYTES)
+        # what was not met for a generation is forgotten; long segments are not kept at all
+        self.young.update((s, v) for s, v in zip(segments, out, strict=True) if len(s) <= C.MEMO_BYTES)
         if len(self.young) > C.MEMO:
             self.young, self.old = {}, self.young
-        return out
+        by_a, by_b = [list(x) for x in zip(*out, strict=True)] if out else ([], [])
+        by_a += [np.array(self.a.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in whole]
+        by_b += [np.array(self.b.model.encode(t[1:], num_threads=1), "<u4").tobytes() for t in whole]
+        return by_a, by_b
 
 
 @functools.cache
@@ -144,12 +149,22 @@ def owners(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return group[new_a], group[new_b], np.stack([own_a[starts], own_b[starts]], 1)
 
 
-def split(text: str) -> list[str]:
-    """Segments of a text with a space in front; an empty text has none."""
-    if not text:
-        return []
-    t = " " + text
-    return [t] if ODD_SPACE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+def split(texts: list[str]) -> tuple[list[str], list[str], list[np.ndarray]]:
+    """Distinct segments of texts with a space in front, whole texts that can't be cut, and for each text the places of its parts
+    among both."""
+    cut = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:] if t and "\0" not in t else [] for t in (" " + t if t else t for t in texts)]
+    distinct = list(dict.fromkeys(chain.from_iterable(cut)))
+    odd = {s for s in distinct if ODD_SPACE.search(s)}
+    whole = [i for i, (t, s) in enumerate(zip(texts, cut, strict=True)) if t and (not s or odd and not odd.isdisjoint(s))]
+    if whole:
+        for i in whole:
+            cut[i] = []
+        distinct = list(dict.fromkeys(chain.from_iterable(cut)))
+    at = dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__
+    places = [np.fromiter(map(at, s), np.int64, len(s)) for s in cut]
+    for k, i in enumerate(whole, len(distinct)):
+        places[i] = np.array([k])
+    return distinct, [" " + texts[i] for i in whole], places
 
 
 def _linked(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, segment: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -192,50 +207,73 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
+def _good(texts: list[str], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, p: Pair) -> np.ndarray:
+    """Which segments both tokenizers' bytes give back; all at once where all do."""
+    given = [t.encode() for t in texts]
+    x, y = ([said[i] for i in ids.tolist()] for said, ids in ((p.a_bytes, a), (p.b_bytes, b)))
+    size = np.fromiter(map(len, given), np.int64, len(given))
+    whole = b"".join(given)
+    if (_sums(p.a_len[a], n_a) == size).all() and (_sums(p.b_len[b], n_b) == size).all() and b"".join(x) == whole == b"".join(y):
+        return np.ones(len(texts), bool)
+    i, j = ([0, *np.cumsum(n).tolist()] for n in (n_a, n_b))
+    return np.array([b"".join(x[i[k] : i[k + 1]]) == t == b"".join(y[j[k] : j[k + 1]]) for k, t in enumerate(given)], bool)
+
+
+def _said(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, segment: np.ndarray, n: int, p: Pair) -> list[bytes]:
+    """Each segment's groups in decimal: ids by commas, A from B by a bar, a semicolon after each group."""
+    a_end, b_end = np.cumsum(n_a), np.cumsum(n_b)
+    code = np.empty(len(a) + len(b), np.int64)
+    # each group has its tokens of A, then those of B
+    at_a, at_b = np.arange(len(a)) + (b_end - n_b)[group_a], np.arange(len(b)) + a_end[group_b]
+    last_a, last_b = (np.diff(g, append=-1) != 0 for g in (group_a, group_b))
+    code[at_a] = a + last_a * len(p.a_len)
+    code[at_b] = p.b_said + b + last_b * len(p.b_len)
+    whole = b"".join(p.said[code].tolist())
+    size = np.bincount(np.concatenate([segment[group_a], segment[group_b]]), weights=np.concatenate([p.said_len[code[at_a]], p.said_len[code[at_b]]]), minlength=n).astype(np.int64)
+    ends = np.cumsum(size).tolist()
+    return [whole[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
 def _chunk(ids: list, texts: list[str], p: Pair) -> pd.DataFrame:
     # any name will do, as the table is written once
     name = int.from_bytes(np.random.default_rng().bytes(8), "little", signed=True)
-    by_doc = [split(t) for t in texts]
-    distinct: dict[str, int] = {}
-    for s in by_doc:
-        for x in s:
-            distinct.setdefault(x, len(distinct))
-    n_docs, segments = len(texts), list(distinct)
-    encoded = p.segments(segments)
-    a_ids, b_ids = ([np.frombuffer(e[k], "<u4") for e in encoded] for k in (0, 1))
-    good = np.array([b"".join(map(p.a_bytes.__getitem__, a.tolist())) == (t := s.encode()) == b"".join(map(p.b_bytes.__getitem__, b.tolist())) for s, a, b in zip(segments, a_ids, b_ids, strict=True)], bool)
-    held = np.flatnonzero(good)
-    none = np.empty(0, np.uint32)
-    a, b = (np.concatenate([none, *(x[i] for i in held)]) for x in (a_ids, b_ids))
-    seg_a, seg_b = (np.zeros(len(segments), np.int64) for _ in range(2))
-    seg_a[held], seg_b[held] = [len(a_ids[i]) for i in held], [len(b_ids[i]) for i in held]
+    n_docs = len(texts)
+    segments, whole, places = split(texts)
+    by_a, by_b = p.segments(segments, whole)
+    segments += whole
+    n = len(segments)
+    seg_a, seg_b = (np.fromiter(map(len, x), np.int64, n) // 4 for x in (by_a, by_b))
+    a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (by_a, by_b))
+    good = _good(segments, a, b, seg_a, seg_b, p)
+    if not good.all():  # these have no tokens, and their documents neither
+        a, b = a[np.repeat(good, seg_a)], b[np.repeat(good, seg_b)]
+        seg_a, seg_b = seg_a * good, seg_b * good
+        places = [x if good[x].all() else x[:0] for x in places]
     group_a, group_b, _ = owners(p.a_len[a], p.b_len[b])
     n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
     n_a, n_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
     # both tokens end where a segment does, so a group is of one segment
-    segment = np.repeat(np.arange(len(segments)), seg_a)[np.cumsum(n_a) - n_a] if n_groups else np.empty(0, np.int64)
-    groups = np.bincount(segment, minlength=len(segments))
-    links = np.bincount(segment, weights=n_a * n_b, minlength=len(segments)).astype(np.int64)
-    said = _said(a, b, n_a, n_b, groups)
-    # documents as runs of segments; none where a segment's bytes differ
-    places = [np.fromiter(map(distinct.__getitem__, s), np.int64, len(s)) for s in by_doc]
-    places = [x if good[x].all() else x[:0] for x in places]
-    hashes = b"".join(hashlib.sha256(b";".join([said[i] for i in x.tolist()])).digest() if len(x) else b"\0" * 32 for x in places)
+    segment = np.repeat(np.arange(n), seg_a)[np.cumsum(n_a) - n_a] if n_groups else np.empty(0, np.int64)
+    groups = np.bincount(segment, minlength=n)
+    links = np.bincount(segment, weights=n_a * n_b, minlength=n).astype(np.int64)
+    said = _said(a, b, group_a, group_b, n_a, n_b, segment, n, p)
+    hashes = b"".join(hashlib.sha256(b"".join([said[i] for i in x.tolist()])[:-1]).digest() if len(x) else b"\0" * 32 for x in places)
+    # documents as runs of segments
     sizes, flat = np.fromiter(map(len, places), np.int64, n_docs), np.concatenate([np.empty(0, np.int64), *places])
     sums = np.stack([_sums(x[flat], sizes) for x in (seg_a, seg_b, groups, links)]) if n_docs else np.zeros((4, 0), np.int64)
     # pairs of distinct segments, then of documents
     parts = list(_linked(a, b, n_a, n_b, segment))
     of, pairs, times = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in parts)]) for k in range(3))
     pairs, code = np.unique(pairs, return_inverse=True)
-    run = np.bincount(of, minlength=len(segments))
+    run = np.bincount(of, minlength=n)
     order = np.argsort(of, kind="stable")  # a segment's pairs may come in several parts
     code, times = code[order], times[order]
-    key, often = _summed(np.repeat(np.arange(n_docs), sizes) * max(1, len(segments)) + flat, np.ones(len(flat), np.int64))
-    doc, seg = np.divmod(key, max(1, len(segments)))
+    n, m = max(1, n), max(1, len(pairs))
+    key, often = _summed(np.repeat(np.arange(n_docs), sizes) * n + flat, np.ones(len(flat), np.int64))
+    doc, seg = np.divmod(key, n)
     at = _spread((np.cumsum(run) - run)[seg], run[seg])
-    n = max(1, len(pairs))
-    key, often = _summed(np.repeat(doc, run[seg]) * n + code[at], np.repeat(often, run[seg]) * times[at])
-    doc, code = np.divmod(key, n)
+    key, often = _summed(np.repeat(doc, run[seg]) * m + code[at], np.repeat(often, run[seg]) * times[at])
+    doc, code = np.divmod(key, m)
     holding = np.bincount(code, minlength=len(pairs))
     used = np.flatnonzero(holding)  # a pair of texts that have no tokens is not held
     code = np.searchsorted(used, code)
@@ -245,21 +283,6 @@ def _chunk(ids: list, texts: list[str], p: Pair) -> pd.DataFrame:
     return pd.DataFrame([row], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
 
-def _said(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, groups: np.ndarray) -> list[bytes]:
-    """Each segment's groups in decimal: ids by commas, A from B by a bar, groups by semicolons."""
-    a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    one, i, j = [], 0, 0
-    for x, y in zip(n_a.tolist(), n_b.tolist(), strict=True):
-        one.append(f"{a[i]}|{b[j]}" if x == y == 1 else f"{','.join(a[i : i + x])}|{','.join(b[j : j + y])}")
-        i += x
-        j += y
-    out, at = [], 0
-    for n in groups.tolist():
-        out.append(";".join(one[at : at + n]).encode())
-        at += n
-    return out
-
-
 def _chunks(batches, setting) -> Iterator[pd.DataFrame]:
     p, ids, texts, size = pair(*setting), [], [], 0
     for b in batches:
@@ -327,10 +350,11 @@ def align(df: DataFrame, text: str = "text", to: str = "alignment", a: str | Non
     def one(t: str | None, p: Pair) -> tuple | None:
         if t is None:
             return None
-        segments = split(t)
-        x, y = (np.frombuffer(b"".join(e), "<u4") for e in zip(*p.segments(segments), strict=True)) if segments else (np.empty(0, np.uint32),) * 2
-        whole = " ".encode() + t.encode() if t else b""
-        if any(b"".join(map(k.__getitem__, i.tolist())) != whole for k, i in ((p.a_bytes, x), (p.b_bytes, y))):
+        segments, whole, (places,) = split([t])
+        by_a, by_b = p.segments(segments, whole)
+        x, y = (np.frombuffer(b"".join([of[i] for i in places.tolist()]), "<u4") for of in (by_a, by_b))
+        given = " ".encode() + t.encode() if t else b""
+        if any(b"".join(map(k.__getitem__, i.tolist())) != given for k, i in ((p.a_bytes, x), (p.b_bytes, y))):
             x = y = x[:0]
         ga, gb, over = owners(p.a_len[x], p.b_len[y])
         return x.astype(np.int32), y.astype(np.int32), ga.astype(np.int32), gb.astype(np.int32), over[:, 0].astype(np.int32), over[:, 1].astype(np.int32)
