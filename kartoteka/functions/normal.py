@@ -1,10 +1,7 @@
-"""Normalisation of extracted text as column expressions; Unicode composition alone is an Arrow function."""
+"""Normalisation of extracted text as column expressions, without Python."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,13 +16,17 @@ GAP_LABELS = ("ИНН", "КПП", "ОГРН", "БИК", "расчётн", "ко
 CLASSIFIERS = ("ОКПО", "ОКТМО", "ОКВЭД", "ОКАТО", "ОКОПФ", "ОКФС", "КБК")
 
 
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+#: Characters that composition leaves as they are, whatever stands beside them; most texts have no others.
+STABLE = r"\x00-\x7f\u0400-\u0482\u048a-\u052f\u2013\u2014\u2018-\u201e\u00ab\u00bb"
 
 
 def composed(text: Column) -> Column:
-    """Unicode compatibility composition (NFKC)."""
-    return F.pandas_udf(_composed, "string")(text)
+    """Unicode compatibility composition (NFKC), by the Unicode tables of the library that Spark has its collations from.
+
+    Only texts with a character beyond STABLE are given to it.
+    """
+    whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(f"[^{STABLE}]"), whole).otherwise(text)
 
 
 def spaced(text: Column) -> Column:
@@ -59,11 +60,18 @@ def normalized(text: Column, max_chars: int = 12_000, compose: bool = True) -> C
     return F.left(unblanked(rejoined(collapsed(uncontrolled(spaced(t))))), F.lit(max_chars))
 
 
+#: What ends a line of recognised text.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def without_digit_gaps(text: Column) -> Column:
-    """On lines with one of GAP_LABELS, a single space between two digits is removed; tabs and longer gaps stay."""
+    """On lines with one of GAP_LABELS, a single space between two digits is removed; tabs and longer gaps stay.
+
+    Lines end at any of Unicode's line ends and are joined by \\n; an end behind the last line goes.
+    """
     label = "(?iu)" + "|".join(GAP_LABELS)
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(label), F.regexp_replace(x, r"(?U)(?<=\d) (?=\d)", "")).otherwise(x))
-    return F.array_join(lines, "\n")
+    lines = F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END)
+    return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(label), F.regexp_replace(x, r"(?U)(?<=\d) (?=\d)", "")).otherwise(x)), "\n")
 
 
 def split_classifiers(text: Column) -> Column:

@@ -247,7 +247,11 @@ def q_normalize_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2("t", 256).alias("nfkc_sha256"))
 
 
-@query(f"""select id, array_to_string(list_transform(string_split(regexp_replace(text, '([^\\n])(ОКПО|ОКТМО|ОКВЭД|ОКАТО|ОКОПФ|ОКФС|КБК)', '\\1' || chr(10) || '\\2', 'g'), chr(10)),
+_OCR_LINES = r"""regexp_replace(regexp_replace(regexp_replace(text, '([^\n])(ОКПО|ОКТМО|ОКВЭД|ОКАТО|ОКОПФ|ОКФС|КБК)', '\1' || chr(10) || '\2', 'g'),
+  '\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', '')"""
+
+
+@query(f"""select id, array_to_string(list_transform(string_split({_OCR_LINES}, chr(10)),
   lambda x: case when regexp_matches(x, '(?i)инн|кпп|огрн|бик|расчётн|корр|счёт|счет|р/с|к/с') then regexp_replace(regexp_replace(x, '([0-9]) ([0-9])', '\\1\\2', 'g'), '([0-9]) ([0-9])', '\\1\\2', 'g') else x end), chr(10)) as cleaned
   from ({_NOISY})""")
 def q_ocr_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:

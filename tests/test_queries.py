@@ -22,5 +22,5 @@ def test_has_rows(spark, name):
 
 
 def test_no_shuffle_and_no_python(spark):
-    plan = with_details(cards.cards(spark, SF), compose=False)._jdf.queryExecution().executedPlan().toString()
+    plan = with_details(cards.cards(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan

@@ -1,5 +1,9 @@
 """Single values, worked examples, merging rules and record validation."""
 
+import re
+import unicodedata
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +112,27 @@ def test_normalisation(spark):
     assert got == ["a b\tc d", "fi1", "строка продолжение\nEще", "конец.\nдалее", "a\n\nb", "x", "a b", None]
 
 
+def test_composition_of_all_code_points(spark):
+    """Equal to Python's tables, but for characters that these don't have yet."""
+    cps = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["a" + chr(c) + "\u0301" + chr(c) for c in cps] + ["\u1100\u1161\u11a8 ﬁ①№\u00a0", "e\u0301\u0327", ""]
+    df = spark.createDataFrame(pd.DataFrame({"t": texts}))
+    got = df.select("t", normal.composed(F.col("t")).alias("n")).toPandas()
+    assert got.n.tolist() == [unicodedata.normalize("NFKC", t) for t in got.t] and len(got) == len(texts)
+    stable = [chr(c) for c in cps if re.match(f"[{normal.STABLE}]", chr(c))]
+    assert len(stable) > 400 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stable)
+    joined = "".join(a + b for a in stable for b in stable)
+    assert unicodedata.normalize("NFKC", joined) == joined
+    (none,) = spark.createDataFrame([(None,)], "t string").select(normal.composed(F.col("t"))).first()
+    assert none is None
+
+
+def test_lines_of_recognised_text(spark):
+    texts = ["ИНН 77 12\r\nКПП 1 2\x0cв 1 2\n", "a\n\n", "\n", "", "БИК 0 4\u2028р/с 4 0\x85x", "ОКПО 1ОКВЭД 2"]
+    got = [r.c for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(normal.ocr_cleaned(F.col("t")).alias("c")).collect()]
+    assert got == ["ИНН 7712\nКПП 12\nв 1 2", "a\n", "", "", "БИК 04\nр/с 40\nx", "\nОКПО 1\nОКВЭД 2"]
+
+
 def test_providers_and_prompts():
     assert answers.provider(Settings(provider="openai")) == "mock" and answers.provider(Settings(provider="openai", api_key="k")) == "openai"
     assert answers.provider(Settings(provider="other")) == "mock"
