@@ -1,16 +1,22 @@
-"""Language-model answers: prompts, a mock without a model, and clients over HTTP."""
+"""Language-model answers: prompts, a mock without a model, clients over HTTP, and what of an answer is no text.
+
+Equal prompts are asked once: prompts are deduplicated by hash and dealt over all tasks, a task has a bounded number of calls
+open at once, and answers are written before they are joined back, so that no later action asks again.
+"""
 
 from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.schema import FIELDS, Settings
+from kartoteka.schema import ALIASES, FIELDS, Settings
+from kartoteka.sources import shared
 
 _NAMES = ", ".join(FIELDS)
 #: Prompts by version; the placeholder is replaced plainly, so any braces reach the model as they stand.
@@ -66,39 +72,115 @@ def provider(settings: Settings) -> str:
     return name if name in ("openai", "ollama") else "mock"
 
 
-def with_answer(df: DataFrame, settings: Settings, text: str = "text", client: Callable[[Settings], Callable[[str], str]] | None = None) -> DataFrame:
-    """Adds answer_raw, answer (a map) and answer_error to each row.
+# The names by which a failed call and an answer that is no JSON are reported, by provider.
+CALLED = {"openai": "OpenAI", "ollama": "Ollama"}
+PARSED = {"openai": "LLM", "ollama": "Ollama"}
+#: What a service may return: its text, that text as plain JSON, and what went wrong.
+ASKED = "answer_raw string, answer_json string, answer_error string"
+
+Client = Callable[[Settings], Callable[[str], str]]
+
+
+def _one(ask: Callable[[str], str], name: str, prompt: str) -> tuple[str | None, str | None, str | None]:
+    try:
+        raw = ask(prompt) or ""
+    except Exception as e:  # the service's failure belongs to the row
+        return None, None, f"{CALLED.get(name, name)} call failed: {e}"
+    try:
+        return raw, json.dumps(json.loads(raw), ensure_ascii=False), None
+    except ValueError as e:
+        return raw, None, f"Cannot parse {PARSED.get(name, 'LLM')} JSON: {e}"
+
+
+def _asked(prompts: pd.Series, ask: Callable[[str], str], name: str, pool: ThreadPoolExecutor) -> pd.DataFrame:
+    """Answers to a batch's distinct prompts, several at once."""
+    distinct = list(dict.fromkeys(prompts))
+    found = dict(zip(distinct, pool.map(lambda p: _one(ask, name, p), distinct), strict=True))
+    return pd.DataFrame([found[p] for p in prompts], columns=[x.split()[0] for x in ASKED.split(", ")])
+
+
+def _table(prompts: DataFrame, make: Client, settings: Settings, name: str) -> DataFrame:
+    """Answers by key of distinct prompts, written."""
+    spark = prompts.sparkSession
+    # prompts are few bytes and long to answer: as many tasks as the session shuffles to, whatever their size
+    dealt = prompts.dropDuplicates(["_key"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def asked(batches):
+        ask = make(settings)
+        with ThreadPoolExecutor(settings.calls_at_once) as pool:
+            for b in batches:
+                yield pd.concat([b[["_key"]], _asked(b["_prompt"], ask, name, pool)], axis=1)
+
+    path = shared.own_path(spark, "answers")
+    dealt.mapInPandas(asked, f"_key string, {ASKED}").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def with_answer(df: DataFrame, settings: Settings, text: str = "text", client: Client | None = None) -> DataFrame:
+    """Adds answer_raw, answer (a map of strings), answer_kinds (of those values that are no strings) and answer_error to each row.
 
-    The mock needs no Python. Else each task makes one client and asks once a row; a failed call or an answer that is no JSON
-    object is an error text of that row, and its answer is null.
+    The mock needs no Python. Else the rows' distinct prompts are asked now, each once, and the rows are read again to be joined
+    with the answers: rows best are a table. Tasks make one client each, which their calls share. A stream asks batch by batch.
+    A failed call, or an answer that is no JSON object, is an error text of its rows, whose answer is null.
     """
     name = provider(settings) if client is None else settings.provider
+    none = F.lit(None).cast("map<string,string>")
     if name == "mock":
-        return df.withColumns({"answer_raw": F.lit("{}"), "answer": mock_answer(), "answer_error": F.lit(None).cast("string")})
+        return df.withColumns({"answer_raw": F.lit("{}"), "answer": mock_answer(), "answer_kinds": none, "answer_error": F.lit(None).cast("string")})
     make = client or {"openai": chat_client, "ollama": generate_client}[name]
-
-    def asked(batches):
-        ask = make(settings)
-        for prompts in batches:
-            raw, values, errors = [], [], []
-            for p in prompts:
-                try:
-                    raw.append(ask(p))
-                except Exception as e:  # the service's failure belongs to the row
-                    raw.append(None)
-                    values.append(None)
-                    errors.append(f"{name} call failed: {e}")
-                    continue
-                try:
-                    values.append({k: None if v is None else str(v) for k, v in json.loads(raw[-1]).items()})
-                    errors.append(None)
-                except (ValueError, AttributeError) as e:
-                    values.append(None)
-                    errors.append(f"Cannot parse {name} JSON: {e}")
-            yield pd.DataFrame({"answer_raw": raw, "answer": values, "answer_error": errors})
-
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return asked(batches)
-
-    udf = F.pandas_udf(typed, "answer_raw string, answer map<string,string>, answer_error string")
-    return df.withColumn("_a", udf(prompt(F.col(text), settings.prompt_version))).select("*", "_a.*").drop("_a")
+    said = prompt(F.coalesce(F.col(text), F.lit("")), settings.prompt_version)
+    if df.isStreaming:
+
+        def answered(batches):
+            ask = make(settings)
+            with ThreadPoolExecutor(settings.calls_at_once) as pool:
+                for b in batches:
+                    yield _asked(b, ask, name, pool)
+
+        out = df.withColumn("_a", F.pandas_udf(answered, ASKED, F.PandasUDFType.SCALAR_ITER)(said)).select("*", "_a.*").drop("_a")
+    else:
+        keyed = df.withColumn("_key", F.sha2(said, 256))
+        out = keyed.join(_table(keyed.select("_key", said.alias("_prompt")), make, settings, name), "_key", "left").drop("_key")
+    t = typed(F.col("answer_json"))
+    out = out.withColumn("_t", t).withColumns({"answer": F.col("_t.answer"), "answer_kinds": F.col("_t.kinds"), "answer_error": F.coalesce("answer_error", F.col("_t.error"))})
+    return out.drop("_t", "answer_json")
+
+
+def _kind(value: Column) -> Column:
+    """What a JSON value other than a string or null is; null for those."""
+    schema = F.schema_of_variant(value)
+    return (
+        F.when(schema.startswith("OBJECT"), F.lit("dict")).when(schema.startswith("ARRAY"), F.lit("list")).when(schema == "BOOLEAN", F.lit("bool"))
+        .when((schema == "BIGINT") | schema.endswith(",0)"), F.lit("int")).when(schema.startswith("DECIMAL") | (schema == "DOUBLE") | (schema == "FLOAT"), F.lit("float"))
+    )
+
+
+def typed(raw: Column) -> Column:
+    """A JSON text as a struct: answer, a map of the fields that it has, as strings; kinds, what those are that are no strings;
+    error, for a JSON value that is no object. A null, or what is no JSON, gives nulls. Keys that are no fields are left out.
+    """
+    v = F.try_parse_json(raw)
+    values = {f: F.try_variant_get(v, f"$.{f}", "variant") for f in FIELDS}
+    names = F.array(*map(F.lit, FIELDS))
+    texts = F.map_from_arrays(names, F.array(*[F.try_variant_get(v, f"$.{f}", "string") for f in FIELDS]))
+    kinds = F.map_from_arrays(names, F.array(*[_kind(values[f]) for f in FIELDS]))
+    there = F.map_from_arrays(names, F.array(*[values[f].isNotNull() for f in FIELDS]))
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    whole = F.coalesce(_kind(v), F.when(F.is_variant_null(v), F.lit("NoneType")).otherwise(F.lit("str")))
+    no_object = F.concat(F.lit("1 validation error for LLMExtractionResult\nparsed_data\n  Input should be a valid dictionary [type=dict_type, input_value="), raw, F.lit(", input_type="), whole, F.lit("]"))
+    return F.struct(
+        F.when(is_object, F.map_filter(texts, lambda k, x: there[k])).alias("answer"),
+        F.when(is_object, F.map_filter(kinds, lambda k, x: x.isNotNull())).alias("kinds"),
+        F.when(v.isNotNull() & ~is_object, no_object).alias("error"),
+    )
+
+
+def record_error(answer: Column, kinds: Column, sources: Column) -> Column:
+    """Why an answer's values can't be a record's, for fields whose value is the model's and no string; null if all can."""
+    said = [
+        F.when((sources[f] == "llm") & kinds[f].isNotNull(), F.concat(F.lit(f"{a}\n  Input should be a valid string [type=string_type, input_value="), answer[f], F.lit(", input_type="), kinds[f], F.lit("]")))
+        for f, a in ALIASES.items()
+    ]
+    wrong = F.filter(F.array(*said), lambda x: x.isNotNull())
+    head = F.concat(F.size(wrong).cast("string"), F.when(F.size(wrong) > 1, F.lit(" validation errors")).otherwise(F.lit(" validation error")), F.lit(" for RequisitesData\n"))
+    return F.when(F.size(wrong) > 0, F.concat(head, F.array_join(wrong, "\n")))

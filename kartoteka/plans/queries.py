@@ -212,8 +212,30 @@ _RAW = """select id, '{"inn": ' || coalesce('"' || inn || '"', 'null') || ', "ex
 @query(f"select id, case when id % 20 <> 0 then json_extract_string(raw, '$.inn') end as inn, case when id % 20 <> 0 then 2::bigint end as n_keys from ({_RAW.replace('{ids}', _IDS)})")
 def q_llm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = K.read(spark, sf_dir, _RAW.replace("{ids}", K.IDS).replace('{"inn"', '{{"inn"').replace("'}'", "'}}'"))
-    known = merge.known_fields(merge.parsed_answer(F.col("raw")))
-    return rows.select("id", known["inn"].alias("inn"), F.when(known.isNotNull() & (F.col("id") % 20 != 0), F.size(known).cast("bigint")).alias("n_keys"))
+    known = rows.withColumn("t", answers.typed(F.col("raw"))).select("id", F.col("t.answer").alias("known"))
+    return known.select("id", F.col("known")["inn"].alias("inn"), F.when(F.col("known").isNotNull(), F.size("known").cast("bigint")).alias("n_keys"))
+
+
+# Values of all kinds of JSON, an answer that is a list, one that is broken.
+_ANSWERS = """select id, case id % 8 when 0 then '[' || cast(id as string) || ']' when 1 then '{"inn": ' || cast(id as string) || ', "kpp": null' else '{"inn": ' || case id % 8 when 2 then cast(id as string)
+  when 3 then 'true' when 4 then '["a","' || cast(id as string) || '"]' when 5 then '{"x":' || cast(id as string) || '}' when 6 then cast(id as string) || '.5' else '"' || cast(id as string) || '"' end
+  || ', "other": [1], "bik": ' || case when id % 3 = 0 then '40702810000000012345' else '"04"' end || '}' end as raw from ({ids}) x"""
+_WHY = "  Input should be a valid {} [type={}_type, input_value="
+
+
+@query(f"""with a as ({_ANSWERS.replace('{ids}', _IDS)}), v as (select *, case when json_valid(raw) then raw end as json from a),
+  k as (select id, raw, json, json_type(json) as whole, list_transform(['inn', 'bik'], lambda f: case json_type(json, '$.' || f) when 'UBIGINT' then 'int' when 'HUGEINT' then 'int' when 'DOUBLE' then case when contains(json_extract_string(json, '$.' || f), '.') then 'float' else 'int' end when 'BOOLEAN' then 'bool' when 'ARRAY' then 'list' when 'OBJECT' then 'dict' end) as kinds from v),
+  e as (select *, list_filter([case when kinds[1] is not null then 'INN' || chr(10) || '{_WHY.format('string', 'string')}' || json_extract_string(json, '$.inn') || ', input_type=' || kinds[1] || ']' end,
+    case when kinds[2] is not null then 'BIK' || chr(10) || '{_WHY.format('string', 'string')}40702810000000012345, input_type=' || kinds[2] || ']' end], lambda x: x is not null) as wrong from k)
+  select id, case when whole = 'OBJECT' then json_extract_string(json, '$.inn') end as inn, case when whole = 'OBJECT' then kinds[1] end as inn_kind,
+    case when whole = 'ARRAY' then '1 validation error for LLMExtractionResult' || chr(10) || 'parsed_data' || chr(10) || '{_WHY.format('dictionary', 'dict')}' || raw || ', input_type=list]' end as answer_error,
+    case when whole = 'OBJECT' and len(wrong) > 0 then len(wrong) || case when len(wrong) > 1 then ' validation errors' else ' validation error' end || ' for RequisitesData' || chr(10) || array_to_string(wrong, chr(10)) end as record_error from e""")
+def q_answer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of an answer is no text, for answers whose values no pattern replaces."""
+    sql = _ANSWERS.replace("{", "{{").replace("}", "}}").replace("{{ids}}", K.IDS)
+    t = K.read(spark, sf_dir, sql).withColumn("t", answers.typed(F.col("raw"))).select("id", "t.*")
+    by_model = F.transform_values("answer", lambda k, v: F.lit("llm"))
+    return t.select("id", F.col("answer")["inn"].alias("inn"), F.col("kinds")["inn"].alias("inn_kind"), F.col("error").alias("answer_error"), answers.record_error(F.col("answer"), F.col("kinds"), by_model).alias("record_error"))
 
 
 @query(f"select doc_id, sha256('{answers.PROMPTS['v1'].split('{')[0]}' || coalesce(text, '')) as prompt_sha256 from documents")

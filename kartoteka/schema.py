@@ -44,7 +44,6 @@ WEB_EXTENSIONS = ("pdf", "docx", "jpg", "jpeg", "png", "tiff")
 
 CHECK = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])
 DETAILS = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
-ANSWER = T.MapType(T.StringType(), T.StringType())
 
 
 @dataclass(frozen=True)
@@ -61,6 +60,7 @@ class Settings:
     temperature: float = 0.0
     max_tokens: int = 1024
     timeout_s: int = 120
+    calls_at_once: int = 4
     prompt_version: str = "v1"
     ocr_cleanup: bool = False
     extensions: tuple[str, ...] = field(default=("pdf", "docx"))

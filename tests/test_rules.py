@@ -95,7 +95,71 @@ def test_record_with_a_model(spark):
     assert r[1].details.inn is None and r[1].details.company_name == "ООО Б" and r[1].details.ceo_fio == ""
     assert "ИНН: значение '1234567890' отклонено — invalid checksum (10-digit INN)" in r[1].review_reasons and r[1].errors[0] == "invalid checksum (10-digit INN)"
     assert r[1].fill_rate == 0.19 and r[1].extracted_by == {"inn": "llm", "short_name": "llm"}
-    assert "no service" in r[2].answer_error and "Cannot parse" in r[3].answer_error
+    assert r[2].answer_error == "test call failed: no service" and r[3].answer_error == "Cannot parse LLM JSON: Expecting value: line 1 column 1 (char 0)"
+    assert r[2].status == r[3].status == "error"
+
+
+@pytest.mark.parametrize("provider,called,parsed", [("openai", "OpenAI call failed: no", "Cannot parse LLM JSON: Expecting value: line 1 column 1 (char 0)"), ("ollama", "Ollama call failed: no", "Cannot parse Ollama JSON: Expecting value: line 1 column 1 (char 0)")])
+def test_messages_of_providers(provider, called, parsed):
+    def ask(prompt):
+        if prompt == "a":
+            raise OSError("no")
+        return None if prompt == "b" else "{}"
+
+    assert [answers._one(ask, provider, p) for p in "abc"] == [(None, None, called), ("", None, parsed), ("{}", "{}", None)]
+
+
+def test_values_that_are_no_text(spark):
+    """A number that no pattern replaces ends the row; one that is replaced doesn't; nothing is written as Python writes it."""
+
+    def client(settings):
+        return lambda prompt: prompt.rsplit("\n", 1)[1]
+
+    said = ['{"inn": 7744012347}', '{"bank_name": ["a", true], "kpp": {"x": null}}', '{"inn": 12, "email": false}', "[1, 2]", "null", '"text"', '{"inn": null, "inn": "77", "phone": 1.5}', '{"bik": 40702810000000012345}']
+    rows = [(k, ("Исполнитель ИНН 500100732259\n" if k == 2 else "") + "\n" + t) for k, t in enumerate(said)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    got = {r.k: r for r in with_details(df, Settings(provider="test"), client=client).collect()}
+    one = lambda alias, value, kind: f"{alias}\n  Input should be a valid string [type=string_type, input_value={value}, input_type={kind}]"
+    head = "1 validation error for RequisitesData\n"
+    assert got[0].answer_error == head + one("INN", "7744012347", "int") and got[0].answer["inn"] == "7744012347"
+    assert got[1].answer_error == "2 validation errors for RequisitesData\n" + one("KPP", '{"x":null}', "dict") + "\n" + one("BANK_NAME", '["a",true]', "list")
+    assert got[2].extracted_by["inn"] == "regex" and got[2].answer_error == head + one("E-MAIL", "false", "bool")
+    dictionary = "1 validation error for LLMExtractionResult\nparsed_data\n  Input should be a valid dictionary [type=dict_type, input_value="
+    assert [got[k].answer_error for k in (3, 4, 5)] == [dictionary + x for x in ("[1, 2], input_type=list]", "null, input_type=NoneType]", '"text", input_type=str]')]
+    assert got[6].answer_error == head + one("TEL", "1.5", "float") and got[6].details.inn is None  # the last of two keys counts, and is no INN
+    assert got[7].answer_error == head + one("BIK", "40702810000000012345", "int")
+    assert {r.status for r in got.values()} == {"exception"}
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    """Calls are counted in files: one for each distinct prompt whatever the rows and actions, a few at once in a task."""
+    log = str(tmp_path)
+
+    def client(settings):
+        def ask(prompt):
+            import os
+            import time
+            import uuid
+
+            began = time.time()
+            time.sleep(0.05)
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{os.getpid()} {began} {time.time()} {prompt[-9:]}")
+            return '{"short_name": "ООО %s"}' % prompt[-1]
+
+        return ask
+
+    df = spark.range(300).selectExpr("id", "concat('документ ', id % 40) as text").repartition(5)
+    settings = Settings(provider="test", calls_at_once=3)
+    out = answers.with_answer(df, settings, "text", client)
+    assert out.count() == 300 and {(r.id % 10, r.answer["short_name"]) for r in out.collect()} == {(k, f"ООО {k}") for k in range(10)}
+    calls = [f.read_text().split(" ", 3) for f in tmp_path.iterdir()]
+    assert len(calls) == len({c[3] for c in calls}) == 40
+    most = 0
+    for pid in {c[0] for c in calls}:
+        own = [(float(a), float(b)) for p, a, b, _ in calls if p == pid]
+        most = max(most, *(sum(a <= t < b for a, b in own) for t, _ in own))
+    assert 2 <= most <= 3
 
 
 def test_cross_check_and_truncation(spark):
