@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +15,38 @@ FOLD = "(?diuU)"
 EXACT = "(?dU)"
 
 
+def built_once(make: Callable) -> Callable:
+    """Columns over names are the same for any table: a long expression is sent to the JVM once for the same arguments."""
+    kept: dict = {}
+
+    @functools.wraps(make)
+    def of(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return of
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """The value, as an expression that the optimizer doesn't copy to each place where the column is used."""
+    return let(value, lambda x: x)
+
+
+def filled(text: Column) -> Column:
+    """The text, or null if it is empty."""
+    return let(text, lambda x: F.when(x != "", x))
+
+
 def first(text: Column, pattern: str, group: int = 0, flags: str = FOLD) -> Column:
     """The leftmost match's group; null where nothing, or the empty string, matches."""
-    return F.nullif(F.regexp_extract(text, flags + pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, flags + pattern, group))
 
 
 def every(text: Column, pattern: str, group: int = 0, flags: str = FOLD) -> Column:
@@ -41,7 +74,7 @@ def cleaned(text: Column) -> Column:
 
 def digits(text: Column) -> Column:
     """The digits alone; null if there are none."""
-    return F.nullif(F.regexp_replace(text, r"(?U)\D", ""), F.lit(""))
+    return filled(F.regexp_replace(text, r"(?U)\D", ""))
 
 
 def blank(text: Column) -> Column:

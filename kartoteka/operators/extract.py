@@ -59,14 +59,6 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), rx.cleaned), lambda x: x != "")
 
 
-def label_of(line: Column) -> Column:
-    """The number of the first label that begins the line: inline ones first, then those with a tail; null for none."""
-    out = None
-    for k, (label, *_) in enumerate((*INLINE, *TAILED)):
-        out = (F if out is None else out).when(F.lower(line).startswith(label), k)
-    return out
-
-
 def phones(text: Column) -> Column:
     """Distinct Russian numbers in order of appearance, as an array of +7 and ten digits."""
 
@@ -79,7 +71,7 @@ def phones(text: Column) -> Column:
 
 
 def joined_phones(text: Column) -> Column:
-    return F.nullif(F.array_join(phones(text), ", "), F.lit(""))
+    return rx.filled(F.array_join(phones(text), ", "))
 
 
 #: The same addresses in linear time: a run of the local part's characters is tried at its start alone, and never given back.
@@ -94,70 +86,102 @@ def email(text: Column) -> Column:
 
 def short_person(full: Column) -> Column:
     """Surname and initials of a name of two or more words; null for fewer."""
-    w = F.split(rx.cleaned(full), " ")
-    initial = lambda k: F.concat(F.left(F.get(w, F.lit(k)), F.lit(1)), F.lit("."))
-    return F.when(F.size(w) >= 3, F.concat(F.get(w, F.lit(0)), F.lit(" "), initial(1), initial(2))).when(F.size(w) == 2, F.concat(F.get(w, F.lit(0)), F.lit(" "), initial(1)))
+
+
+    def short(w: Column) -> Column:
+        initial = lambda k: F.concat(F.left(F.get(w, F.lit(k)), F.lit(1)), F.lit("."))
+        return F.when(F.size(w) >= 3, F.concat(F.get(w, F.lit(0)), F.lit(" "), initial(1), initial(2))).when(F.size(w) == 2, F.concat(F.get(w, F.lit(0)), F.lit(" "), initial(1)))
+
+    return rx.let(F.split(rx.cleaned(full), " "), short)
 
 
 def ordered_person(full: Column) -> Column:
     """A name of three words whose second is the first to end as a patronymic, with its surname put in front."""
-    w = F.split(rx.cleaned(full), " ")
-    part = lambda k: F.get(w, F.lit(k))
-    turn = (F.size(w) == 3) & ~part(0).rlike(PATRONYMICS) & part(1).rlike(PATRONYMICS)
-    return F.when(turn, F.concat_ws(" ", part(2), part(0), part(1))).when(F.size(w) == 3, F.array_join(w, " ")).otherwise(full)
 
 
-def card(lines: Column, labels: Column) -> dict[str, Column]:
-    """Fields of labelled lines; of several lines with one label's field the last counts."""
+    def ordered(w: Column) -> Column:
+        part = lambda k: F.get(w, F.lit(k))
+        turn = (F.size(w) == 3) & ~part(0).rlike(PATRONYMICS) & part(1).rlike(PATRONYMICS)
+        return F.when(turn, F.concat_ws(" ", part(2), part(0), part(1))).when(F.size(w) == 3, F.array_join(w, " ")).otherwise(full)
 
-    def inline(own: list[int], pattern: str) -> Column:
-        return rx.last_of(F.zip_with(lines, labels, lambda line, k: F.when(k.isin(own), rx.trimmed(rx.first(line, pattern)))))
+    return rx.let(F.split(rx.cleaned(full), " "), ordered)
 
-    def tailed(own: int, label: str) -> Column:
-        def value(line: Column, i: Column) -> Column:
-            tail = F.btrim(F.substr(line, F.lit(len(label) + 1)), F.lit(" :;-—"))
-            return F.when(F.get(labels, i) == own, F.coalesce(F.nullif(tail, F.lit("")), F.get(lines, i + 1)))
 
-        return rx.last_of(F.transform(lines, value))
+#: Fields of labelled lines, and what lines without a label may have.
+CARD = tuple(dict.fromkeys([f for _, f, *_ in INLINE] + [f for _, f in TAILED]))
+LOOSE = ("inn", "kpp", "ogrn")
+#: Labels by their fields' places in CARD, in the order in which they are tried.
+_LABELS = [(label, CARD.index(f)) for label, f, *_ in (*INLINE, *TAILED)]
 
-    out: dict[str, Column] = {}
-    for f in dict.fromkeys(x for _, x, _ in INLINE):
-        own = [k for k, (_, x, _) in enumerate(INLINE) if x == f]
-        out[f] = inline(own, INLINE[own[0]][2])
-    for k, (label, f) in enumerate(TAILED, len(INLINE)):
-        out[f] = tailed(k, label)
-    out["phone"] = joined_phones(out["phone"])
-    out["email"] = email(out["email"])
-    person = rx.trimmed(rx.replaced(out["ceo_fio_full"], CHARTER))
-    out["ceo_fio_full"] = person
-    out["ceo_position"] = F.when(person.isNotNull(), F.lit("Директор"))
-    out["ceo_fio"] = short_person(person)
-    return out
+
+def _labelled(line: Column, low: Column) -> tuple[Column, Column]:
+    """Of a line: its label's field as a place in CARD, and the value that stands in the line; nulls without a label.
+
+    Labels are prefixes, the first that fits counts. A line is matched against its own label's pattern alone.
+    """
+    field = value = None
+    own = {f: p for _, f, p in INLINE}
+    for label, place in _LABELS:
+        hit, f = low.startswith(label), CARD[place]
+        if f in own:  # of labels with one field the first one's pattern
+            found = rx.trimmed(rx.first(line, next(p for _, g, p in INLINE if g == f)))
+        else:
+            found = rx.filled(F.btrim(F.substr(line, F.lit(len(label) + 1)), F.lit(" :;-—")))
+        field = (F if field is None else field).when(hit, place)
+        value = (F if value is None else value).when(hit, found)
+    return field, value
 
 
 def _bounded(line: Column, digits: str) -> Column:
     return rx.first(line, rf"\b(?:{digits})\b")
 
 
-def inn_by_line(lines: Column) -> Column:
-    """For each line with the label, its first 12- or 10-digit word."""
-    return F.transform(lines, lambda x: F.when(F.lower(x).contains("инн"), _bounded(x, r"\d{12}|\d{10}")))
+def of_lines(lines: Column) -> Column:
+    """One pass over cleaned lines: a struct of CARD's fields, and of LOOSE's as `free_...`.
+
+    Of several lines with one label's field the last counts; a tailed label whose line ends with it has its value in the next
+    line. Free identifiers are the first 12- or 10-digit word of a line that names an INN, and so on; a KPP must not begin the INN that
+    is known up to its line.
+    """
+    places, tailed = range(len(CARD)), [CARD.index(f) for _, f in TAILED]
+    none = F.lit(None)
+    start = F.struct(*[none.cast("string").alias(f) for f in CARD], *[none.cast("string").alias(f"free_{f}") for f in LOOSE], none.cast("int").alias("waits"))
+
+    def step(acc: Column, line: Column) -> Column:
+        def known(x: Column) -> Column:
+            low, inn = x["low"], x["inn"]
+            c = F.when(low.contains("кпп"), _bounded(line, r"\d{9}"))
+            kpp = F.coalesce(acc["free_kpp"], rx.let(c, lambda c: F.when(~F.coalesce(inn.startswith(c), F.lit(False)), c)))
+            ogrn = F.coalesce(acc["free_ogrn"], F.when(low.contains("огрн"), _bounded(line, r"\d{13}")))
+
+            def told(m: Column) -> Column:
+                of = lambda k: F.when((m["field"] == k) & m["value"].isNotNull(), m["value"])
+                kept = lambda k: F.when(acc["waits"] == k, line).otherwise(acc[CARD[k]])
+                waits = F.when(m["value"].isNull() & m["field"].isin(*tailed), m["field"])
+                return F.struct(*[F.coalesce(of(k), kept(k)).alias(CARD[k]) for k in places], inn.alias("free_inn"), kpp.alias("free_kpp"), ogrn.alias("free_ogrn"), waits.alias("waits"))
 
+            field, value = _labelled(line, low)
+            return rx.let(F.struct(field.alias("field"), value.alias("value")), told)
 
-def kpp(lines: Column, inns: Column) -> Column:
-    """The first 9-digit word of a line with the label that doesn't begin the INN found up to that line."""
-    found = F.filter(F.transform(inns, lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("i"), x.alias("inn")))), lambda x: x.isNotNull())
-    inn = F.get(found, F.lit(0))
+        def named(low: Column) -> Column:
+            inn = F.coalesce(acc["free_inn"], F.when(low.contains("инн"), _bounded(line, r"\d{12}|\d{10}")))
+            return rx.let(F.struct(low.alias("low"), inn.alias("inn")), known)
 
-    def own(line: Column, i: Column) -> Column:
-        c = F.when(F.lower(line).contains("кпп"), _bounded(line, r"\d{9}"))
-        return F.when(~F.coalesce((inn["i"] <= i) & inn["inn"].startswith(c), F.lit(False)), c)
+        return rx.let(F.lower(line), named)
 
-    return rx.first_of(F.transform(lines, own))
+    return F.aggregate(lines, start, step)
 
 
-def ogrn(lines: Column) -> Column:
-    return rx.first_of(F.transform(lines, lambda x: F.when(F.lower(x).contains("огрн"), _bounded(x, r"\d{13}"))))
+def card(found: Column) -> dict[str, Column]:
+    """Fields of a card's labelled lines, from what one pass over them found."""
+    out = {f: found[f] for f in CARD}
+    out["phone"] = joined_phones(out["phone"])
+    out["email"] = email(out["email"])
+    person = rx.trimmed(rx.replaced(out["ceo_fio_full"], CHARTER))
+    out["ceo_fio_full"] = person
+    out["ceo_position"] = F.when(found["ceo_fio_full"].isNotNull(), F.lit("Директор"))
+    out["ceo_fio"] = short_person(person)
+    return out
 
 
 def digit_windows(text: Column, size: int) -> Column:
@@ -167,76 +191,101 @@ def digit_windows(text: Column, size: int) -> Column:
 
 def labelled_number(text: Column, pattern: str, size: int, prefix: str) -> Column:
     """The digits after the label, cut to size, if they begin with the prefix; else the text's first window that does."""
-    d = F.left(rx.digits(rx.first(text, pattern, 1)), F.lit(size))
-    window = F.get(F.filter(digit_windows(text, size), lambda x: x.startswith(prefix)), F.lit(0))
-    return F.coalesce(F.when((F.length(d) == size) & d.startswith(prefix), d), window)
+    labelled = rx.let(F.left(rx.digits(rx.first(text, pattern, 1)), F.lit(size)), lambda d: F.when((F.length(d) == size) & d.startswith(prefix), d))
+    return F.coalesce(labelled, F.get(F.filter(digit_windows(text, size), lambda x: x.startswith(prefix)), F.lit(0)))
 
 
 def bank_name(text: Column, lines: Column) -> Column:
     """The first line about a bank that is no BIK or account, else what follows the word up to the next label."""
 
     def plain(x: Column) -> Column:
-        low = F.lower(x)
+        return rx.let(F.lower(x), lambda low: about(low, x))
+
+    def about(low: Column, x: Column) -> Column:
         return low.contains("банк") & ~low.contains("бик") & ~low.contains("счет") & ~low.contains("счёт") & (F.length(x) >= 5)
 
     after = F.get(F.split(rx.cleaned(rx.first(text, BANK, 1)), rx.FOLD + BANK_END, 2), F.lit(0))
-    return F.coalesce(F.get(F.filter(lines, plain), F.lit(0)), F.nullif(F.btrim(after, F.lit(" ,;:")), F.lit("")))
+    return F.coalesce(F.get(F.filter(lines, plain), F.lit(0)), rx.filled(F.btrim(after, F.lit(" ,;:"))))
 
 
 def postal_address(text: Column, lines: Column) -> Column:
     label, office = "почтовый адрес", "отделение почтовой связи"
-    hit = F.get(F.filter(lines, lambda x: F.lower(x).contains(label) | F.lower(x).contains(office)), F.lit(0))
-    rest = F.btrim(rx.replaced(hit, r"^.*почтовый\s+адрес[:\s]*"), F.lit(" ,;:"))
-    free = F.nullif(rx.cleaned(rx.first(text, POSTAL, 1)), F.lit(""))
-    return F.when(F.lower(hit).contains(label), F.nullif(rest, F.lit(""))).when(hit.isNotNull(), hit).otherwise(free)
+    hit = F.get(F.filter(lines, lambda x: rx.let(F.lower(x), lambda low: low.contains(label) | low.contains(office))), F.lit(0))
+    free = rx.filled(rx.cleaned(rx.first(text, POSTAL, 1)))
+
+    def named(hit: Column) -> Column:
+        rest = F.btrim(rx.replaced(hit, r"^.*почтовый\s+адрес[:\s]*"), F.lit(" ,;:"))
+        return F.when(F.lower(hit).contains(label), rx.filled(rest)).when(hit.isNotNull(), hit).otherwise(free)
+
+    return rx.let(hit, named)
 
 
 def _at_least(value: Column, n: int) -> Column:
-    return F.when(F.length(value) >= n, value)
+    return rx.let(value, lambda x: F.when(F.length(x) >= n, x))
 
 
-def head(text: Column) -> dict[str, Column]:
-    """Position, full and short name: of a table row, else of three words after a title, else of a signature."""
-    row, full, signed = (rx.first(text, p, 2) for p in (CEO_ROW, CEO_FULL, CEO_SIGNED))
-    ordered = ordered_person(rx.trimmed(row))
+_HEAD = ("ceo_position", "ceo_fio_full", "ceo_fio")
 
-    def pick(a, b, c) -> Column:
-        return F.when(row.isNotNull(), a).when(full.isNotNull(), b).when(signed.isNotNull(), c)
 
-    return {
-        "ceo_position": pick(*(rx.trimmed(rx.first(text, p, 1)) for p in (CEO_ROW, CEO_FULL, CEO_SIGNED))),
-        "ceo_fio_full": pick(ordered, rx.trimmed(full), F.lit(None).cast("string")),
-        "ceo_fio": pick(short_person(ordered), short_person(full), rx.trimmed(signed)),
-    }
+def head(text: Column) -> Column:
+    """A struct of position, full and short name: of a table row, else of three words after a title, else of a signature.
+
+    Each pattern is looked for once, the later ones where the earlier ones fail, and its groups are taken from what it matched.
+    """
+
+    def found(pattern: str, names) -> Column:
+        group = lambda m, k: rx.first(m, pattern, k)
+
+        def made(m: Column) -> Column:
+            whole = rx.let(group(m, 2), lambda who: F.struct(rx.trimmed(group(m, 1)).alias("p"), *[x.alias(n) for x, n in zip(names(who), "fs", strict=True)]))
+            return F.when(m.isNotNull(), whole)
 
+        return rx.let(rx.first(text, pattern), made)
 
-def free(text: Column, lines: Column, inns: Column) -> dict[str, Column]:
-    """Fields by patterns anywhere in the text."""
+    row = found(CEO_ROW, lambda who: (ordered_person(rx.trimmed(who)), short_person(ordered_person(rx.trimmed(who)))))
+    full = found(CEO_FULL, lambda who: (rx.trimmed(who), short_person(who)))
+    signed = found(CEO_SIGNED, lambda who: (F.lit(None).cast("string"), rx.trimmed(who)))
+    return F.coalesce(row, full, signed)
+
+
+def free(text: Column, lines: Column, found: Column) -> dict[str, Column]:
+    """Fields by patterns anywhere in the text, but for the head's."""
     return {
         "company_name": _at_least(rx.cleaned(rx.first(text, FULL_NAME, 1)), 5),
         "short_name": _at_least(rx.cleaned(rx.first(text, SHORT_NAME, 1)), 3),
         "legal_address": rx.cleaned(rx.first(text, LEGAL, 1)),
         "postal_address": postal_address(text, lines),
-        "inn": rx.first_of(inns),
-        "kpp": kpp(lines, inns),
-        "ogrn": ogrn(lines),
+        **{f: found[f"free_{f}"] for f in LOOSE},
         "bik": labelled_number(text, BIK, 9, "04"),
         "checking_account": labelled_number(text, CHECKING, 20, "40"),
         "correspondent_account": labelled_number(text, CORRESPONDENT, 20, "30"),
         "bank_name": bank_name(text, lines),
         "email": email(text),
         "phone": joined_phones(text),
-        **head(text),
     }
 
 
+@rx.built_once
+def _stages(text: str) -> list[tuple[str, Column]]:
+    """Columns that `with_found` adds one after the other; the last is what was found."""
+    t, card_of = F.col(text), card(F.col("_card"))
+    people = F.struct(*[card_of[f].alias(f) for f in _HEAD])
+    p = F.col("_people")
+    lacks = p["ceo_position"].isNull() | F.coalesce(p["ceo_fio_full"] == "", F.lit(True)) | F.coalesce(p["ceo_fio"] == "", F.lit(True))
+    loose = free(t, F.col("_lines"), F.col("_card")) | dict(zip(_HEAD, (F.col("_head")[n] for n in ("p", "f", "s")), strict=True))
+    own = card_of | {f: p[f] for f in _HEAD}
+    fields = [(F.coalesce(rx.filled(own[f]), loose[f]) if f in own else loose[f]).alias(f) for f in FIELDS]
+    # free patterns about the head are looked for if one of its fields is missing
+    return [("_lines", rx.once(lines_of(t))), ("_card", of_lines(F.col("_lines"))), ("_people", rx.once(people)), ("_head", rx.once(F.when(lacks, head(t)))), ("", rx.once(F.struct(*fields)))]
+
+
 def with_found(df: DataFrame, text: str = "text", to: str = "found") -> DataFrame:
     """Adds a struct of the sixteen fields found in each row's text; a null text finds nothing.
 
-    Lines, labels and the lines' INNs are columns of their own, so that each is computed once.
+    Lines and what they have are columns of their own, and values are bound where they are used more than once, so that each
+    pattern stands in the plan once and runs only where what comes before it found nothing.
     """
-    t, none = F.col(text), F.lit("")
-    staged = df.withColumn("_lines", lines_of(t)).withColumn("_labels", F.transform("_lines", label_of)).withColumn("_inns", inn_by_line(F.col("_lines")))
-    a, b = card(F.col("_lines"), F.col("_labels")), free(t, F.col("_lines"), F.col("_inns"))
-    fields = [F.coalesce(F.nullif(a[f], none) if f in a else F.lit(None), b[f]).alias(f) for f in FIELDS]
-    return staged.withColumn(to, F.struct(*fields)).drop("_lines", "_labels", "_inns")
+    stages = _stages(text)
+    for name, column in stages:
+        df = df.withColumn(name or to, column)
+    return df.drop(*[name for name, _ in stages if name])

@@ -18,13 +18,18 @@ def quoted(value: Column) -> Column:
     return F.when(double, F.concat(F.lit('"'), v, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
+@rx.built_once
+def _checks(details: str) -> Column:
+    return rx.once(F.struct(*[checks.FIELD_CHECKS[f](F.col(details)[f]).alias(f) for f in CHECKED]))
+
+
 def with_validated(df: DataFrame, details: str = "details") -> DataFrame:
     """Nulls invalid identifiers in the struct and adds checks, cross_checks, errors, review_reasons and needs_review.
 
     The six checks come first, then BIK against correspondent account on what is left, then a message for each identifier
     that is empty now. Messages keep their order and are distinct.
     """
-    staged = df.withColumn("checks", F.struct(*[checks.FIELD_CHECKS[f](F.col(details)[f]).alias(f) for f in CHECKED]))
+    staged = df.withColumn("checks", _checks(details))
     bad = {f: ~F.col("checks")[f]["valid"] for f in CHECKED}
     rejected = {f: bad[f] & F.col(details)[f].isNotNull() for f in CHECKED}
     reason = {f: F.col("checks")[f]["reason"] for f in CHECKED}

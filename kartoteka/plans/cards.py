@@ -62,4 +62,6 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    """Rows of the SQL over customers. These are few bytes each and become long texts, so they are dealt over all tasks first."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.sql(sql, customer=customers)

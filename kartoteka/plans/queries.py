@@ -312,8 +312,8 @@ _CEO = """select id, case id % 4 when 0 then 'Должность: Директо
   case id % 4 when 0 then 'Петровна Иванова Елена' when 1 then 'Петров Пётр Петрович' end as full_name, case id % 4 when 0 then 'Петровна И.Е.' when 1 then 'Петров П.П.' when 2 then 'Сидоров А.Б.' end as short_name
   from ({_IDS})""")
 def q_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = extract.head(F.col("text"))
-    return K.read(spark, sf_dir, _CEO.replace("{ids}", K.IDS)).select("id", h["ceo_position"].alias("position"), h["ceo_fio_full"].alias("full_name"), h["ceo_fio"].alias("short_name"))
+    rows = K.read(spark, sf_dir, _CEO.replace("{ids}", K.IDS)).withColumn("h", extract.head(F.col("text")))
+    return rows.select("id", F.col("h.p").alias("position"), F.col("h.f").alias("full_name"), F.col("h.s").alias("short_name"))
 
 
 _FREE = """select id, 'Компания, ИНН/КПП ' || coalesce(inn, '') || '/' || coalesce(kpp, '') || chr(10) || 'р/с ' || rs || chr(10) || 'к/с: ' || ks || chr(10) || 'в банке, БИК ' || bik || chr(10) || 'Наш ОГРН ' || coalesce(ogrn, '') || '.' as text, inn, kpp, ogrn, bik, rs, ks from ({ids}) x"""
