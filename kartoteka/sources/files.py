@@ -61,12 +61,12 @@ def none_found(files: DataFrame, folder: str, settings: Settings = Settings()) -
     return f"No files with extensions {', '.join(settings.extensions)} in {folder}" if files.select("storage_path").isEmpty() else None
 
 
-def described(files: DataFrame) -> DataFrame:
+def described(files: DataFrame, *also: str) -> DataFrame:
     """Rows of path, length and content with their identity; the id is the first 8 characters of the content's hash."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     sha = F.sha2("content", 256)
     ext = routing.extension(name)
-    return files.select(F.substring(sha, 1, 8).alias("document_id"), name.alias("original_filename"), ext.alias("extension"), routing.mime(F.col("content"), ext).alias("mime_type"), F.col("length").alias("size_bytes"), F.col("path").alias("storage_path"), sha.alias("sha256"), "content")
+    return files.select(F.substring(sha, 1, 8).alias("document_id"), name.alias("original_filename"), ext.alias("extension"), routing.mime(F.col("content"), ext).alias("mime_type"), F.col("length").alias("size_bytes"), F.col("path").alias("storage_path"), sha.alias("sha256"), "content", *also)
 
 
 def _numbered(pages: list[str]) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kartoteka.plans.details import counters, with_details
 from kartoteka.schema import Settings
 from kartoteka.sources import docx as docx_files
-from kartoteka.sources import file_sink, files, sinks
+from kartoteka.sources import file_sink, files, sinks, store
 from kartoteka.streaming import drop_folder
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -307,3 +307,32 @@ def test_stream(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 4
     assert out.where(F.col("details.inn") == "7744012347").count() == 1
+
+
+def test_stream_counts_each_content_once(spark, tmp_path):
+    """The same file dropped twice counts once, in one batch and over a restart; a batch run again changes nothing."""
+    d, mark = tmp_path / "drop", str(tmp_path / "mark")
+    d.mkdir()
+    one, two = docx(["ИНН: 7744012347"]), docx(["ИНН: 500100732259"])
+    (d / "a.docx").write_bytes(one)
+    (d / "a2.docx").write_bytes(one)
+    (d / "bad.docx").write_bytes(b"no zip")
+    counts = store.create(spark, str(tmp_path / "counts"), buckets=2, key="status")
+    assert {r.status: r.n for r in drop_folder.totals(spark, counts).collect()} == {"done": 0, "needs_review": 0, "failed": 0}
+
+    def run():
+        q = drop_folder.counted(drop_folder.watched(spark, str(d), within="30 days"), counts, mark)
+        q.awaitTermination(180)
+        assert q.exception() is None
+        return {r.status: r.n for r in drop_folder.totals(spark, counts).collect()}
+
+    assert run() == {"done": 0, "needs_review": 1, "failed": 1}
+    (d / "a3.docx").write_bytes(one)
+    (d / "b.docx").write_bytes(two)
+    assert run() == {"done": 0, "needs_review": 2, "failed": 1}  # a3 is known from before the restart
+    # the last batch as after a failure between its rows and its commit
+    commits = sorted((tmp_path / "mark" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (tmp_path / "mark" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert run() == {"done": 0, "needs_review": 2, "failed": 1}
+    assert run() == {"done": 0, "needs_review": 2, "failed": 1}
