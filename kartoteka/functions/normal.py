@@ -29,6 +29,12 @@ def composed(text: Column) -> Column:
     return F.when(text.rlike(f"[^{STABLE}]"), whole).otherwise(text)
 
 
+def decomposed(text: Column) -> Column:
+    """Unicode compatibility decomposition (NFKD)."""
+    whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), whole).otherwise(text)
+
+
 def spaced(text: Column) -> Column:
     """Each run of white space other than space, tab and newline as one space."""
     return F.regexp_replace(text, _EXOTIC, " ")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kartoteka.functions import normal, rx
 from kartoteka.schema import API_EXTENSIONS, IMAGE_EXTENSIONS, Settings
 
 # Media types by extension, and the first bytes that tell a type.
@@ -58,7 +59,31 @@ def kind(ext: Column, mime: Column, has_text: Column) -> Column:
     )
 
 
-def upload_code(name: Column, size: Column, extensions: tuple[str, ...] = API_EXTENSIONS, settings: Settings = Settings()) -> Column:
-    """400 for a missing name or another extension, 413 for too large a file, null for one that may come in."""
+def upload_code(name: Column, size: Column, extensions: tuple[str, ...] = API_EXTENSIONS, largest_mb: int | None = Settings.max_upload_mb) -> Column:
+    """400 for a missing name or another extension, 413 for too large a file, null for one that may come in.
+
+    A service's form has WEB_EXTENSIONS and no bound of its own: largest_mb is None.
+    """
     bad = F.coalesce(name == "", F.lit(True)) | ~F.coalesce(extension(name).isin(*extensions), F.lit(False))
-    return F.when(bad, F.lit(400)).when(size > settings.max_upload_mb * 2**20, F.lit(413))
+    out = F.when(bad, F.lit(400))
+    return out if largest_mb is None else out.when(size > largest_mb * 2**20, F.lit(413))
+
+
+def safe_name(name: Column) -> Column:
+    """A name of ASCII letters, digits, dots, dashes and underscores that stays within a folder; accents are dropped.
+
+    Folders and white space become underscores, and dots and underscores at the ends go, so nothing may be left.
+    """
+    plain = F.regexp_replace(normal.decomposed(name), r"[^\x00-\x7f]", "")
+    joined = F.array_join(F.filter(F.split(F.regexp_replace(plain, "/", " "), r"[\s\x1c-\x1f]+"), lambda x: x != ""), "_")
+    return F.regexp_replace(F.regexp_replace(joined, r"[^A-Za-z0-9_.-]", ""), r"^[._]+|[._]+$", "")
+
+
+def stored_name(name: Column, document_id: Column) -> Column:
+    """The safe name with the id before its suffix, so that files of one name don't meet."""
+
+    def stored(safe: Column) -> Column:
+        suffix = F.regexp_extract(safe, r"[^.](\.[^.]*)$", 1)
+        return F.concat(F.left(safe, F.length(safe) - F.length(suffix)), F.lit("_"), document_id, suffix)
+
+    return rx.let(safe_name(name), stored)

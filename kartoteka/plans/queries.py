@@ -12,8 +12,8 @@ from kartoteka.functions.checks import INN_10, INN_11, INN_12
 from kartoteka.operators import answers, extract, merge, pages, routing
 from kartoteka.plans import cards as K
 from kartoteka.plans.details import counters, with_details
-from kartoteka.schema import CHECKED, FIELDS
-from kartoteka.sources import sinks
+from kartoteka.schema import ALIASES, CHECKED, FIELDS, WEB_EXTENSIONS
+from kartoteka.sources import shared, sinks, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -373,3 +373,188 @@ def q_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 3
     cells = F.when(k == 0, one).when(k == 1, two).otherwise(none)
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.array_join(pages.table_rows(cells), "\n").alias("rows"))
+
+
+# --- all fields, labelled and free
+
+_VALUES = {
+    "company_name": "'Общество Ромашка ' || id", "short_name": "'ООО Ромашка ' || id", "legal_address": "'101000, Москва, дом ' || id", "postal_address": "'300000, Тула, дом ' || id",
+    "ogrn": "'1027700' || lpad(cast(id as string), 6, '0')", "inn": "'77' || lpad(cast(id as string), 8, '0')", "kpp": "'55' || lpad(cast(id as string), 7, '0')", "bank_name": "'ПАО Берег ' || id",
+    "checking_account": "'40702810' || lpad(cast(id as string), 12, '0')", "correspondent_account": "'30101810' || lpad(cast(id as string), 12, '0')", "bik": "'04' || lpad(cast(id as string), 7, '0')",
+    "ceo_position": "'Директор'", "ceo_fio_full": "'Иванова Анна Петровна'", "ceo_fio": "'Иванова А.П.'", "phone": "'+7495' || lpad(cast(id as string), 7, '0')", "email": "'a' || id || '@example.ru'",
+}
+_VALUES = {f: v.replace("|| id", "|| cast(id as string)") for f, v in _VALUES.items()}
+_LINES = {
+    "company_name": "Полное наименование организации: ", "short_name": "Краткое наименование организации — ", "legal_address": "ЮРИДИЧЕСКИЙ АДРЕС:", "postal_address": "Почтовый адрес ", "ogrn": "ОГРН ", "inn": "ИНН: ", "kpp": "КПП: ",
+    "bank_name": "Банк:", "checking_account": "Расчетный счет № ", "correspondent_account": "Корр. счет ", "bik": "БИК ", "ceo_fio_full": "Директор: ", "phone": "Телефон: 8", "email": "E-mail: ",
+}
+#: A card with every label; a legal address stands in the line after its label, a phone is written with 8.
+_ALL = "select id, " + " || chr(10) || ".join(f"'{label}' || " + ("chr(10) || " if f == "legal_address" else "") + (f"substr({_VALUES[f]}, 3)" if f == "phone" else _VALUES[f]) for f, label in _LINES.items()) + " as text from ({ids}) x"
+_FIELDS_SQL = ", ".join(f"{v} as {f}" for f, v in _VALUES.items())
+
+
+@query(f"select id, {_FIELDS_SQL} from ({_IDS})")
+def q_labelled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sixteen fields of a card that labels each of them."""
+    return extract.with_found(K.read(spark, sf_dir, _ALL.replace("{ids}", K.IDS))).select("id", "found.*")
+
+
+@query(f"""select id, {', '.join(f'coalesce({v}, {chr(39) * 2}) as "{a}"' for (f, a), v in zip(ALIASES.items(), _VALUES.values(), strict=True))} from ({_IDS})""".replace("'Общество Ромашка ' || cast(id as string)", "case when id % 4 > 0 then 'Общество Ромашка ' || cast(id as string) end"))
+def q_alias_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names of the template; one that has no value is empty."""
+    rows = K.read(spark, sf_dir, f"select id, {_FIELDS_SQL} from ({K.IDS}) x")
+    d = F.struct(*[(F.when(F.col("id") % 4 > 0, F.col(f)) if f == "company_name" else F.col(f)).alias(f) for f in FIELDS])
+    return rows.select("id", sinks.aliased(d).alias("a")).select("id", "a.*")
+
+
+_TEMPLATE = "; ".join(f"{a}='{a}'" for a in ALIASES.values()) + "; 'OTHER'"
+
+
+@query(f"select id, {' || '.join(f'{chr(39)}{a}={chr(39)} || {_VALUES[f]} || {chr(39)}; {chr(39)}' for f, a in ALIASES.items())} || '''OTHER''' as filled from ({_IDS})")
+def q_template_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = K.read(spark, sf_dir, f"select id, {_FIELDS_SQL} from ({K.IDS}) x")
+    return rows.select("id", sinks.template_text(F.lit(_TEMPLATE), F.struct(*FIELDS)).alias("filled"))
+
+
+_LOOSE = """select id, 'Договор. Полное наименование стороны' || chr(10) || 'Общество Ромашка ' || cast(id as string) || chr(10) || '1. Краткое наименование стороны' || chr(10) || 'ООО Ромашка ' || cast(id as string) || chr(10)
+  || '2. Юридический адрес:' || chr(10) || '101000, Москва, дом ' || cast(id as string) || chr(10) || case id % 3 when 0 then '3. Почтовый адрес: Тула, дом ' || cast(id as string) when 1 then 'Отделение почтовой связи ' || cast(id as string) else '3. Прочее' end || chr(10)
+  || case when id % 2 = 0 then 'Счёт в банке: ПАО Дом, БИК ' else 'Обслуживающий банк ПАО Берег' || chr(10) || 'Код БИК: ' end || bik || chr(10) || 'тел. +7 (495) 000-' || lpad(cast(id % 100 as string), 2, '0') || '-11' as text, bik from ({ids}) x"""
+
+
+@query(f"""select id, 'Общество Ромашка ' || id as company_name, 'ООО Ромашка ' || id as short_name, '101000, Москва, дом ' || id as legal_address,
+  case id % 3 when 0 then 'Тула, дом ' || id when 1 then 'Отделение почтовой связи ' || id end as postal_address, case when id % 2 = 0 then 'ПАО Дом' else 'Обслуживающий банк ПАО Берег' end as bank_name,
+  case when starts_with(bik, '04') then bik end as bik, '+7495000' || lpad(cast(id % 100 as string), 2, '0') || '11' as phone from ({_IDS})""")
+def q_free_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, addresses, bank, BIK and phone of texts whose lines begin with no label."""
+    d = extract.with_found(K.read(spark, sf_dir, _LOOSE.replace("{ids}", K.IDS)))
+    return d.select("id", *[F.col("found")[f].alias(f) for f in ("company_name", "short_name", "legal_address", "postal_address", "bank_name", "bik", "phone")])
+
+
+# --- merging of all fields
+
+# Of each field: a model's value that a pattern's may replace, one that it may not, and the pattern's.
+_SAID = {
+    "company_name": ("Фирма", "Общество с ограниченной ответственностью", "ООО Ромашка Плюс"), "short_name": ("Общество Ромашка", "АО", "ООО Ромашка"), "legal_address": ("Москва", "101000, город Москва, улица Новая, дом 1", "101000, Москва, дом 5"),
+    "postal_address": ("Тула", " 300000, Тула ", "300000, Тула"), "ogrn": ("102", "102 7700123450", "1027700123450"), "inn": ("7744", "500100732259", "7744012347"), "kpp": ("77", "774 401 001", "774401001"), "bank_name": ("", "Банк А", "Банк Б"),
+    "checking_account": ("30702810000000012345", "40702810000000012340", "40702810000000012345"), "correspondent_account": ("40101810400000000225", "30101810400000000220", "30101810400000000225"), "bik": ("144525225", "044525220", "044525225"),
+    "ceo_position": ("", "Президент", "Директор"), "ceo_fio_full": ("", "Петров Пётр Петрович", "Иванов Иван Иванович"), "ceo_fio": ("", "Петров П.П.", "Иванов И.И."), "phone": ("12-34", "8 (495) 111-22-33", "+74951112244"), "email": ("нет", "x@y.ru", "a@b.ru"),
+}
+
+
+def _pair(k: int, f: str) -> tuple[str, str]:
+    """SQL of the model's and the pattern's value of the k-th field; each field meets all cases in another order."""
+    worse, same, found = _SAID[f]
+    return f"case (id + {k}) % 4 when 0 then null when 1 then '' when 2 then '{worse}' else '{same}' end", f"case (id * 7 + {k}) % 5 when 0 then null when 1 then '' else '{found}' end"
+
+
+def _merged(k: int, f: str) -> tuple[str, str]:
+    """SQL of what is left of the two, and of where it comes from."""
+    model, found = _pair(k, f)
+    case = f"(id * 7 + {k}) % 5 > 1 and (id + {k}) % 4 < 3"
+    return f"case when {case} then '{_SAID[f][2]}' else {model} end as {f}", f"case when {case} then '{f}=regex' when (id + {k}) % 4 > {1 if _SAID[f][0] else 2} then '{f}=llm' end"
+
+
+@query(f"select id, {', '.join(_merged(k, f)[0] for k, f in enumerate(FIELDS))}, array_to_string(list_filter([{', '.join(_merged(k, f)[1] for k, f in enumerate(FIELDS))}], lambda x: x is not null), ',') as sources from ({_IDS})")
+def q_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sixteen fields, each with no value, an empty, a worse and an equal one of the model against none, an empty and a good one."""
+    values = ", ".join(f"{_pair(k, f)[0]} as a_{f}, {_pair(k, f)[1]} as b_{f}" for k, f in enumerate(FIELDS))
+    rows = K.read(spark, sf_dir, f"select id, {values} from ({K.IDS}) x")
+    answer = F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*[F.col(f"a_{f}") for f in FIELDS]))
+    m = merge.with_merged(rows.select("id", answer.alias("answer"), F.struct(*[F.col(f"b_{f}").alias(f) for f in FIELDS]).alias("found")))
+    sources = F.transform(F.map_entries("extracted_by"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return m.select("id", "details.*", F.array_join(sources, ",").alias("sources"))
+
+
+# --- what is told of a record
+
+_TOLD = ", ".join(f"case when {n} is not null and reason_{n} is not null then '{label}: значение ''' || {n} || ''' отклонено — ' || reason_{n} end" for n, label in zip(_RULES, CHECKED.values(), strict=True))
+_LACKS = ", ".join(f"case when {n}_left is null then '{label} отсутствует' end" for n, label in zip(_RULES, CHECKED.values(), strict=True))
+_OF = dict(zip(CHECKED, _RULES, strict=True))
+_MISSING = ", ".join(f"case when {_OF[f]}_left is null then '{f}' end" if f in _OF else f"'{f}'" for f in FIELDS if f in _OF or f in ("short_name", "legal_address", "postal_address"))
+_FULL = "list_filter(x, lambda v, i: v is not null and list_position(x, v) = i)"
+
+
+@query(f"""{_record_sql()}, t as (select *, [{_TOLD}, 'Кросс-проверка: ' || mismatch, {_LACKS}] as told, list_filter([{_MISSING}], lambda x: x is not null) as missing from record)
+  select id, array_to_string({_FULL.replace('x,', 'told,')}, '; ') as review_reasons, array_to_string(missing, ', ') as missing_fields,
+    array_to_string(list_concat(errors, ['Missing fields: ' || array_to_string(missing, ', ')]), '; ') as warnings from t""".replace("list_filter(told, lambda v, i: v is not null and list_position(x, v) = i)", "list_filter(told, lambda v, i: v is not null and list_position(told, v) = i)"))
+def q_review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader is told of a record: rejected values, the cross-check, what is missing, and all warnings."""
+    r = with_details(K.cards(spark, sf_dir), compose=False)
+    return r.select("id", F.array_join("review_reasons", "; ").alias("review_reasons"), F.array_join("missing_fields", ", ").alias("missing_fields"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(" union all ".join(f"select * from ({_checked_sql(n, r)}) where id % 7 = {k}" for k, (n, r) in enumerate(_RULES.items())) + f" union all select id, null, null, null from ({_IDS}) where id % 7 = 6")
+def q_single_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value against the rule that its row names; a kind that there isn't has no verdict."""
+    kind = value = None
+    for k, n in enumerate(_RULES):
+        kind = (F if kind is None else kind).when(F.col("id") % 7 == k, n)
+        value = (F if value is None else value).when(F.col("id") % 7 == k, F.col(n))
+    rows = K.ids(spark, sf_dir).select("id", kind.otherwise("swift").alias("kind"), value.otherwise(F.col("inn")).alias("value"))
+    return rows.withColumn("c", checks.single(F.col("value"), F.col("kind"))).select("id", "c.*")
+
+
+# --- exports and the store of results
+
+_JSON_CHECK = "{{valid: reason_{n} is null, value: {n}, reason: {r}}}"
+_JSON_DATA = {f: f"{_OF[f]}_left" if f in _OF else "null" if f in ("short_name", "legal_address", "postal_address") else f for f in FIELDS}
+
+
+ORACLE["q_json_export"] = f"""{_record_sql()}, t as (select *, [{_TOLD}, 'Кросс-проверка: ' || mismatch, {_LACKS}] as told from record)
+  select id as document_id, to_json({{document_id: id, needs_review: len(errors) > 0, fill_rate: round_even(filled / 16.0, 2)::double,
+    data: {{{', '.join(f"{f}: {v}" for f, v in _JSON_DATA.items())}}}, data_aliases: {{{', '.join(f"'{a}': coalesce({_JSON_DATA[f]}, '')" for f, a in ALIASES.items())}}},
+    validation: {{{', '.join(f"{f}: {_JSON_CHECK.format(n=n, r=f'reason_{n}')}" for f, n in _OF.items())}, cross_checks: list_filter([mismatch], lambda x: x is not null), errors: errors, review_reasons: list_filter(told, lambda v, i: v is not null and list_position(told, v) = i)}},
+    extracted_by: map_from_entries(list_filter([{', '.join(f"('{f}', case when {_OF.get(f, f)} is not null then 'regex' end)" for f in FIELDS if f not in ('short_name', 'legal_address', 'postal_address'))}], lambda e: e[2] is not null)),
+    processing_meta: {{llm_provider: 'mock', llm_model: 'mock', prompt_version: 'v1', fallback_used: true, fallback_count: 7 + {' + '.join(f'({n} is not null)::int' for n in _RULES)}}}}})::varchar as json from t"""
+
+#: Results twice over: of the second time every third id, with another payload and a file of another format gone.
+_STORED = """select 'd' || cast(id as string) as document_id, '{"inn":"' || coalesce(inn, '') || '","n":' || '$n' || '}' as payload, 'out/' || cast(id as string) || '.json' as json_path,
+  case when $n = 2 then null else 'out/' || cast(id as string) || '.xlsx' end as xlsx_path, case when id % 5 = 0 then 'out/' || cast(id as string) || '.docx' end as docx_path from ({ids}) x where $n = 1 or id % 3 = 0"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> store.Store:
+    kept = store.create(spark, shared.own_path(spark, "store"), buckets=16)
+    for n in (1, 2):
+        sql = _STORED.replace("$n", str(n)).replace('{"', '{{"').replace("'}'", "'}}'").replace("{ids}", K.IDS)
+        store.upsert(kept, K.read(spark, sf_dir, sql), n)
+    return kept
+
+
+_HELD = f"""with s as ({' union all '.join(f"select *, {n} as n from ({_STORED.replace('$n', str(n)).replace('{ids}', _IDS)})" for n in (1, 2))}), held as (select * from s qualify row_number() over (partition by document_id order by n desc) = 1)"""
+
+
+@query(f"""{_HELD} select a.document_id, case when held.document_id is null then 404 else 200 end as code, payload, case when held.document_id is null then 'No result for document_id=''' || a.document_id || '''' end as message
+  from (select 'd' || (id * 2) as document_id from ({_IDS})) a left join held using (document_id)""")
+def q_result_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second id is asked for, and as many that aren't there: the later of two results counts."""
+    asked = K.ids(spark, sf_dir).select(F.concat(F.lit("d"), (F.col("id") * 2).cast("string")).alias("document_id"))
+    return store.lookup(spark, _stored(spark, sf_dir), asked)
+
+
+@query(f"""{_HELD}, a as (select 'd' || (case when id % 4 = 3 then -id else id end) as document_id, lower(case id % 5 when 0 then 'JSON' when 1 then 'xlsx' when 2 then 'Docx' when 3 then 'pdf' else 'json' end) as format from ({_IDS})),
+  b as (select a.*, held.document_id is not null as found, case format when 'json' then json_path when 'xlsx' then xlsx_path when 'docx' then docx_path end as place from a left join held using (document_id))
+  select document_id, format, case when not found then 404 when format = 'pdf' then 400 when place is null then 404 else 200 end as code, case when found then place end as path,
+    case when not found then 'No result for document_id=''' || document_id || '''' when format = 'pdf' then 'Unknown format ''pdf''. Supported: json, xlsx, docx' when place is null then 'File not found for format=''' || format || '''' end as message from b""")
+def q_result_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    fmt = F.when(i % 5 == 0, "JSON").when(i % 5 == 1, "xlsx").when(i % 5 == 2, "Docx").when(i % 5 == 3, "pdf").otherwise("json")
+    asked = K.ids(spark, sf_dir).select(F.concat(F.lit("d"), F.when(i % 4 == 3, -i).otherwise(i).cast("string")).alias("document_id"), fmt.alias("format"))
+    return store.download(spark, _stored(spark, sf_dir), asked)
+
+
+# --- names and media types of uploads
+
+_UPLOADS = """select id, case id % 6 when 0 then '../../etc/Pass ' || cast(id as string) || '.PDF' when 1 then 'Карта № ' || cast(id as string) || '.docx' when 2 then 'éte_' || cast(id as string) || '.tar.png' when 3 then '.скрыто' when 4 then '' else 'C:' || chr(92) || 'x' || chr(92) || 'a b.jpg' end as name,
+  'abc' || cast(id as string) as document_id, case id % 8 when 0 then '255044462D' when 1 then 'FFD8FFE0' when 2 then '89504E470D' when 3 then '49492A0001' when 4 then '4D4D002A00' when 5 then '504B030414' when 6 then '' else '00' end as head,
+  case id % 5 when 0 then 'docx' when 1 then 'pdf' when 2 then 'png' when 3 then 'jpeg' else 'zip' end as ext from ({ids}) x"""
+
+
+@query(f"""select id, case id % 6 when 0 then 'etc_Pass_' || id || '_abc' || id || '.PDF' when 1 then 'No_' || id || '_abc' || id || '.docx' when 2 then 'ete_' || id || '.tar_abc' || id || '.png' when 5 then 'Cxa_b_abc' || id || '.jpg' else '_abc' || id end as stored,
+  case when id % 6 in (3, 4) then 400 end as code,
+  case when id % 8 = 0 then 'application/pdf' when id % 8 = 1 then 'image/jpeg' when id % 8 = 2 then 'image/png' when id % 8 in (3, 4) then 'image/tiff' when id % 5 = 0 then 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+    when id % 5 = 1 then 'application/pdf' when id % 5 = 2 then 'image/png' when id % 5 = 3 then 'image/jpeg' else 'application/octet-stream' end as mime from ({_IDS})""")
+def q_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as a web form stores them, its codes without a bound of size, and media types by first bytes and extension."""
+    rows = K.read(spark, sf_dir, _UPLOADS.replace("{ids}", K.IDS))
+    name = F.col("name")
+    return rows.select("id", routing.stored_name(name, F.col("document_id")).alias("stored"), routing.upload_code(name, F.lit(1 << 40), WEB_EXTENSIONS, None).alias("code"), routing.mime(F.unhex("head"), F.col("ext")).alias("mime"))
