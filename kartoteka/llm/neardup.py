@@ -2,12 +2,14 @@
 
 Each document is a set of word shingles. Equal sets form one class and go on as one. Independent trees branch the classes
 by selected minwise tokens: a node's members share the tokens chosen on its path, and a node with many members is branched
-again by further tokens, drawn by the node's name. Members of small nodes are compared with each other by their signatures. A
-large node whose members all resemble its least one needs no more branches. What could be similar is gathered, and every
-link is confirmed on full sets.
+again by further tokens, drawn by the node's name. Members of small nodes are compared with each other by their signatures.
+Members of a large node are compared with a few of its members, its centres: those that resemble one are gathered, those that
+are very like one are branched no more, and a node all of whose members resemble a centre is done. What could be similar is
+gathered, and every link is confirmed on full sets.
 
 A pair at the threshold of 0.8 shares a node of the first level in one of three trees but for 0.2 ** 9 of cases, and one of
-the third level but for about 4e-6.
+the third level but for about 4e-6. A document that is branched no more has at least 24 of 32 tokens of a centre; one that is
+linked with it then resembles that centre in 9 of 10 cases, and the pair meets in some seven nodes with centres of their own.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ from kartoteka.llm.components import components
 
 #: Trees, and branches of each of a tree's nodes by level; nodes of the last level have none.
 TREES, CHOSEN = 3, (3, 2, 2, 2, 2, 2)
-#: From this level on a large node is not branched if its members resemble its least one.
-LIKE_LEAST = 3
+#: Members of a large node that its others are compared with: the least one, and others that the node's name draws.
+CENTRES = 4
 #: Minwise tokens of a signature: the first are the trees' roots, a deeper branch takes the one that its node's name draws.
 TOKENS = 48
 #: Members of a small node are compared by so many of them.
 COMPARED = 32
 #: Equal ones of those that a pair must have to be looked at further; a pair at 0.8 has fewer in one of a million cases.
 LEAST_EQUAL = 14
+#: Equal ones with a centre from which on a member is branched no more.
+VERY_LIKE = 24
 #: A node of at most so many members is compared exhaustively, a larger one is branched.
 SMALL = 48
 #: Shingles of sets that are compared in one task.
@@ -101,41 +105,40 @@ def _children(members: DataFrame, chosen: int) -> DataFrame:
     return members.select("doc_id", F.explode(F.array(*nodes)).alias("node"))
 
 
-def _equal_tokens(a: str, b: str) -> Column:
+def _equal_tokens(a: Column, b: Column) -> Column:
     """How many of the first COMPARED tokens of two signatures are equal."""
     same = F.zip_with(F.slice(a, 1, COMPARED), F.slice(b, 1, COMPARED), lambda x, y: (x == y).cast("int"))
     return F.aggregate(same, F.lit(0), lambda n, x: n + x)
 
 
 def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, doc_id) of the small nodes that are to be compared, and (a, b) of classes with the least of a large node.
+    """(node, doc_id) of the small nodes that are to be compared, and (a, b) of gathered classes with the least of a large node.
 
-    Sizes of nodes and their least members are written before they are joined, so that a hot node's members can be split
-    among tasks by adaptive execution.
+    Sizes of nodes and their centres are written before they are joined, so that a hot node's members can be split among tasks
+    by adaptive execution.
     """
     sigs = classes.select("doc_id", "sig")
     roots = [F.xxhash64(F.lit(t), F.get("sig", t)) for t in range(TREES * CHOSEN[0])]
     small, stars = [], []
     level = sigs.select("doc_id", F.explode(F.array(*roots)).alias("node"))
-    for depth, chosen in enumerate((*CHOSEN[1:], 0), 1):
-        sizes = C.written(level.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n >= 2"), "sizes")
+    drawn = [F.min_by("doc_id", F.xxhash64("doc_id", "node", F.lit(j))) for j in range(1, CENTRES)]
+    for chosen in (*CHOSEN[1:], 0):
+        sizes = C.written(level.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.array(*drawn).alias("drawn")).where("n >= 2"), "sizes")
         # written, so that each level is one small plan
-        sized = C.written(level.join(sizes, "node"), "level")
+        sized = C.written(level.join(sizes.select("node", "n", "least"), "node"), "level")
         small.append(sized.where(F.col("n") <= SMALL).select("node", "doc_id"))
         large = sized.where(F.col("n") > SMALL).select("node", "doc_id", "least")
         if large.isEmpty():
             break
-        members = large.join(sigs, "doc_id")
-        if depth >= LIKE_LEAST:
-            least = sigs.select(F.col("doc_id").alias("least"), F.col("sig").alias("least_sig"))
-            named = sizes.where(F.col("n") > SMALL).select("node", "least").join(least, "least").select("node", "least_sig")
-            found = C.written(members.join(named, "node").withColumn("like", _equal_tokens("sig", "least_sig") >= LEAST_EQUAL).drop("least_sig"), "members")
-            # a node all of whose members resemble its least one is done; of others, those that do are linked with it already
-            open_nodes = C.written(found.where("not like").select("node").distinct(), "open")
-            stars.append((found if not chosen else found.where("like")).where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
-            members = found.join(open_nodes, "node", "left_semi")
+        centres = sizes.where(F.col("n") > SMALL).select("node", F.explode(F.array_distinct(F.concat(F.array("least"), "drawn"))).alias("doc_id"))
+        named = C.written(centres.join(sigs, "doc_id").groupBy("node").agg(F.collect_list(F.slice("sig", 1, COMPARED)).alias("centres")), "centres")
+        most = F.array_max(F.transform("centres", lambda c: _equal_tokens(F.col("sig"), c)))
+        found = C.written(large.join(sigs, "doc_id").join(named, "node").withColumn("equal", most).drop("centres"), "members")
+        # members that resemble a centre are gathered with the node's least one; of the last level, all are
+        stars.append((found if not chosen else found.where(F.col("equal") >= LEAST_EQUAL)).where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
         if chosen:
-            level = _children(members, chosen)
+            open_nodes = C.written(found.where(F.col("equal") < LEAST_EQUAL).select("node").distinct(), "open")
+            level = _children(found.where(F.col("equal") < VERY_LIKE).join(open_nodes, "node", "left_semi"), chosen)
     none = classes.sparkSession.createDataFrame([], "a long, b long")
     return _union(small), _union([none, *stars])
 
