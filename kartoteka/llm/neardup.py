@@ -131,11 +131,16 @@ def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if large.isEmpty():
             break
         centres = sizes.where(F.col("n") > SMALL).select("node", F.explode(F.array_distinct(F.concat(F.array("least"), "drawn"))).alias("doc_id"))
-        named = C.written(centres.join(sigs, "doc_id").groupBy("node").agg(F.collect_list(F.slice("sig", 1, COMPARED)).alias("centres")), "centres")
-        most = F.array_max(F.transform("centres", lambda c: _equal_tokens(F.col("sig"), c)))
-        found = C.written(large.join(sigs, "doc_id").join(named, "node").withColumn("equal", most).drop("centres"), "members")
-        # members that resemble a centre are gathered with the node's least one; of the last level, all are
-        stars.append((found if not chosen else found.where(F.col("equal") >= LEAST_EQUAL)).where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+        named = C.written(centres.join(sigs, "doc_id").groupBy("node").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.slice("sig", 1, COMPARED).alias("sig"))).alias("centres")), "centres")
+        scores = F.transform("centres", lambda c: F.struct(_equal_tokens(F.col("sig"), c["sig"]).alias("equal"), c["id"].alias("id")))
+        scored = large.join(sigs, "doc_id").join(named, "node").withColumn("scores", scores)
+        with_least = F.get(F.filter("scores", lambda x: x["id"] == F.col("least")), 0)["equal"]
+        most = F.array_max("scores")
+        found = C.written(scored.select("node", "doc_id", "least", "sig", with_least.alias("with_least"), most["equal"].alias("equal"), most["id"].alias("centre")), "members")
+        # a member is gathered with the node's least one if it resembles that, else with the centre that it resembles most; of
+        # the last level, all are with the least one
+        to = F.when(F.lit(not chosen) | (F.col("with_least") >= LEAST_EQUAL), F.col("least")).when(F.col("equal") >= LEAST_EQUAL, F.col("centre"))
+        stars.append(found.select(F.col("doc_id").alias("a"), to.alias("b")).where("a != b"))
         if chosen:
             open_nodes = C.written(found.where(F.col("equal") < LEAST_EQUAL).select("node").distinct(), "open")
             level = _children(found.where(F.col("equal") < VERY_LIKE).join(open_nodes, "node", "left_semi"), chosen)
