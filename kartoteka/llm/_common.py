@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 import numpy as np
 import xxhash
 import zstandard
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +51,12 @@ def id_crc(doc_id: Column | str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse, which a cluster shares as well."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse, which must be no local one on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder.rstrip("/")
 
 
@@ -79,17 +81,9 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 
 def remove_at_end(spark: SparkSession, path: str) -> None:
-    """The table at the path goes when the application ends."""
-    atexit.register(_removed, spark, path)
-
-
-def _removed(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except (Py4JError, OSError, AttributeError):  # the session has ended; its folder is the cluster's to clean
-        pass
+    """The table at the path goes when the driver's JVM ends, whether or not the session was stopped before."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def width(spark: SparkSession) -> int:
