@@ -27,7 +27,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found with a probability of LEAST_LANGUAGE or more; those without a letter go."""
+    """Documents whose language is found with a probability of LEAST_LANGUAGE or more; those without a letter go.
+
+    Null and empty texts have no letter. Repeated rows are judged alike; an empty table gives an empty one; long texts are read whole.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
     lang, score = C.free_name("said", docs.columns), C.free_name("probability", docs.columns)
     said = langid.predict(docs, model, lang=lang, score=score)
@@ -51,12 +54,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of 13-word windows that a document with a smaller id has."""
+    """All documents, without the words of 13-word windows that a document with a smaller id has.
+
+    Null and empty texts stay as they are, and so do repeated rows of one id, as no id is smaller than itself; an empty table gives
+    an empty one; long texts are read whole.
+    """
     return substrings.without_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows are packed each; an empty table gives no piece; a long text is cut.
+    """
     return packing.packed_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -73,10 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is a Parquet table in the shared folder that the next one reads."""
+    """All stages over documents; what each keeps is a Parquet table in the shared folder that the next one reads.
+
+    These tables go when the application ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{C.shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        C.remove_at_end(spark, path)
         docs = spark.read.parquet(path)
     return docs
