@@ -1,7 +1,7 @@
-"""Licence scans by a positional rare-token index, in DataFrame functions only.
+"""Licence scans by rare words and their relative positions, in DataFrame functions only.
 
-Templates are indexed by word: postings of (template, phrase, position). Rarity comes from the templates: a word's IDF is
-the log of the number of templates over those that have it. In a file, every occurrence of a phrase's rarest word proposes
+Templates are key phrases of licences, not their bodies, and each phrase is looked up by itself. Rarity comes from the templates: a
+word's IDF is the log of the number of templates over those that have it. In a file, every occurrence of a phrase's rarest word proposes
 the place where the phrase would start; the phrase's next rarest word must stand at its own relative position, and what is
 left is verified word by word. A template is found where all its mandatory key phrases are.
 """

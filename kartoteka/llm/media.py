@@ -315,7 +315,8 @@ def probe_media(df: DataFrame, content: str = "content", to: str = "media") -> D
     """Adds a struct of codec, duration and keyframe byte ranges of the ISO media files in a binary column.
 
     A null file gives nulls; a damaged one an error text; a file without samples the error 'no track with samples'. An
-    existing column of the name `to` is replaced; all others, repeated rows included, stay as they are.
+    existing column of the name `to` is replaced; all others, repeated rows included, stay as they are. An empty table gives an
+    empty one; a large file's tables are read whole, its payload is not.
     """
     return df.withColumn(to, F.pandas_udf(_probe, PROBE)(F.col(content)))
 
@@ -338,6 +339,9 @@ def stored_features(text: pd.Series) -> pd.DataFrame:
 
 
 def with_features(df: DataFrame, text: str | Column = "text") -> DataFrame:
-    """doc_id and stored_features of its text; row by row, so repeated rows stay, equal texts get equal values, an empty table none."""
+    """doc_id and stored_features of its text; row by row, so repeated rows stay, equal texts get equal values, an empty table none.
+
+    A null text is empty; a long one is stored whole.
+    """
     C.small_batches(df.sparkSession)
     return df.select("doc_id", F.pandas_udf(stored_features, STORED)(F.col(text) if isinstance(text, str) else text).alias("m")).select("doc_id", "m.*")

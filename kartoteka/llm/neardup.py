@@ -373,7 +373,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 1
 
     Two documents are linked if the share of common shingles among all shingles of both is at least least[0] / least[1].
     component_id is the least id that links reach. A text without words is linked with nothing; repeated rows are copies;
-    rows with one id and different texts count as linked; a null id is never the least, unless it has no other.
+    rows with one id and different texts count as linked; a null id is never the least, unless it has no other. An empty table
+    gives an empty one; a long text's shingles are all taken.
     """
     signed = C.written(signatures(docs, k), "signed")
     full = signed.where("n_shingles > 0")

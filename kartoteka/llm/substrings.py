@@ -2,8 +2,8 @@
 
 A repeat of 13 words covers, wherever it starts, one whole block of the 7-word grid of the document that has it first. So
 each document's non-overlapping 7-word blocks are the index, and every rolling 7-word window of every document probes it. A
-hit that two documents share is an anchor; around it the repeat is extended word by word within its 13-word windows, whose
-union over neighbouring anchors is the maximal repeat. A window's first holder is the least doc_id among all that have it;
+hit that two documents share is an anchor; the 13-word windows around it are compared by their 64-bit hashes, not word by word,
+and the union of those that repeat is the maximal repeat. A window's first holder is the least doc_id among all that have it;
 holders meet by the window's hash, so thousands of copies cost an entry a chunk, never a pair.
 """
 
@@ -191,7 +191,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word is removed if a window of `window` words that covers it also starts in a document with a smaller doc_id. A null
     text has no words. Rows with one doc_id don't remove each other's words. A row whose doc_id is null keeps all words and
-    removes none. An empty table gives an empty one. Windows are compared by 64-bit hashes of their words.
+    removes none. An empty table gives an empty one. A long text is read whole, as a chunk of its own. Windows are compared by
+    64-bit hashes of their words.
     """
     chunks, answers, buckets = _located(docs, window)
 
