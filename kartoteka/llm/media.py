@@ -107,6 +107,8 @@ def sample_table(data: bytes, t: dict[bytes, tuple[int, int]]) -> dict[str, np.n
     first = np.cumsum(per_chunk) - per_chunk
     full = per_chunk > 0
     offsets = before + np.repeat(chunks[full] - before[first[full]], per_chunk[full]) if len(sizes) else before
+    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError(f"samples from {offsets.min()} to {(offsets + sizes).max()} are not in the file")
     times = table(b"stts", 8, 2)
     # no more times than there are samples, whatever the table says
     counts = np.diff(np.minimum(np.cumsum(times[:, 0]), len(sizes)), prepend=0)

@@ -45,6 +45,18 @@ def test_damaged_and_fragmented():
     assert media.probed(None)["error"] is None and media.probed(b"")["error"]
 
 
+@pytest.mark.parametrize("to", [0x7FFFFFFF, 0xFFFFFFFF, -64])
+def test_ranges_outside_the_file_are_errors(to):
+    data = bytearray(media.wrapped(bytes(64 * 10)))
+    where = data.index(b"stco") + 12
+    (base,) = struct.unpack_from(">I", data, where)
+    assert media.probed(bytes(data))["error"] is None
+    struct.pack_into(">I", data, where, to if to > 0 else base - to)  # or one sample too far
+    assert "not in the file" in media.probed(bytes(data))["error"]
+    cut = media.wrapped(bytes(64 * 10))[:-1]
+    assert media.probed(cut)["error"]
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return struct.pack(">I4s", len(body) + 8, kind) + body
