@@ -70,7 +70,10 @@ def tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
 
 
 def sample_table(data: bytes, t: dict[bytes, tuple[int, int]]) -> dict[str, np.ndarray]:
-    """Offset, length and decoding time of every sample, and the indices of the sync samples."""
+    """Offset, length and decoding time of every sample, and the indices of the sync samples.
+
+    Samples must lie in the file, unless it has no media data at all: then its ranges are those of another file.
+    """
 
     def table(kind: bytes, header: int, fields: int, width: int = 4) -> np.ndarray:
         a, b = t[kind]
@@ -107,7 +110,8 @@ def sample_table(data: bytes, t: dict[bytes, tuple[int, int]]) -> dict[str, np.n
     first = np.cumsum(per_chunk) - per_chunk
     full = per_chunk > 0
     offsets = before + np.repeat(chunks[full] - before[first[full]], per_chunk[full]) if len(sizes) else before
-    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+    outside = len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data))
+    if outside and any(kind == b"mdat" for kind, *_ in boxes(data)):
         raise ValueError(f"samples from {offsets.min()} to {(offsets + sizes).max()} are not in the file")
     times = table(b"stts", 8, 2)
     # no more times than there are samples, whatever the table says
