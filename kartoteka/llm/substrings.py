@@ -2,9 +2,12 @@
 
 A repeat of 13 words covers, wherever it starts, one whole block of the 7-word grid of the document that has it first. So
 each document's non-overlapping 7-word blocks are the index, and every rolling 7-word window of every document probes it. A
-hit that two documents share is an anchor; the 13-word windows around it are compared by their 64-bit hashes, not word by word,
-and the union of those that repeat is the maximal repeat. A window's first holder is the least doc_id among all that have it;
-holders meet by the window's hash, so thousands of copies cost an entry a chunk, never a pair.
+hit that two documents share is an anchor; from there it is extended window by window, to both sides, as long as 13-word windows
+repeat, and the union of those that do is the maximal repeat (maximal_repeats gives these as spans). A window's first holder is
+the least doc_id among all that have it; holders meet by the window's identity, so thousands of copies cost an entry a chunk,
+never a pair. The identity is two independent hashes of the window's words, 96 bits together: among 10^13 windows fewer than one
+pair in a thousand such corpora meets by chance. Words are known by 64-bit hashes, so two windows would also meet if they differ only
+in words that collide.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from kartoteka.llm import chunks as K
 WINDOW = 13
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ASK = "bucket int, chunk long, keys binary, more binary"
+ASK_WINDOWS = f"{ASK}, checks binary"
 ANCHORS = "chunk long, bucket int, kind int, found binary"
 
 
@@ -56,8 +60,20 @@ class _Grid:
         at = self.within(self.window)
         return at[there[at]]
 
-    def window_hashes(self, at: np.ndarray) -> np.ndarray:
-        return C.rolling_at(self.words, at, self.window, 13)
+    def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 bits by which windows meet, and 32 others that tell those apart which meet by chance."""
+        return C.rolling_at(self.words, at, self.window, 13), (C.rolling_at(self.words, at, self.window, 29) >> np.uint64(32)).astype(np.uint32)
+
+
+def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, checks) of the distinct pairs, by keys ascending, and each pair's place among them."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return k[new], c[new], place
 
 
 def _ask_blocks(grid: _Grid, chunk: int, buckets: int) -> pd.DataFrame:
@@ -99,11 +115,10 @@ def _anchored(grid: _Grid, answers: pd.DataFrame, buckets: int) -> np.ndarray:
     return at[anchor[place]]
 
 
-def _extended(grid: _Grid, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of windows around anchors, their distinct hashes, each start's place among these)."""
+def _extended(grid: _Grid, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, ...]:
+    """(starts of windows around anchors, their distinct keys and checks, each start's place among these)."""
     at = grid.windows_around(_anchored(grid, answers[answers["kind"] == 0], buckets))
-    keys, place = np.unique(grid.window_hashes(at), return_inverse=True)
-    return at, keys, place
+    return at, *_distinct(*grid.window_hashes(at))
 
 
 #: Stands for the id null: no id is less than a null one, nor a null one than any.
@@ -111,16 +126,17 @@ _LAST = (1 << 63) - 1
 
 
 def _ask_windows(grid: _Grid, chunk: int, answers: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    at, keys, place = _extended(grid, answers, buckets)
+    at, keys, checks, place = _extended(grid, answers, buckets)
     ids = np.where(grid.no_id, _LAST, grid.ids)[grid.doc[at]]
     least = np.full(len(keys), _LAST, np.int64)
     np.minimum.at(least, place, ids)
-    return pd.DataFrame([(b, chunk, C.packed(keys[s], True), C.packed(least[s])) for b, s in K.sent(keys, buckets)], columns=["bucket", "chunk", "keys", "more"])
+    rows = [(b, chunk, C.packed(keys[s], True), C.packed(least[s]), C.packed(checks[s])) for b, s in K.sent(keys, buckets)]
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "more", "checks"])
 
 
 def _first_holders(rows: pd.DataFrame) -> pd.DataFrame:
     keys = [C.unpacked(k, np.uint64, True) for k in rows["keys"]]
-    distinct, place = K.merged(keys)
+    distinct, _, place = _distinct(np.concatenate(keys), np.concatenate([C.unpacked(c, np.uint32) for c in rows["checks"]]))
     least = np.full(len(distinct), _LAST, np.int64)
     np.minimum.at(least, place, np.concatenate([C.unpacked(m, np.int64) for m in rows["more"]]))
     ends = np.cumsum([len(k) for k in keys])
@@ -130,7 +146,7 @@ def _first_holders(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _removed(grid: _Grid, answers: pd.DataFrame, buckets: int) -> np.ndarray:
     """For each word of the chunk, whether it lies in a window that a smaller doc_id has."""
-    at, keys, place = _extended(grid, answers, buckets)
+    at, keys, _, place = _extended(grid, answers, buckets)
     found = answers[answers["kind"] == 1]
     found = dict(zip(found["bucket"], found["found"], strict=True))
     least = np.empty(len(keys), np.int64)
@@ -181,7 +197,7 @@ def _located(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, int]:
     def windows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([_ask_windows(_Grid(K.Chunk(row), window), row.chunk, right, buckets) for row in left.itertuples()])
 
-    asked = chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInPandas(windows, ASK)
+    asked = chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInPandas(windows, ASK_WINDOWS)
     holders = K.answered(asked, _first_holders, ANCHORS, "holders", buckets)
     return chunks, anchors.unionByName(holders), buckets
 
@@ -192,7 +208,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word is removed if a window of `window` words that covers it also starts in a document with a smaller doc_id. A null
     text has no words. Rows with one doc_id don't remove each other's words. A row whose doc_id is null keeps all words and
     removes none. An empty table gives an empty one. A long text is read whole, as a chunk of its own. Windows are compared by
-    64-bit hashes of their words.
+    96 bits of hashes of their words.
     """
     chunks, answers, buckets = _located(docs, window)
 
@@ -204,6 +220,27 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return K.together(chunks, answers, made, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def maximal_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, start, length of the longest runs of words (from 0) that repeated_words removes, in each row.
+
+    A row without such words, a null or empty text among them, gives none; equal rows give equal runs, one each a row. An empty
+    table gives an empty one.
+    """
+    chunks, answers, buckets = _located(docs, window)
+
+    def made(chunk: K.Chunk, found: pd.DataFrame) -> pd.DataFrame:
+        grid = _Grid(chunk, window)
+        removed = _removed(grid, found, buckets)
+        goes_on = np.zeros(len(removed) + 1, bool)  # whether a word's run began before it
+        goes_on[1:-1] = removed[:-1] & removed[1:] & (grid.doc[:-1] == grid.doc[1:])
+        first = np.flatnonzero(removed & ~goes_on[:-1])
+        last = np.flatnonzero(removed & ~goes_on[1:])
+        doc = grid.doc[first]
+        return pd.DataFrame({"doc_id": pd.array(grid.ids[doc], dtype="Int64"), "start": first - grid.starts[doc], "length": last - first + 1})
+
+    return K.together(chunks, answers, made, "doc_id long, start long, length long")
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs (doc_id, text and any more columns), texts without the words that repeated_words removes.
 
