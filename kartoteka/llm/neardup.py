@@ -4,8 +4,9 @@ Each document is a set of word shingles. Equal sets form one class and go on as
 by selected minwise tokens: a node's members share the tokens chosen on its path, and a node with many members is branched
 again by further tokens, drawn by the node's name. Members of small nodes are compared with each other by their signatures.
 Members of a large node are compared with a few of its members, its centres: those that resemble one are gathered, those that
-are very like one are branched no more, and a node all of whose members resemble a centre is done. What could be similar is
-gathered, and every link is confirmed on full sets.
+are very like one are branched no more, and a node all of whose members resemble a centre is done. So is a node of which few
+members do not resemble the least one: all its members are compared with those. What could be similar is gathered, and every
+link is confirmed on full sets.
 
 A pair at the threshold of 0.8 shares a node of the first level in one of three trees but for 0.2 ** 9 of cases, and one of
 the third level but for about 4e-6. A document that is branched no more has at least 24 of 32 tokens of a centre; one that is
@@ -34,7 +35,7 @@ COMPARED = 32
 LEAST_EQUAL = 14
 #: Equal ones with a centre from which on a member is branched no more.
 VERY_LIKE = 24
-#: A node of at most so many members is compared exhaustively, a larger one is branched.
+#: A node of at most so many members is compared exhaustively, a larger one is branched, unless so few are unlike its least one.
 SMALL = 48
 #: Shingles of sets that are compared in one task.
 BLOCK = 2_000_000
@@ -141,9 +142,20 @@ def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         # the last level, all are with the least one
         to = F.when(F.lit(not chosen) | (F.col("with_least") >= LEAST_EQUAL), F.col("least")).when(F.col("equal") >= LEAST_EQUAL, F.col("centre"))
         stars.append(found.select(F.col("doc_id").alias("a"), to.alias("b")).where("a != b"))
-        if chosen:
-            open_nodes = C.written(found.where(F.col("equal") < LEAST_EQUAL).select("node").distinct(), "open")
-            level = _children(found.where(F.col("equal") < VERY_LIKE).join(open_nodes, "node", "left_semi"), chosen)
+        if not chosen:
+            break
+        is_apart = F.col("with_least") < LEAST_EQUAL
+        counts = C.written(found.where(is_apart).groupBy("node").agg(F.count("*").alias("apart"), F.min("equal").alias("equal")), "counts")
+        few = counts.where(F.col("apart") <= SMALL).select("node")
+        apart = C.written(found.where(is_apart).join(few, "node").groupBy("node").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.slice("sig", 1, COMPARED).alias("sig"))).alias("apart")), "apart")
+        like = F.filter("apart", lambda x: _equal_tokens(F.col("sig"), x["sig"]) >= LEAST_EQUAL)
+        # of those that are with the least one, one that resembles it tells as much as all
+        own = F.when(is_apart, F.col("doc_id")).otherwise(F.col("least"))
+        met = found.join(apart, "node").select("node", own.alias("own"), "doc_id", F.explode(F.transform(like, lambda x: x["id"])).alias("b"))
+        stars.append(met.where("doc_id != b").groupBy("node", "own", "b").agg(F.min("doc_id").alias("a")).select("a", "b"))
+        open_nodes = counts.where((F.col("apart") > SMALL) & (F.col("equal") < LEAST_EQUAL)).select("node")
+        # written, as it is both counted and joined with the counts
+        level = C.written(_children(found.where(F.col("equal") < VERY_LIKE).join(open_nodes, "node", "left_semi"), chosen), "children")
     none = classes.sparkSession.createDataFrame([], "a long, b long")
     return _union(small), _union([none, *stars])
 

@@ -109,3 +109,34 @@ def test_pairs_at_the_threshold_among_frequent_shingles(spark, monkeypatch):
     assert 50 < sum(i != j for i, j in want.items()) < 300
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=2).collect()
     assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_large_node_with_few_unlike_its_least_is_done(spark, monkeypatch):
+    """300 sets that have 18 of 32 tokens of the least one, and pairs of outsiders: one level gathers all that branches would."""
+    r = np.random.default_rng(5)
+    n = 300
+    new = lambda *shape: r.integers(-(1 << 31), 1 << 31, shape).astype(np.int32)
+    sig = new(n + 4, neardup.TOKENS)
+    sig[:, 0] = 7
+    for i in range(1, n):
+        same = r.choice(np.arange(1, neardup.COMPARED), 17, replace=False)
+        sig[i, same] = sig[0, same]
+    sig[n, 9:28] = sig[5, 9:28]  # outsiders like one member, like each other, and like none
+    sig[n + 2, 10:26] = sig[n + 1, 10:26]
+    rows = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n + 4), "sig": sig.tolist()}), "doc_id long, sig array<int>")
+    made, written = [], neardup.C.written
+
+    def counted(df, name, *more):
+        out = written(df, name, *more)
+        if name == "level":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.C, "written", counted)
+    label = {i: i for i in range(n + 4)}
+    edges = [(x.a, x.b) for x in neardup.candidates(rows, n).collect()]
+    for a, b in edges * 3:
+        label[a] = label[b] = min(label[a], label[b])
+    assert all(label[i] == 0 for i in range(n + 1))
+    assert label[n + 1] == label[n + 2] == n + 1 and label[n + 3] == n + 3
+    assert made[0] > n and not any(made[1:])
