@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kartoteka.functions import checks, normal
 from kartoteka.functions.checks import INN_10, INN_11, INN_12
+from kartoteka.functions.rx import let
 from kartoteka.operators import answers, extract, merge, pages, routing
 from kartoteka.plans import cards as K
 from kartoteka.plans.details import counters, with_details
@@ -360,9 +361,11 @@ def q_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
   select doc_id, i, i // 400 as page, i // 40 as block, (i // 7) % 3 as line_num, words[i + 1] as w from (select doc_id, words, unnest(range(len(words))) as i from (select doc_id, string_split(text, ' ') as words from documents)))
   where trim(w) <> '' group by doc_id, page, block, line_num)""")
 def q_recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
-    placed = words.selectExpr("doc_id", "cast(i as bigint) as idx", "cast(i as bigint) div 400 as page", "cast(i as bigint) div 40 as block_num", "(cast(i as bigint) div 7) % 3 as line_num", "text")
-    return pages.recognised_lines(placed)
+    of_pages = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 400).cast("int")), lambda p: F.slice(w, p * 400 + 1, 400))
+    paged = _documents(spark, sf_dir).select("doc_id", F.posexplode(let(F.split("text", " "), of_pages)).alias("p", "texts"))
+    at = lambda i: F.col("p").cast("bigint") * 400 + i
+    words = F.transform("texts", lambda t, i: F.struct(at(i).alias("idx"), F.floor(at(i) / 40).alias("block_num"), (F.floor(at(i) / 7) % 3).alias("line_num"), t.alias("text")))
+    return pages.recognised_lines(paged.select("doc_id", F.col("p").cast("bigint").alias("page"), words.alias("words")))
 
 
 @query("""select id, case when c = '' then '' else c end as rows from (select c_custkey as id, case c_custkey % 3 when 0 then 'ИНН | 77' || chr(10) || 'БИК' when 1 then 'a |  | b' else '' end as c from customer)""")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kartoteka.functions import checks, normal
-from kartoteka.operators import answers, merge
+from kartoteka.operators import answers, merge, pages
 from kartoteka.plans.details import with_details
 from kartoteka.schema import FIELDS, Settings
 
@@ -202,3 +202,15 @@ def test_providers_and_prompts():
     assert answers.provider(Settings(provider="other")) == "mock"
     with pytest.raises(ValueError):
         answers.prompt(F.lit("x"), "v9")
+
+
+def test_recognised_lines_are_made_without_a_shuffle(spark):
+    words = [(0, 1, 1, "a"), (1, 1, 2, "b"), (2, 1, 1, " "), (3, 1, 1, "c\nd"), (4, 2, 1, "e"), (5, None, 1, "f"), (6, 1, 2, "g"), (7, None, 1, "h"), (8, 2, 1, None)]
+    schema = "doc_id int, page long, words array<struct<idx:long,block_num:long,line_num:long,text:string>>"
+    df = pages.recognised_lines(spark.createDataFrame([(1, 0, words), (1, 1, []), (2, 0, [(0, 1, 1, " ")]), (3, 0, None), (3, 1, words[::-1])], schema))
+    want = [(0, "a c\nd"), (1, "b g"), (4, "e"), (5, "f h")]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 0, *x) for x in want] + [(3, 1, *x) for x in want]
+    from kartoteka.plans.queries import QUERIES
+
+    plan = QUERIES["q_recognised_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
