@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kartoteka.functions.rx import let
 from kartoteka.schema import ALIASES, FIELDS, Settings
 from kartoteka.sources import shared
 
@@ -148,7 +149,10 @@ def with_answer(df: DataFrame, settings: Settings, text: str = "text", client: C
 
 def _kind(value: Column) -> Column:
     """What a JSON value other than a string or null is; null for those."""
-    schema = F.schema_of_variant(value)
+    return let(F.schema_of_variant(value), _kind_of)
+
+
+def _kind_of(schema: Column) -> Column:
     return (
         F.when(schema.startswith("OBJECT"), F.lit("dict")).when(schema.startswith("ARRAY"), F.lit("list")).when(schema == "BOOLEAN", F.lit("bool"))
         .when((schema == "BIGINT") | schema.endswith(",0)"), F.lit("int")).when(schema.startswith("DECIMAL") | (schema == "DOUBLE") | (schema == "FLOAT"), F.lit("float"))
@@ -159,19 +163,28 @@ def typed(raw: Column) -> Column:
     """A JSON text as a struct: answer, a map of the fields that it has, as strings; kinds, what those are that are no strings;
     error, for a JSON value that is no object. A null, or what is no JSON, gives nulls. Keys that are no fields are left out.
     """
-    v = F.try_parse_json(raw)
-    values = {f: F.try_variant_get(v, f"$.{f}", "variant") for f in FIELDS}
-    names = F.array(*map(F.lit, FIELDS))
-    texts = F.map_from_arrays(names, F.array(*[F.try_variant_get(v, f"$.{f}", "string") for f in FIELDS]))
-    kinds = F.map_from_arrays(names, F.array(*[_kind(values[f]) for f in FIELDS]))
-    there = F.map_from_arrays(names, F.array(*[values[f].isNotNull() for f in FIELDS]))
+    return let(F.try_parse_json(raw), lambda v: _parts(v, raw))
+
+
+def _parts(v: Column, raw: Column) -> Column:
+    """What typed() tells of a parsed value; each field that is there is read once."""
     is_object = F.schema_of_variant(v).startswith("OBJECT")
+    values = F.when(is_object, F.try_variant_get(v, "$", "map<string,variant>"))
+    said = F.transform(
+        F.filter(F.map_entries(F.map_filter(values, lambda k, x: k.isin(*FIELDS) & x.isNotNull())), lambda e: e.isNotNull()),
+        lambda e: F.struct(e["key"].alias("name"), F.try_variant_get(e["value"], "$", "string").alias("text"), _kind(e["value"]).alias("kind")),
+    )
     whole = F.coalesce(_kind(v), F.when(F.is_variant_null(v), F.lit("NoneType")).otherwise(F.lit("str")))
     no_object = F.concat(F.lit("1 validation error for LLMExtractionResult\nparsed_data\n  Input should be a valid dictionary [type=dict_type, input_value="), raw, F.lit(", input_type="), whole, F.lit("]"))
-    return F.struct(
-        F.when(is_object, F.map_filter(texts, lambda k, x: there[k])).alias("answer"),
-        F.when(is_object, F.map_filter(kinds, lambda k, x: x.isNotNull())).alias("kinds"),
-        F.when(v.isNotNull() & ~is_object, no_object).alias("error"),
+    # in the order of the fields
+    placed = let(said, lambda s: F.flatten(F.transform(F.array(*map(F.lit, FIELDS)), lambda f: F.filter(s, lambda e: e["name"] == f))))
+    return let(
+        placed,
+        lambda s: F.struct(
+            F.map_from_entries(F.transform(s, lambda e: F.struct(e["name"], e["text"]))).alias("answer"),
+            F.map_from_entries(F.transform(F.filter(s, lambda e: e["kind"].isNotNull()), lambda e: F.struct(e["name"], e["kind"]))).alias("kinds"),
+            F.when(v.isNotNull() & ~is_object, no_object).alias("error"),
+        ),
     )
 
 
@@ -181,6 +194,10 @@ def record_error(answer: Column, kinds: Column, sources: Column) -> Column:
         F.when((sources[f] == "llm") & kinds[f].isNotNull(), F.concat(F.lit(f"{a}\n  Input should be a valid string [type=string_type, input_value="), answer[f], F.lit(", input_type="), kinds[f], F.lit("]")))
         for f, a in ALIASES.items()
     ]
-    wrong = F.filter(F.array(*said), lambda x: x.isNotNull())
-    head = F.concat(F.size(wrong).cast("string"), F.when(F.size(wrong) > 1, F.lit(" validation errors")).otherwise(F.lit(" validation error")), F.lit(" for RequisitesData\n"))
-    return F.when(F.size(wrong) > 0, F.concat(head, F.array_join(wrong, "\n")))
+
+    def told(wrong: Column) -> Column:
+        n = F.size(wrong)
+        head = F.concat(n.cast("string"), F.when(n > 1, F.lit(" validation errors")).otherwise(F.lit(" validation error")), F.lit(" for RequisitesData\n"))
+        return F.when(n > 0, F.concat(head, F.array_join(wrong, "\n")))
+
+    return let(F.filter(F.array(*said), lambda x: x.isNotNull()), told)

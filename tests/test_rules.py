@@ -214,3 +214,9 @@ def test_recognised_lines_are_made_without_a_shuffle(spark):
 
     plan = QUERIES["q_recognised_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_answers_are_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "raw string").select(answers.typed(F.col("raw")).alias("t"))
+    plan = df.select("t.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("parseJson") <= 3 and plan.count("variant_get(") <= 4
