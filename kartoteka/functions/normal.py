@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space other than space, tab and newline.
-_EXOTIC = r"(?U)[\s\x1c-\x1f&&[^ \t\n]]+"
+_EXOTIC = r"[\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 #: A line that ends so is complete; the dashes are hyphen-minus, en dash and em dash.
 _ENDS = ".!?:;,\\-–—|"
@@ -52,7 +52,8 @@ def collapsed(text: Column) -> Column:
 
 def rejoined(text: Column) -> Column:
     """A line that goes on in the next, by its last and the next's first character, as one line."""
-    return F.regexp_replace(text, rf"(?<=[^{_ENDS}\n])\n(?=[а-яёa-z0-9(])", " ")
+    # a pattern that begins with the newline is tried there alone
+    return F.regexp_replace(text, rf"\n(?<=[^{_ENDS}\n]\n)(?=[а-яёa-z0-9(])", " ")
 
 
 def unblanked(text: Column) -> Column:

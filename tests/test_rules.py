@@ -220,3 +220,13 @@ def test_answers_are_parsed_once(spark):
     df = spark.createDataFrame([("{}",)], "raw string").select(answers.typed(F.col("raw")).alias("t"))
     plan = df.select("t.*")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json(") + plan.count("parseJson") <= 3 and plan.count("variant_get(") <= 4
+
+
+def test_white_space_and_joined_lines_are_those_of_the_plain_patterns(spark):
+    """Every code point of the first plane, in its line and at both sides of a line's end."""
+    df = spark.range(1, 0x10000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    df = df.select(F.concat(F.lit("a"), "c", "c", F.lit("b")).alias("s"), F.concat("c", F.lit("\n"), "c", F.lit("\nb\n"), "c").alias("j"))
+    spaced = F.regexp_replace("s", r"(?U)[\s\x1c-\x1f&&[^ \t\n]]+", " ")
+    joined = F.regexp_replace("j", rf"(?<=[^{normal._ENDS}\n])\n(?=[а-яёa-z0-9(])", " ")
+    assert df.where((normal.spaced(F.col("s")) != spaced) | (normal.rejoined(F.col("j")) != joined)).count() == 0
+    assert "(?U)" not in normal._EXOTIC
