@@ -77,13 +77,16 @@ def without_digit_gaps(text: Column) -> Column:
     Lines end at any of Unicode's line ends and are joined by \\n; an end behind the last line goes.
     """
     label = "(?iu)" + "|".join(GAP_LABELS)
+    # begins with the space, and is tried there alone; few lines have such a gap
+    gap = r"(?U) (?<=\d )(?=\d)"
     lines = F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END)
-    return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(label), F.regexp_replace(x, r"(?U)(?<=\d) (?=\d)", "")).otherwise(x)), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(gap) & x.rlike(label), F.regexp_replace(x, gap, "")).otherwise(x)), "\n")
 
 
 def split_classifiers(text: Column) -> Column:
     """Each of CLASSIFIERS begins a line."""
-    return F.regexp_replace(text, rf"(?iu)(?<!\n)({'|'.join(CLASSIFIERS)})", "\n$1")
+    # a first letter is looked for alone; the third is U+1C82, which counts as a small o
+    return F.regexp_replace(text, rf"(?=[Оо\u1c82Кк])(?<!\n)((?iu:{'|'.join(CLASSIFIERS)}))", "\n$1")
 
 
 def ocr_cleaned(text: Column) -> Column:

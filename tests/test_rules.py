@@ -230,3 +230,13 @@ def test_white_space_and_joined_lines_are_those_of_the_plain_patterns(spark):
     joined = F.regexp_replace("j", rf"(?<=[^{normal._ENDS}\n])\n(?=[а-яёa-z0-9(])", " ")
     assert df.where((normal.spaced(F.col("s")) != spaced) | (normal.rejoined(F.col("j")) != joined)).count() == 0
     assert "(?U)" not in normal._EXOTIC
+
+
+def test_classifiers_and_gaps_are_those_of_the_plain_patterns(spark):
+    """Every code point of the first plane as the first letter of a classifier, and as a digit."""
+    df = spark.createDataFrame(pd.DataFrame({"c": [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]}), "c string")
+    df = df.select(F.concat(F.lit("a"), "c", F.lit("КПО "), "c", F.lit("бк\n"), "c", F.lit("КВЭД")).alias("s"), F.concat(F.lit("ИНН "), "c", F.lit(" "), "c", F.lit(" 1 2")).alias("g"))
+    plain = F.regexp_replace("s", rf"(?iu)(?<!\n)({'|'.join(normal.CLASSIFIERS)})", "\n$1")
+    assert df.where(normal.split_classifiers(F.col("s")) != plain).count() == 0
+    text = F.regexp_replace(F.regexp_replace("g", rf"(?:{normal.LINE_END})\z", ""), normal.LINE_END, "\n")
+    assert df.where((F.instr(text, "\n") == 0) & (normal.without_digit_gaps(F.col("g")) != F.regexp_replace("g", r"(?U)(?<=\d) (?=\d)", ""))).count() == 0
